@@ -64,13 +64,13 @@ def _packed(body: Column, start: Column) -> Column:
 def _elements(kind: AbiType, body: Column, base: Column, count: Column) -> Column:
     element = kind.element
     fits = base + count * F.lit(element.head_bytes) <= F.length(body)
-    items = F.transform(
-        F.sequence(F.lit(0), count - F.lit(1)),
-        lambda i: value_at(element, body, base + i * F.lit(element.head_bytes), base),
-    )
-    # sequence(0, -1) counts down, so the empty array needs its own branch.
-    return F.when(fits & (count == 0), F.slice(F.transform(F.array(F.lit(0)), lambda i: value_at(element, body, base, base)), 1, 0)).when(
-        fits, items
+    # sequence(0, -1) would count down, so take one element too many and cut it off.
+    positions = F.slice(F.sequence(F.lit(0), count), F.lit(1), count)
+    return F.when(
+        fits,
+        F.transform(
+            positions, lambda i: value_at(element, body, base + i * F.lit(element.head_bytes), base)
+        ),
     )
 
 

@@ -92,13 +92,3 @@ EVENT_KEY = ("block_number", "transaction_hash", "log_index")
 # Suffix of the optional order-key columns kept beside 256-bit integers.
 KEY_SUFFIX = "__w"
 
-ABI_JSON = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("type", T.StringType()),
-            T.StructField("name", T.StringType()),
-            T.StructField("anonymous", T.BooleanType()),
-            T.StructField("inputs", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-        ]
-    )
-)
