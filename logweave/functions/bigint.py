@@ -7,6 +7,8 @@ Carries are settled once per group, after the aggregation.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ _BASE = 10**_LIMB
 
 
 def _num(value: int) -> Column:
-    return F.lit(value).cast("decimal(28,0)")
+    return F.lit(Decimal(value)).cast("decimal(28,0)")
 
 
 def _limb(digits: Column, i: int) -> Column:

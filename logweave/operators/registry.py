@@ -91,9 +91,13 @@ def synchronize(registry: DataFrame, chain_id: int, hashes: Sequence[str], block
 def sync_to_max(registry: DataFrame, chain_id: int, hashes: Sequence[str]) -> DataFrame:
     """Align the progress of the events to the furthest among them."""
     chosen = _selected(chain_id, hashes)
-    furthest = registry.where(chosen).agg(F.max("last_block").alias("__furthest"))
+    furthest = registry.where(chosen).groupBy("chain_id").agg(F.max("last_block").alias("__furthest"))
     moved = F.when(chosen, F.col("__furthest")).otherwise(F.col("last_block"))
-    return registry.crossJoin(F.broadcast(furthest)).withColumn("last_block", moved).drop("__furthest")
+    return (
+        registry.join(furthest, "chain_id", "left")
+        .withColumn("last_block", moved)
+        .select(*registry.columns)
+    )
 
 
 def advance(registry: DataFrame, progress: DataFrame) -> DataFrame:
@@ -186,14 +190,15 @@ def event_status(registry: DataFrame, tables: Mapping[str, DataFrame], chain_id:
     row = lookup(registry, event.hash, chain_id)
     table = tables.get(event.table_name(chain_id))
     if table is None:
-        count = registry.sparkSession.createDataFrame([(0,)], "n long")
+        count = registry.sparkSession.createDataFrame([], "n long")
     else:
         count = table.agg(F.count("*").alias("n"))
-    return row.crossJoin(F.broadcast(count)).select(
+    counted = count.withColumn("event_hash", F.lit(event.hash))
+    return row.join(F.broadcast(counted), "event_hash", "left").select(
         F.col("event_hash").alias("hash"),
         "first_block",
         "last_block",
-        F.when(F.col("last_block") != 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("event_count"),
+        F.when(F.col("last_block") != 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("event_count"),
     )
 
 
