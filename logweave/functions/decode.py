@@ -1,4 +1,4 @@
-"""ABI decoding as Column expressions.
+"""ABI decoding as SQL expressions.
 
 The type tree is walked once, when the plan is built. A log body is binary, so that the
 word at any offset is reached directly however long the body is. A value that does not
@@ -7,26 +7,20 @@ fit its body (bad offset, bad length, bad UTF-8) becomes NULL, never an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import words as W
 from .abi_types import AbiType
-from .words import let
+from .words import each, let
 
 
-def word_at(body: Column, pos: Column) -> Column:
+def word_at(body: str, pos: str) -> str:
     """64 lower-case hex digits at a byte position; NULL beyond the end."""
-    piece = body.substr(pos + F.lit(1), F.lit(32))
-    return F.when(F.length(piece) == 32, F.lower(F.hex(piece)))
-
-
-def static_word(body: Column, pos: int) -> Column:
-    """The same at a position known to lie inside the body."""
-    return F.lower(F.hex(F.substring(body, pos + 1, 32)))
+    return let(
+        f"substring({body}, {pos} + 1, 32)",
+        lambda piece: f"CASE WHEN length({piece}) = 32 THEN lower(hex({piece})) END",
+    )
 
 
-def word_text(kind: AbiType, word: Column) -> Column:
+def word_text(kind: AbiType, word: str) -> str:
     """Text of a one-word type."""
     if kind.kind == "uint":
         return W.uint_text(word)
@@ -43,87 +37,84 @@ def word_text(kind: AbiType, word: Column) -> Column:
     raise ValueError(f"{kind.canonical} is not a one-word type")
 
 
-def _size_at(body: Column, pos: Column) -> Column:
+def _size_at(body: str, pos: str) -> str:
     """An offset or length word as int; NULL if it exceeds the body."""
-    high = F.hex(body.substr(pos + F.lit(1), F.lit(28)))
-    low = F.conv(F.hex(body.substr(pos + F.lit(29), F.lit(4))), 16, 10).cast("bigint")
-    return F.when((high == "0" * 56) & (low <= F.length(body)), low.cast("int"))
+    low = f"cast(conv(hex(substring({body}, {pos} + 29, 4)), 16, 10) as bigint)"
+    return (
+        f"CASE WHEN substring({body}, {pos} + 1, 28) = X'{'00' * 28}' AND {low} <= length({body}) "
+        f"THEN cast({low} as int) END"
+    )
 
 
-def _packed(body: Column, start: Column) -> Column:
+def _packed(body: str, start: str) -> str:
     """Length-prefixed bytes."""
-    size = _size_at(body, start)
     return let(
-        size,
-        lambda n: F.when(
-            start + F.lit(32) + n <= F.length(body), body.substr(start + F.lit(33), n)
-        ),
+        _size_at(body, start),
+        lambda n: f"CASE WHEN {start} + 32 + {n} <= length({body}) THEN substring({body}, {start} + 33, {n}) END",
     )
 
 
-def _elements(kind: AbiType, body: Column, base: Column, count: Column) -> Column:
-    element = kind.element
-    fits = base + count * F.lit(element.head_bytes) <= F.length(body)
+def _elements(kind: AbiType, body: str, base: str, size: str) -> str:
+    step = kind.element.head_bytes
     # sequence(0, -1) would count down, so take one element too many and cut it off.
-    positions = F.slice(F.sequence(F.lit(0), count), F.lit(1), count)
-    return F.when(
-        fits,
-        F.transform(
-            positions, lambda i: value_at(element, body, base + i * F.lit(element.head_bytes), base)
-        ),
-    )
+    positions = f"slice(sequence(0, {size}), 1, {size})"
+    items = each(positions, lambda i: value_at(kind.element, body, f"({base} + {i} * {step})", base))
+    return f"CASE WHEN {base} + {size} * {step} <= length({body}) THEN {items} END"
 
 
-def _members(kind: AbiType, body: Column, start: Column, base: Column) -> Column:
+def _members(kind: AbiType, body: str, start: str, base: str) -> str:
     fields, at = [], 0
-    for i, (name, member) in enumerate(kind.components):
-        fields.append(value_at(member, body, start + F.lit(at), base).alias(name or f"f{i}"))
+    for name, (_, member) in zip(member_names(kind), kind.components):
+        fields.append(f"'{name}', {value_at(member, body, f'({start} + {at})', base)}")
         at += member.head_bytes
-    return F.struct(*fields)
+    return f"named_struct({', '.join(fields)})"
+
+
+def member_names(kind: AbiType) -> list[str]:
+    return [name or f"f{i}" for i, (name, _) in enumerate(kind.components)]
 
 
-def value_at(kind: AbiType, body: Column, pos: Column, base: Column) -> Column:
+def value_at(kind: AbiType, body: str, pos: str, base: str) -> str:
     """Value whose head stands at `pos` of a tuple that begins at `base`.
 
     Arrays and structs come out as such, with text leaves."""
     if kind.is_dynamic:
-        start = _size_at(body, pos) + base
 
-        def at(start: Column) -> Column:
+        def at(start: str) -> str:
             if kind.kind == "bytes":
-                return W.bytes_to_hex(_packed(body, start))
+                return f"concat('0x', lower(hex({_packed(body, start)})))"
             if kind.kind == "string":
-                return F.try_validate_utf8(_packed(body, start).cast("string"))
+                return f"try_validate_utf8(cast({_packed(body, start)} as string))"
             if kind.kind == "tuple":
                 return _members(kind, body, start, start)
             if kind.length is not None:
-                return _elements(kind, body, start, F.lit(kind.length))
-            return let(
-                _size_at(body, start), lambda n: _elements(kind, body, start + F.lit(32), n)
-            )
+                return _elements(kind, body, start, str(kind.length))
+            return let(_size_at(body, start), lambda n: let(f"{start} + 32", lambda b: _elements(kind, body, b, n)))
 
-        return let(start, at)
+        return let(f"({_size_at(body, pos)}) + {base}", at)
     if kind.kind == "array":
-        return _elements(kind, body, pos, F.lit(kind.length))
+        return let(pos, lambda p: _elements(kind, body, p, str(kind.length)))
     if kind.kind == "tuple":
-        return _members(kind, body, pos, pos)
+        return let(pos, lambda p: _members(kind, body, p, p))
     return let(word_at(body, pos), lambda w: word_text(kind, w))
 
 
-def render(kind: AbiType, value: Column) -> Column:
+def render(kind: AbiType, value: str) -> str:
     """Flatten to text: [a,b] for arrays, (a,b) for tuples. NULL if any leaf is NULL."""
     if kind.kind == "array":
-        texts = F.transform(value, lambda x: render(kind.element, x)) if kind.element.is_composite else value
+        texts = value
+        if kind.element.is_composite:
+            texts = let(value, lambda v: each(v, lambda x: render(kind.element, x)))
         return let(
             texts,
-            lambda t: F.when(
-                F.forall(t, lambda x: x.isNotNull()),
-                F.concat(F.lit("["), F.array_join(t, ","), F.lit("]")),
-            ),
+            lambda t: f"CASE WHEN forall({t}, x -> x IS NOT NULL) THEN concat('[', array_join({t}, ','), ']') END",
         )
     if kind.kind == "tuple":
-        parts: list[Column] = []
-        for i, (name, member) in enumerate(kind.components):
-            parts += [F.lit(","), render(member, value.getField(name or f"f{i}"))]
-        return F.concat(F.lit("("), *parts[1:], F.lit(")"))
+        members = zip(member_names(kind), kind.components)
+
+        def text(v: str) -> str:
+            parts = ", ',', ".join(render(member, f"{v}.`{name}`") for name, (_, member) in members)
+            return f"concat('(', {parts}, ')')"
+
+        return let(value, text)
     return value

@@ -1,13 +1,17 @@
 """32-byte ABI words as 64 lower-case hex digits: to and from text, and order keys.
 
-Integers are turned into decimal text with built-in expressions only. Three cases keep
-the common ones cheap: up to 60 bits is one `conv`, up to 120 bits is one decimal
-product, and only larger values pay for the five-limb conversion.
+Integers are turned into decimal text with built-in functions only. Three cases keep the
+common ones cheap: up to 60 bits is one `conv`, up to 120 bits is one decimal product, and
+only larger values pay for the five-limb conversion.
+
+Functions on words take and give SQL text: one wide event is thousands of expression nodes,
+and parsing them in one call is far quicker than building them one by one from Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +19,19 @@ from pyspark.sql import functions as F
 _LIMB_BITS = 60
 _BASE = 10**18
 _HEX = "0123456789abcdef"
+_names = count()
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate `value` once and use it several times in `body`."""
-    return F.transform(F.array(value), body)[0]
+    name = f"v{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def each(array: str, body: Callable[[str], str]) -> str:
+    """Apply `body` to every element."""
+    name = f"v{next(_names)}"
+    return f"transform({array}, {name} -> {body(name)})"
 
 
 def _base_digits(value: int) -> list[int]:
@@ -33,78 +45,71 @@ def _base_digits(value: int) -> list[int]:
 _LIMB_WEIGHTS = [_base_digits(1 << (_LIMB_BITS * i)) for i in range(5)]
 
 
-def _limb(word: Column, i: int) -> Column:
+def _limb(word: str, i: int) -> str:
     """The i-th 60-bit piece from the right, as bigint."""
     start, width = (50 - 15 * i, 15) if i < 4 else (1, 4)
-    return F.conv(F.substring(word, start, width), 16, 10).cast("bigint")
+    return f"cast(conv(substring({word}, {start}, {width}), 16, 10) as bigint)"
 
 
-def _dec(column: Column, precision: int = 19) -> Column:
-    return column.cast(f"decimal({precision},0)")
+def _dec(expression: str) -> str:
+    return f"cast({expression} as decimal(19,0))"
 
 
-def _wide_text(word: Column, plus: int) -> Column:
-    limbs = F.array(*[_dec(_limb(word, i)) for i in range(5)])
+def _wide_text(word: str, plus: int) -> str:
+    limbs = "array(" + ", ".join(_dec(_limb(word, i)) for i in range(5)) + ")"
 
-    def total(ls: Column, digit: int, carry: Column) -> Column:
-        for i, weights in enumerate(_LIMB_WEIGHTS):
-            if digit < len(weights):
-                carry = carry + ls[i] * _dec(F.lit(weights[digit]), 18)
-        return F.lpad(carry.cast("string"), 38, "0")
+    def total(ls: str, digit: int, carry: str) -> str:
+        terms = [carry] + [
+            f"{ls}[{i}] * {weights[digit]}BD" for i, weights in enumerate(_LIMB_WEIGHTS) if digit < len(weights)
+        ]
+        return f"lpad(cast({' + '.join(terms)} as string), 38, '0')"
 
-    def step(ls: Column, digit: int, text: Column, tail: Column) -> Column:
+    def step(ls: str, digit: int, text: str, tail: str) -> str:
         # 38 digits hold one base-10^18 digit on the right and the carry on the left.
         if digit == len(_LIMB_WEIGHTS) - 1:
-            return F.concat(text, tail)
-        carry = _dec(F.substring(text, 1, 20).cast("bigint"))
-        rest = F.concat(F.substring(text, 21, 18), tail)
+            return f"concat({text}, {tail})"
+        carry = _dec(f"cast(substring({text}, 1, 20) as bigint)")
+        rest = f"concat(substring({text}, 21, 18), {tail})"
         return let(total(ls, digit + 1, carry), lambda t: step(ls, digit + 1, t, rest))
 
-    return let(
-        limbs,
-        lambda ls: let(
-            total(ls, 0, _dec(F.lit(plus))),
-            lambda t: F.ltrim(step(ls, 0, t, F.lit("")), F.lit("0")),
-        ),
-    )
+    text = let(limbs, lambda ls: let(total(ls, 0, _dec(str(plus))), lambda t: step(ls, 0, t, "''")))
+    return f"ltrim('0', {text})"
 
 
-def _unsigned(word: Column, plus: int) -> Column:
-    low = _limb(word, 0)
-    small = F.conv(F.substring(word, 50, 15), 16, 10) if not plus else (low + F.lit(plus)).cast("string")
-    middle = _dec(_limb(word, 1)) * _dec(F.lit(1 << _LIMB_BITS)) + _dec(low)
+def _unsigned(word: str, plus: int) -> str:
+    small = f"conv(substring({word}, 50, 15), 16, 10)"
     if plus:
-        middle = middle + F.lit(plus)
+        small = f"cast(cast({small} as bigint) + {plus} as string)"
+    middle = f"{_dec(_limb(word, 1))} * {1 << _LIMB_BITS}BD + {_dec(_limb(word, 0))} + {plus}BD"
     return (
-        F.when(F.substring(word, 1, 49) == "0" * 49, small)
-        .when(F.substring(word, 1, 34) == "0" * 34, middle.cast("string"))
-        .otherwise(_wide_text(word, plus))
+        f"CASE WHEN substring({word}, 1, 49) = '{'0' * 49}' THEN {small} "
+        f"WHEN substring({word}, 1, 34) = '{'0' * 34}' THEN cast({middle} as string) "
+        f"ELSE {_wide_text(word, plus)} END"
     )
 
 
-def uint_text(word: Column) -> Column:
+def uint_text(word: str) -> str:
     """Unsigned word -> decimal digits."""
     return _unsigned(word, 0)
 
 
-def int_text(word: Column) -> Column:
+def int_text(word: str) -> str:
     """Two's complement word -> signed decimal digits."""
-    inverted = F.translate(word, _HEX, _HEX[::-1])
-    return F.when(F.substring(word, 1, 1) < "8", _unsigned(word, 0)).otherwise(
-        F.concat(F.lit("-"), _unsigned(inverted, 1))
-    )
+    inverted = f"translate({word}, '{_HEX}', '{_HEX[::-1]}')"
+    negative = let(inverted, lambda w: _unsigned(w, 1))
+    return f"CASE WHEN substring({word}, 1, 1) < '8' THEN {_unsigned(word, 0)} ELSE concat('-', {negative}) END"
 
 
-def address_text(word: Column) -> Column:
-    return F.concat(F.lit("0x"), F.substring(word, 25, 40))
+def address_text(word: str) -> str:
+    return f"concat('0x', substring({word}, 25, 40))"
 
 
-def bool_text(word: Column) -> Column:
-    return F.when(word == "0" * 64, "false").when(word.isNotNull(), "true")
+def bool_text(word: str) -> str:
+    return f"CASE WHEN {word} = '{'0' * 64}' THEN 'false' WHEN {word} IS NOT NULL THEN 'true' END"
 
 
-def left_bytes_text(word: Column, size: int) -> Column:
-    return F.concat(F.lit("0x"), F.substring(word, 1, 2 * size))
+def left_bytes_text(word: str, size: int) -> str:
+    return f"concat('0x', substring({word}, 1, {2 * size}))"
 
 
 def uint_key(word: Column) -> Column:
@@ -152,7 +157,7 @@ def quantity(text: Column) -> Column:
 def hex_to_bytes(text: Column) -> Column:
     """0x-hex text -> binary; NULL where it is not hex or has an odd number of digits."""
     digits = F.substring(text, 3, 2**31 - 1)
-    return F.when(text.startswith("0x") & (F.length(text) % 2 == 0), F.unhex(digits))
+    return F.when(F.length(text) % 2 == 0, F.unhex(digits))
 
 
 def bytes_to_hex(data: Column) -> Column:

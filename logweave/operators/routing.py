@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.abi_types import EventDef, Param
-from ..functions.decode import render, static_word, value_at, word_text
+from ..functions.decode import render, value_at, word_text
 from ..schema import FIXED_COLUMNS, KEY_SUFFIX
 from ..sources.catalog import MAX_BROADCAST_EVENTS, Catalog
 from ..sources.logs import topic0
@@ -102,31 +102,45 @@ def _topics_valid(event: EventDef) -> Column:
     return valid
 
 
-def _body() -> Column:
-    return W.hex_to_bytes(F.lower(F.coalesce(F.col("data"), F.lit("0x"))))
-
-
 def _head_valid(event: EventDef) -> Column:
-    """Topics are words and the body is hex and long enough for its fixed part."""
+    """Topics are words and the data is long enough for its fixed part.
+
+    Data of static events must also be hex. For dynamic ones the decoded values tell, so
+    that a long body is not turned into bytes twice."""
     if not event.body:
         return _topics_valid(event)
-    return _topics_valid(event) & F.coalesce(F.length(_body()) >= event.body_head_bytes, F.lit(False))
+    data = F.col("data")
+    long_enough = F.length(data) >= 2 + 2 * event.body_head_bytes
+    if _is_static(event):
+        long_enough = long_enough & W.hex_to_bytes(data).isNotNull()
+    return _topics_valid(event) & F.coalesce(long_enough, F.lit(False))
 
 
-def _topic_words(event: EventDef) -> list[Column]:
-    return [
-        F.substring(F.lower(F.get("topics", F.lit(i))), 3, 64).alias(f"__t{p.pos}")
+def _word_columns(event: EventDef) -> list[Column]:
+    """The word of every indexed and every static body parameter, as `__t<pos>`."""
+    words = [
+        F.lower(F.substring(F.get("topics", F.lit(i)), 3, 64)).alias(f"__t{p.pos}")
         for i, p in enumerate(event.indexed, start=1)
     ]
+    at = 0
+    for p in event.body:
+        if not (p.type.is_composite or p.type.is_dynamic):
+            words.append(F.lower(F.substring("data", 3 + 2 * at, 64)).alias(f"__t{p.pos}"))
+        at += p.type.head_bytes
+    return words
 
 
-def _word_column(param: Param) -> Column:
-    word = F.col(f"__t{param.pos}")
+def _word_value(param: Param) -> str:
+    word = f"__t{param.pos}"
     if param.stored_as_topic_hash:
-        return F.concat(F.lit("0x"), word)
-    text = word_text(param.type, word)
+        return f"concat('0x', {word})"
+    value = word_text(param.type, word)
     # Words are never NULL here; saying so spares a join on the column a decode in its null check.
-    return F.coalesce(text, F.lit("")) if param.type.kind in ("uint", "int") else text
+    return f"coalesce({value}, '')" if param.type.kind in ("uint", "int") else value
+
+
+def _has_key(param: Param) -> bool:
+    return param.type.kind in ("uint", "int")
 
 
 def _key(param: Param) -> Column:
@@ -136,54 +150,41 @@ def _key(param: Param) -> Column:
 
 
 def _decoded(logs: DataFrame, event: EventDef, nested: bool, keys: bool, raw: bool) -> DataFrame:
-    """Decode logs that pass `_head_valid`; dynamic bodies may still turn out NULL."""
+    """Decode logs that pass `_head_valid`. Dynamic bodies may still fail: column `__valid`."""
     carry = [F.col(_RAW)] if raw else []
-    first = logs.select(*_fixed(), *_topic_words(event), _body().alias("__body"), *carry)
-    # The body is used by every word, so Catalyst keeps it as a column of its own.
-    words, at = [], 0
-    offsets = {}
-    for p in event.body:
-        offsets[p.pos] = at
-        if not (p.type.is_composite or p.type.is_dynamic):
-            words.append(static_word(F.col("__body"), at).alias(f"__t{p.pos}"))
-        at += p.type.head_bytes
-    staged = first.select("*", *words) if words else first
-    key_columns = [
-        _key(p)
-        for p in event.stored
-        if keys and p.type.kind in ("uint", "int") and not p.stored_as_topic_hash
-    ]
+    key_columns = [_key(p) for p in event.stored if keys and _has_key(p)]
     if _is_static(event):
-        columns = [_word_column(p).alias(p.column) for p in event.stored]
-        return staged.select(*FIXED_COLUMNS, *columns, *key_columns, *carry)
+        words = logs.select(*_fixed(), *_word_columns(event), *carry)
+        columns = [F.expr(_word_value(p)).alias(p.column) for p in event.stored]
+        return words.select(*FIXED_COLUMNS, *columns, *key_columns, *carry)
+    body = W.hex_to_bytes(F.col("data")).alias("__body")
+    words = logs.select(*_fixed(), *_word_columns(event), body, *carry)
     # Unfold the decoded struct through a generator: later filters on its fields then act
     # on decoded values instead of repeating the decoding.
-    fields: list[Column] = []
+    fields: list[str] = []
     checks: list[str] = []
+    at = 0
     for p in event.stored:
         if p.indexed or not (p.type.is_composite or p.type.is_dynamic):
-            fields.append(_word_column(p).alias(p.column))
-            continue
-        value = value_at(p.type, F.col("__body"), F.lit(offsets[p.pos]), F.lit(0))
-        text = render(p.type, value)
-        if nested and p.type.is_composite:
-            fields.append(value.alias(p.column))
-            fields.append(text.isNotNull().alias(f"__ok{p.pos}"))
-            checks.append(f"__ok{p.pos}")
+            fields += [f"'{p.column}'", _word_value(p)]
         else:
-            fields.append(text.alias(p.column))
-    unfolded = staged.select(
-        *FIXED_COLUMNS, *key_columns, *carry, F.inline(F.array(F.struct(*fields)))
+            value = value_at(p.type, "__body", str(at), "0")
+            text = render(p.type, value)
+            if nested and p.type.is_composite:
+                fields += [f"'{p.column}'", value, f"'__ok{p.pos}'", f"({text}) IS NOT NULL"]
+                checks.append(f"`__ok{p.pos}`")
+            else:
+                fields += [f"'{p.column}'", text]
+                checks.append(f"`{p.column}` IS NOT NULL")
+        if not p.indexed:
+            at += p.type.head_bytes
+    unfolded = words.select(
+        *FIXED_COLUMNS, *key_columns, *carry, F.expr(f"inline(array(named_struct({', '.join(fields)})))")
     )
-    valid = F.lit(True)
-    for p in event.body:
-        if f"__ok{p.pos}" in checks:
-            valid = valid & F.col(f"__ok{p.pos}")
-        elif p.type.is_composite or p.type.is_dynamic:
-            valid = valid & F.col(f"`{p.column}`").isNotNull()
-    keep = [f"`{p.column}`" for p in event.stored] + [f"`{p.column}{KEY_SUFFIX}`" for p in event.stored if f"{p.column}{KEY_SUFFIX}" in unfolded.columns]
-    return unfolded.withColumn("__valid", valid).select(
-        *FIXED_COLUMNS, *keep, *([_RAW] if raw else []), "__valid"
+    params = [f"`{p.column}`" for p in event.stored]
+    kept_keys = [f"`{p.column}{KEY_SUFFIX}`" for p in event.stored if keys and _has_key(p)]
+    return unfolded.select(
+        *FIXED_COLUMNS, *params, *kept_keys, *carry, F.expr(" AND ".join(checks)).alias("__valid")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,28 +21,50 @@ from ..operators.registry import (
     set_first_block,
     synchronize,
 )
-from ..operators.routing import decode_all, require_known, route
+from ..operators.routing import decode, require_known, route
 from ..schema import KEY_SUFFIX
 from ..sources.catalog import Catalog
 from .event_query import event_api
 
 
+class LazyTables(Mapping):
+    """Event tables whose plans are built when they are first asked for."""
+
+    def __init__(self, names: Iterable[str], build: Callable[[str], DataFrame]):
+        self._names, self._build, self._built = list(names), build, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            if name not in self._names:
+                raise KeyError(name)
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 @dataclass(frozen=True)
 class IndexedData:
     spark: SparkSession
     chain_id: int
     events: dict[str, EventDef]
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     blocks: DataFrame
     registry: DataFrame
 
     @property
-    def all_tables(self) -> dict[str, DataFrame]:
-        return {**self.tables, f"blocks_{self.chain_id}": self.blocks, "event_descriptor": self.registry}
-
-    def register_views(self) -> None:
-        """Make every table reachable from SQL under its name, without the key columns."""
-        for name, df in self.all_tables.items():
+    def all_tables(self) -> Mapping[str, DataFrame]:
+        core = {f"blocks_{self.chain_id}": self.blocks, "event_descriptor": self.registry}
+        return LazyTables([*self.tables, *core], lambda name: core[name] if name in core else self.tables[name])
+
+    def register_views(self, names: Sequence[str] | None = None) -> None:
+        """Make tables (all, or those named) reachable from SQL, without the key columns."""
+        for name in self.all_tables if names is None else names:
+            df = self.all_tables[name]
             df.drop(*[c for c in df.columns if c.endswith(KEY_SUFFIX)]).createOrReplaceTempView(name)
 
     def list_events(self) -> DataFrame:
@@ -89,7 +112,7 @@ def index_batch(
         spark,
         catalog.chain_id,
         catalog.tables,
-        decode_all(logs, catalog, keys=keys),
+        LazyTables(catalog.tables, lambda name: decode(logs, catalog.tables[name], keys=keys)),
         blocks_from_logs(logs),
         registry,
     )

@@ -35,7 +35,11 @@ POSTED = EventDef.parse("Posted(uint256 indexed docId, string indexed lang, stri
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. One of fewer files than cores is spread, as a file of one row group
+    would otherwise be encoded by a single task; a table of many files is read as it lies."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def cents(column: str) -> Column:
@@ -158,9 +162,8 @@ def line_hash() -> Column:
 
 def vote_logs(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem -> VoteForwarded (with tuple arrays, empty ones included) and PayloadSent."""
-    li = table(spark, sf, "lineitem")
-    key, line = F.col("l_orderkey"), F.col("l_linenumber")
-    pid = X.uint_word(key)
+    li = table(spark, sf, "lineitem").withColumns({"pid": X.uint_word(F.col("l_orderkey")), "tx": line_hash()})
+    key, line, pid = F.col("l_orderkey"), F.col("l_linenumber"), F.col("pid")
     pairs = F.transform(
         F.slice(F.sequence(F.lit(1), line), F.lit(1), line - 1),
         lambda i: F.concat(X.uint_word(F.col("l_suppkey") + i), X.uint_word(F.col("l_quantity").cast("long") * i)),
@@ -168,7 +171,7 @@ def vote_logs(spark: SparkSession, sf: str) -> DataFrame:
 
     def log(stage: int, topics: Column, data: Column) -> Column:
         block = governance_block(key, stage)
-        return _log(F.lit(_GOVERNOR), topics, data, block, governance_time(block, key), line_hash(), line)
+        return _log(F.lit(_GOVERNOR), topics, data, block, governance_time(block, key), F.col("tx"), line)
 
     vote = log(
         5,
@@ -192,7 +195,7 @@ def governance_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide_logs(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem -> Transfer of cents * 2^192 + l_orderkey, and a signed Delta of the same size."""
-    li = table(spark, sf, "lineitem").withColumn("c", cents("l_extendedprice"))
+    li = table(spark, sf, "lineitem").withColumns({"c": cents("l_extendedprice"), "tx": line_hash()})
     key, c = F.col("l_orderkey"), F.col("c")
 
     def word(high: Column, middle: str, low: Column) -> Column:
@@ -208,7 +211,7 @@ def wide_logs(spark: SparkSession, sf: str) -> DataFrame:
 
     def log(topics: Column, data: Column) -> Column:
         return _log(
-            X.address(F.lit(99)), topics, F.concat(F.lit("0x"), data), block, F.lit(1_700_000_000) + block, line_hash(), F.col("l_linenumber")
+            X.address(F.lit(99)), topics, F.concat(F.lit("0x"), data), block, F.lit(1_700_000_000) + block, F.col("tx"), F.col("l_linenumber")
         )
 
     return li.select(
