@@ -120,7 +120,7 @@ def signature_hashes(signatures: DataFrame, column: str) -> DataFrame:
 
 def abi_entries(spark: SparkSession, chain_id: int, path: str) -> DataFrame:
     """Event entries of ABI JSON files as JSON text, nested components kept."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     items = text.select(F.explode(F.expr("from_json(value, 'array<string>')")).alias("entry"))
     kind = F.get_json_object("entry", "$.type")
     anonymous = F.coalesce(F.get_json_object("entry", "$.anonymous"), F.lit("false"))

@@ -1,6 +1,6 @@
 """Registered queries: adapters from the driver's tables, query bodies and their SQL oracles."""
 
-from . import queries  # noqa: F401
+from . import queries, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
