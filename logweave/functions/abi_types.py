@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from ..schema import FIXED_COLUMNS, KEY_SUFFIX
@@ -171,7 +171,6 @@ class EventDef:
 
     name: str
     params: tuple[Param, ...]
-    hash: str = field(default="")
 
     @staticmethod
     def build(name: str, inputs: list[tuple[str, AbiType, bool]]) -> EventDef:
@@ -183,8 +182,7 @@ class EventDef:
         )
         if sum(p.indexed for p in params) > 3:
             raise ValueError(f"event {name} has more than three indexed parameters")
-        canonical = f"{name}({','.join(t.canonical for _, t, _ in inputs)})"
-        return EventDef(name, params, event_hash(canonical))
+        return EventDef(name, params)
 
     @staticmethod
     def parse(signature: str) -> EventDef:
@@ -212,6 +210,11 @@ class EventDef:
             [(i.get("name") or "", _abi_json_type(i), bool(i.get("indexed"))) for i in entry["inputs"]],
         )
 
+    @cached_property
+    def hash(self) -> str:
+        """topic0 of the event's logs."""
+        return event_hash(self.canonical)
+
     @property
     def canonical(self) -> str:
         return f"{self.name}({','.join(p.type.canonical for p in self.params)})"
@@ -246,7 +249,11 @@ class EventDef:
         return sum(p.type.head_bytes for p in self.body)
 
     def table_name(self, chain_id: int) -> str:
-        return f"event_{chain_id}_{self.name.lower()}_{self.hash[2:7]}"
+        return table_name(chain_id, self.name, self.hash)
+
+
+def table_name(chain_id: int, name: str, hash_: str) -> str:
+    return f"event_{chain_id}_{name.lower()}_{hash_[2:7]}"
 
 
 def _column_names(names: list[str]) -> list[str]:

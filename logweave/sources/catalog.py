@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.abi_types import EventDef
+from ..functions.abi_types import EventDef, table_name
 from ..functions.keccak import keccak256_many
 from ..schema import EVENT_CATALOG
 
@@ -61,20 +61,20 @@ class Catalog:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """EVENT_CATALOG rows."""
-        return spark.createDataFrame([_row(self.chain_id, e) for e in self.events], EVENT_CATALOG)
+        return spark.createDataFrame([_row(self.chain_id, e, e.hash) for e in self.events], EVENT_CATALOG)
 
 
-def _row(chain_id: int, event: EventDef) -> tuple:
+def _row(chain_id: int, event: EventDef, event_hash: str) -> tuple:
     params = [(p.name, p.type.canonical, p.indexed, p.pos) for p in event.params]
     return (
         chain_id,
-        event.hash,
+        event_hash,
         event.signature,
         event.canonical,
         event.name,
         event.n_topics,
         params,
-        event.table_name(chain_id),
+        table_name(chain_id, event.name, event_hash),
     )
 
 
@@ -90,10 +90,9 @@ def parse_abi_entries(entries: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                _row(int(chain), EventDef.from_abi(json.loads(entry)))
-                for chain, entry in zip(batch["chain_id"], batch["entry"])
-            ]
+            events = [EventDef.from_abi(json.loads(entry)) for entry in batch["entry"]]
+            hashes = keccak256_many([e.canonical.encode() for e in events])
+            rows = [_row(int(c), e, "0x" + h) for c, e, h in zip(batch["chain_id"], events, hashes)]
             out = pd.DataFrame(rows, columns=EVENT_CATALOG.names)
             out["params"] = [
                 [dict(zip(("name", "type", "indexed", "pos"), p)) for p in params]
