@@ -41,7 +41,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def _add_fields(schema: T.StructType, *extra: str) -> T.StructType:
-    kinds = {"block_bucket": T.LongType(), "job_id": T.StringType(), "batch_id": T.LongType(), "chain_id": T.LongType()}
+    kinds = {"block_bucket": T.LongType(), "job_id": T.StringType(), "batch_id": T.LongType(), "slot": T.LongType()}
     return T.StructType(schema.fields + [T.StructField(n, kinds[n]) for n in extra])
 
 
@@ -71,7 +71,7 @@ class EventStore:
     # -- commits ---------------------------------------------------------------------
 
     def _commits(self) -> DataFrame:
-        return self._read("commits", _add_fields(REGISTRY, "job_id", "batch_id"))
+        return self._read("commits", _add_fields(REGISTRY, "batch_id", "job_id", "slot"))
 
     def last_commits(self, below: int | None = None, job_id: str | None = None) -> dict[str, int]:
         """Last committed batch of each job (jobs are configuration, so this is small)."""
@@ -150,18 +150,16 @@ class EventStore:
         stored = self._read(name, _add_fields(schema, *_LAYOUT))
         mine = (F.col("job_id") == job.job_id) & (F.col("batch_id") >= batch_id)
         others = in_block_span(stored, span, self.bucket_blocks).where(~mine)
-        fresh = new_rows(others, rows, keys)
-        self._write(
-            fresh.withColumns(
-                {
-                    "block_bucket": block_bucket(F.col("block_number"), self.bucket_blocks),
-                    "job_id": F.lit(job.job_id),
-                    "batch_id": F.lit(batch_id).cast("long"),
-                }
-            ),
-            name,
-            _LAYOUT,
+        fresh = new_rows(others, rows, keys).withColumns(
+            {
+                "block_bucket": block_bucket(F.col("block_number"), self.bucket_blocks),
+                "job_id": F.lit(job.job_id),
+                "batch_id": F.lit(batch_id).cast("long"),
+            }
         )
+        # Bring a bucket's rows together before writing; the adaptive plan splits a bucket that
+        # is too large for one task and merges small ones.
+        self._write(fresh.hint("rebalance", "block_bucket"), name, _LAYOUT)
 
     def commit_batch(self, logs: DataFrame, job: Job, batch_id: int, processed_to: int | None = None) -> None:
         """Store a batch of a job's logs: blocks, event tables, then the commit marker.
@@ -195,8 +193,16 @@ class EventStore:
         registry = self.job_registry(job, below=batch_id)
         if reached is not None:
             registry = synchronize(registry, job.catalog.chain_id, job.catalog.hashes, reached)
-        marker = registry.withColumns({"job_id": F.lit(job.job_id), "batch_id": F.lit(batch_id).cast("long")})
-        self._write(marker.coalesce(1), "commits", ["job_id", "batch_id"])
+        # Two slots in turn: the previous marker stays readable while this one is written, and
+        # the markers do not pile up however long the stream runs.
+        marker = registry.withColumns(
+            {
+                "batch_id": F.lit(batch_id).cast("long"),
+                "job_id": F.lit(job.job_id),
+                "slot": F.lit(batch_id % 2).cast("long"),
+            }
+        )
+        self._write(marker.coalesce(1), "commits", ["job_id", "slot"])
 
     def compact(self, catalog: Catalog, name: str, path: str) -> None:
         """Write the committed rows of a table as few large files in block order, elsewhere."""

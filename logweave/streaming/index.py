@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import require_aligned, resume_block
 from ..plans.jobs import Job, job_logs, validate_job
 from ..sources.store import EventStore
 
+PROGRESS = "indexing"
+
 
 def index_stream(
     logs: DataFrame,
@@ -35,12 +38,19 @@ def index_stream(
             mine.unpersist()
 
     wanted = job_logs(logs, job, head).drop("job_id", "chain_id")
+    wanted = wanted.observe(PROGRESS, F.max("block_number").alias("indexed_block"), F.count("*").alias("logs"))
     writer = wanted.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     writer = writer.queryName(f"index-{job.job_id}")
     writer = writer.trigger(processingTime=follow) if follow else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def observed(query: StreamingQuery) -> tuple[int | None, int]:
+    """Highest block and number of logs of the last batch, for monitoring."""
+    metrics = (query.lastProgress or {}).get("observedMetrics", {}).get(PROGRESS)
+    return (metrics["indexed_block"], metrics["logs"]) if metrics else (None, 0)
+
+
 def backfill(logs: DataFrame, job: Job, store: EventStore, checkpoint: str, head: int | None = None) -> None:
     """Index what is there and wait for the end."""
     query = index_stream(logs, job, store, checkpoint, head=head)

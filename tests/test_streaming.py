@@ -6,7 +6,7 @@ from logweave.plans.jobs import Job
 from logweave.sources import logs as L
 from logweave.sources.catalog import Catalog
 from logweave.sources.store import EventStore
-from logweave.streaming.index import backfill, index_stream, next_block
+from logweave.streaming.index import backfill, index_stream, next_block, observed
 from tests.abi_codec import frame, log
 from tests.test_filters import APPROVAL, TRANSFER, account
 
@@ -113,6 +113,7 @@ def test_following_picks_up_new_files(spark, tmp_path):
     query = index_stream(L.stream_logs(spark, source), Job("j", CATALOG), store, str(tmp_path / "ck"), follow="1 second")
     try:
         query.processAllAvailable()
+        assert observed(query) == (1, 1)
         dump(spark, [transfer(2)], source)
         query.processAllAvailable()
     finally:

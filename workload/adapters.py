@@ -35,11 +35,10 @@ POSTED = EventDef.parse("Posted(uint256 indexed docId, string indexed lang, stri
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. One of fewer files than cores is spread, as a file of one row group
-    would otherwise be encoded by a single task; a table of many files is read as it lies."""
+    """A driver table. A single file, often of one row group, is spread over the cores, as one
+    task would otherwise encode all of it; a table of several files is read as it lies."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def cents(column: str) -> Column:
