@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.abi_types import EventDef, Param
-from ..functions.decode import render, value_at, word_text
+from ..functions.decode import value_at, word_text
 from ..schema import FIXED_COLUMNS, KEY_SUFFIX
 from ..sources.catalog import MAX_BROADCAST_EVENTS, Catalog
 from ..sources.logs import topic0
@@ -168,9 +168,9 @@ def _decoded(logs: DataFrame, event: EventDef, nested: bool, keys: bool, raw: bo
         if p.indexed or not (p.type.is_composite or p.type.is_dynamic):
             fields += [f"'{p.column}'", _word_value(p)]
         else:
-            value = value_at(p.type, "__body", str(at), "0")
-            text = render(p.type, value)
+            text = value_at(p.type, "__body", str(at), "0", as_text=True)
             if nested and p.type.is_composite:
+                value = value_at(p.type, "__body", str(at), "0", as_text=False)
                 fields += [f"'{p.column}'", value, f"'__ok{p.pos}'", f"({text}) IS NOT NULL"]
                 checks.append(f"`__ok{p.pos}`")
             else:
