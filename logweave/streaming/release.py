@@ -7,6 +7,7 @@ numbers each. Logs are not held; a released block range is read from the staged
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..sources.logs import block_range
 from ..sources.store import EventStore
 
 RELEASED = "job_id string, chunk_start long, chunk_end long"
+_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,14 +51,19 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs the RocksDB state store: start the stream within this block."""
+    before = spark.conf.get(_PROVIDER_KEY)
+    spark.conf.set(_PROVIDER_KEY, _PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER_KEY, before)
 
 
 def ordered_release(chunks: DataFrame, starts: Mapping[str, int]) -> DataFrame:
     """Stream of chunks (job_id, chunk_start, chunk_end) -> the same, each job gap-free from its start."""
-    use_rocksdb(chunks.sparkSession)
     return chunks.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=_InOrder(starts),
         outputStructType=RELEASED,
@@ -82,9 +89,6 @@ def index_in_order(chunks: DataFrame, logs: Mapping[str, DataFrame], jobs: Seque
                 store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi)
 
     released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})
-    return (
-        released.writeStream.foreachBatch(commit)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = released.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    with rocksdb_state(chunks.sparkSession):
+        return writer.trigger(availableNow=True).start()
