@@ -93,10 +93,12 @@ def stage_logs(logs: DataFrame, path: str, bucket_blocks: int = DEFAULT_BUCKET_B
     )
 
 
-def block_range(logs: DataFrame, lo: int, hi: int, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
-    """Logs of blocks lo..hi, both included; prunes partitions of staged logs."""
+def block_range(logs: DataFrame, lo: int, hi: int, bucket_blocks: int | None = None) -> DataFrame:
+    """Logs of blocks lo..hi, both included.
+
+    Give the bucket size that staged logs were written with to prune their partitions too."""
     out = logs.where(F.col("block_number").between(lo, hi))
-    if "block_bucket" in logs.columns:
+    if bucket_blocks and "block_bucket" in logs.columns:
         out = out.where(F.col("block_bucket").between(lo // bucket_blocks, hi // bucket_blocks))
     return out
 

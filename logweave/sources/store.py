@@ -41,7 +41,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def _add_fields(schema: T.StructType, *extra: str) -> T.StructType:
-    kinds = {"block_bucket": T.LongType(), "job_id": T.StringType(), "batch_id": T.LongType(), "slot": T.LongType()}
+    kinds = {"block_bucket": T.LongType(), "job_id": T.StringType(), "batch_id": T.LongType(), "slot": T.LongType(), "bucket_blocks": T.LongType(), "has_keys": T.BooleanType()}
     return T.StructType(schema.fields + [T.StructField(n, kinds[n]) for n in extra])
 
 
@@ -71,7 +71,7 @@ class EventStore:
     # -- commits ---------------------------------------------------------------------
 
     def _commits(self) -> DataFrame:
-        return self._read("commits", _add_fields(REGISTRY, "batch_id", "job_id", "slot"))
+        return self._read("commits", _add_fields(REGISTRY, "batch_id", "bucket_blocks", "has_keys", "job_id", "slot"))
 
     def last_commits(self, below: int | None = None, job_id: str | None = None) -> dict[str, int]:
         """Last committed batch of each job (jobs are configuration, so this is small)."""
@@ -80,8 +80,14 @@ class EventStore:
             commits = commits.where(F.col("job_id") == job_id)
         if below is not None:
             commits = commits.where(F.col("batch_id") < below)
-        rows = commits.groupBy("job_id").agg(F.max("batch_id").alias("last")).collect()
-        return {r.job_id: r.last for r in rows}
+        last: dict[str, int] = {}
+        for r in commits.select("job_id", "batch_id", "bucket_blocks", "has_keys").distinct().collect():
+            if (r.bucket_blocks, r.has_keys) != (self.bucket_blocks, self.keys):
+                raise ValueError(
+                    f"the store was written with bucket_blocks={r.bucket_blocks}, keys={r.has_keys}; open it so"
+                )
+            last[r.job_id] = max(r.batch_id, last.get(r.job_id, r.batch_id))
+        return last
 
     def _visible(self) -> Column:
         last = self.last_commits()
@@ -198,6 +204,8 @@ class EventStore:
         marker = registry.withColumns(
             {
                 "batch_id": F.lit(batch_id).cast("long"),
+                "bucket_blocks": F.lit(self.bucket_blocks).cast("long"),
+                "has_keys": F.lit(self.keys),
                 "job_id": F.lit(job.job_id),
                 "slot": F.lit(batch_id % 2).cast("long"),
             }

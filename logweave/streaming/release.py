@@ -72,10 +72,18 @@ def ordered_release(chunks: DataFrame, starts: Mapping[str, int]) -> DataFrame:
     )
 
 
-def index_in_order(chunks: DataFrame, logs: Mapping[str, DataFrame], jobs: Sequence[Job], store: EventStore, checkpoint: str) -> StreamingQuery:
+def index_in_order(
+    chunks: DataFrame,
+    logs: Mapping[str, DataFrame],
+    jobs: Sequence[Job],
+    store: EventStore,
+    checkpoint: str,
+    staged_bucket_blocks: int | None = None,
+) -> StreamingQuery:
     """Commit each job's logs up to its gap-free frontier, as its chunks are announced.
 
-    chunks: stream of announcements; logs: job id -> staged raw logs of its chain."""
+    chunks: stream of announcements; logs: job id -> staged raw logs of its chain, whose
+    bucket size lets a range read prune."""
     for job in jobs:
         validate_job(job)
 
@@ -85,7 +93,7 @@ def index_in_order(chunks: DataFrame, logs: Mapping[str, DataFrame], jobs: Seque
         for job in jobs:
             if job.job_id in spans:
                 lo, hi = spans[job.job_id]
-                mine = block_range(job_logs(logs[job.job_id], job), lo, hi, store.bucket_blocks)
+                mine = block_range(job_logs(logs[job.job_id], job), lo, hi, staged_bucket_blocks)
                 store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi)
 
     released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})

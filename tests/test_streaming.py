@@ -80,6 +80,14 @@ def test_jobs_share_a_table(spark, tmp_path):
     assert next_block(store, a) == 2 and next_block(store, b) == 21
 
 
+def test_a_store_is_opened_as_it_was_written(spark, tmp_path):
+    path = str(tmp_path / "store")
+    EventStore(spark, path, bucket_blocks=5).commit_batch(frame(spark, [transfer(1)]), Job("j", CATALOG), 0)
+    for other in (EventStore(spark, path, bucket_blocks=6), EventStore(spark, path, bucket_blocks=5, keys=False)):
+        with pytest.raises(ValueError, match="was written with"):
+            other.data(CATALOG).tables[TABLE]
+
+
 def test_empty_batches_still_move_progress(spark, tmp_path):
     store = EventStore(spark, str(tmp_path / "store"))
     job = Job("j", CATALOG, start_block=5)

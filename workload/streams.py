@@ -97,7 +97,7 @@ def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
         )
         announced.write.mode("append").parquet(f"{root}/chunks")
         arrivals = spark.readStream.schema(announced.schema).parquet(f"{root}/chunks")
-        index_in_order(arrivals, {"tokens": staged}, [job], store, f"{root}/checkpoint").awaitTermination()
+        index_in_order(arrivals, {"tokens": staged}, [job], store, f"{root}/checkpoint", BUCKET).awaitTermination()
         visible = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].count()
         seen.append((step, next_block(store, job) - 1, visible))
     return spark.createDataFrame(seen, "step int, frontier long, visible long")
