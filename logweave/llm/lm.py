@@ -41,7 +41,10 @@ FOLDS, HELD = 5, 1
 DISCOUNT, MIN_COUNT = 0.75, 2
 HOT, HOT_LEFT = 64, 0.5
 #: Tokens of a shard, and bytes of text in a batch.
-SHARD_TOKENS, BATCH_BYTES = 1_500_000, 6 << 20
+SHARD_TOKENS, BATCH_BYTES = 1_000_000, 6 << 20
+#: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
+#: before they leave it.
+LEAST_SHARDS, SHARDS_A_TASK, SUM_BYTES = 64, 8, 48 << 20
 #: Quantisation of log10 p: steps of STEP_SIZE, down to the 255th.
 STEP_SIZE = 0.05
 
@@ -224,6 +227,36 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield part, rows
 
 
+def _added_up(rows: Iterator[tuple], kinds: tuple) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows as they come, but sums of one batch added up over the shards of a task, in the types of
+    `kinds`, until they take up SUM_BYTES."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def flush():
+        for number, sums in held.items():
+            yield number & 0x7FFFFFFF, _SUMS, number, pack(*(s.astype(k) for s, k in zip(sums, kinds)))
+        held.clear()
+
+    for row in rows:
+        if row[1] != _SUMS or isinstance(row[3], bytes):
+            yield row
+            continue
+        have = held.get(row[2])
+        if have is None:
+            held[row[2]] = [np.array(s) for s in row[3]]
+            size += sum(s.nbytes for s in row[3])
+        else:
+            for i, s in enumerate(row[3]):
+                if len(s) > len(have[i]):
+                    have[i] = np.pad(have[i], (0, len(s) - len(have[i])))
+                have[i][: len(s)] += s
+        if size > SUM_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
 def _blob_batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -240,7 +273,7 @@ def _blob_batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.Re
         yield batch()
 
 
-def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple]:
     """First pass over a shard: the trie is built from its training tokens, and all are scored."""
     numbers, held_flags, texts = [], [], 0
     parts: list[tuple] = []
@@ -272,7 +305,7 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
         np.bincount(doc, np.where(found, 0.0, np.log10(_VALUES[left]))[entry] * n, texts),
     ]
     for number, begin, size_ in numbers:
-        yield number & 0x7FFFFFFF, _SUMS, number, pack(*(s[begin : begin + size_].astype(np.float64) for s in sums))
+        yield 0, _SUMS, number, tuple(s[begin : begin + size_] for s in sums)
     # To the shards of the words: words, pairs with their codes, documents.
     chosen = np.flatnonzero(found[entry])
     if not len(chosen):
@@ -292,7 +325,7 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
         yield int(part[a]), _FOUND, 0, pack(w[chosen[a:z]][pairs], code[e[a:z]][pairs], left[e[a:z]][pairs], np.diff(np.append(pairs, z - a)), batch, at[a:z], inner[a:z], n[chosen[a:z]])
 
 
-def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple]:
     """Second pass: the single words' probabilities are added to the tokens found."""
     words, counts = [hot], [hot_counts]
     for kind, _, data in rows:
@@ -324,7 +357,7 @@ def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, ho
             else:
                 have[: len(made)] += made
     for number, values in sums.items():
-        yield 0, _SUMS, number, pack(values)
+        yield 0, _SUMS, number, (values,)
 
 
 def _document_rows(rows: list[tuple[int, bytes]], n_docs: int, total: int, z: float) -> dict[str, object] | None:
@@ -384,7 +417,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     if n_docs * HOT >= total and n_docs > HOT:
         some = sorted([*some, (int(BEGIN), n_docs)])
     hot, hot_counts = np.array([w for w, _ in some], np.uint64), np.array([c for _, c in some], np.int64)
-    shards = max(8, -(-int(total * folds / max(1, folds - 1)) // SHARD_TOKENS))
+    shards = max(LEAST_SHARDS, -(-int(total * folds / max(1, folds - 1)) // SHARD_TOKENS))
+    tasks = -(-shards // SHARDS_A_TASK)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -410,7 +444,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 if own:
                     yield from _shard_rows(own, shards, hot, hot_counts)
 
-        yield from _blob_batches(rows())
+        yield from _blob_batches(_added_up(rows(), ("f8", "u4", "f4")))
 
     def word_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -432,7 +466,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 yield from ((part, *r) for r in group if r[0] in (_HEAD, _SUMS))
                 yield from _word_rows(group, z, hot, hot_counts)
 
-        yield from _blob_batches(rows())
+        yield from _blob_batches(_added_up(rows(), ("f4",)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows = None, []
@@ -452,7 +486,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
             yield from made()
 
     dealt = docs.mapInArrow(deal, _BLOB)
-    scored = dealt.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(first_pass, _BLOB)
+    scored = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(first_pass, _BLOB)
     with_words = scored.unionByName(words.mapInArrow(word_blobs, _BLOB))
-    added = with_words.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(second_pass, _BLOB)
+    added = with_words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(second_pass, _BLOB)
     return added.repartition("batch").sortWithinPartitions("batch").mapInArrow(finish, SCHEMA)
