@@ -150,7 +150,7 @@ def decimal_key_literal(value: int) -> str:
 
 def quantity(text: Column) -> Column:
     """0x-hex quantity -> bigint; NULL where it is missing or not a quantity."""
-    digits = F.lower(F.regexp_extract(text, r"^0[xX]([0-9a-fA-F]{1,16})$", 1))
+    digits = F.lower(F.regexp_extract(text, r"^0[xX]0*([0-9a-fA-F]{1,16})$", 1))
     return F.when(digits != "", F.conv(digits, 16, 10)).try_cast("bigint")
 
 

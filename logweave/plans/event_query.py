@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.abi_types import EventDef
-from ..schema import FIXED_COLUMNS, KEY_SUFFIX
+from ..schema import EVENT_KEY, FIXED_COLUMNS, KEY_SUFFIX
 
 DEFAULT_FIRST = 100
 MAX_FIRST = 10_000
@@ -105,8 +105,10 @@ def literal(value: str, kind: str) -> int | str:
 
 
 def _long_predicate(column: Column, op: str, number: int) -> Column:
-    # Literals beyond 64 bits are legal and compare as numbers.
-    return SCALAR_OPS[op](column, F.lit(number) if abs(number) < 2**63 else F.lit(str(number)).cast("decimal(38,0)"))
+    # Literals beyond 64 bits are legal and compare as numbers: no value equals or passes them.
+    if abs(number) < 2**63:
+        return SCALAR_OPS[op](column, F.lit(number))
+    return column.isNotNull() & F.lit(op != "eq" and (number > 0) == (op in ("lt", "lte")))
 
 
 def _wide_predicate(column: str, op: str, number: int, kind: str, has_key: bool) -> Column:
@@ -149,18 +151,17 @@ def order_key(column: str, event: EventDef, columns: Sequence[str]) -> Column:
     return W.decimal_key(F.col(f"`{column}`"))
 
 
-def _page(query: EventQuery) -> tuple[int, int]:
-    first = DEFAULT_FIRST if query.first is None else query.first
-    skip = query.skip or 0
-    if first < 0 or skip < 0:
+def _page(query: EventQuery) -> tuple[int | None, int]:
+    first, skip = query.first, query.skip or 0
+    if (first or 0) < 0 or skip < 0:
         raise ValueError("first and skip must not be negative")
-    return min(first, MAX_FIRST), skip
+    return first, skip
 
 
 def event_query(table: DataFrame, event: EventDef, query: EventQuery = EventQuery()) -> DataFrame:
     """Rows of an event table: fixed columns, then parameters in signature order.
 
-    Without `order_by` the choice of the page is left to Spark."""
+    Without `first` all rows come; without `order_by` the choice of a page is left to Spark."""
     columns = table.columns
     clauses = [WhereClause(from_api_name(w.column), w.op, w.value) for w in query.where]
     clauses += [WhereClause(from_api_name(c), "eq", v) for c, v in query.condition.items()]
@@ -177,18 +178,23 @@ def event_query(table: DataFrame, event: EventDef, query: EventQuery = EventQuer
     if skip:
         rows = rows.offset(skip)
     names = list(FIXED_COLUMNS) + [p.column for p in event.params]
-    return rows.limit(first).select(*[F.col(f"`{n}`") for n in names])
+    page = rows if first is None else rows.limit(first)
+    return page.select(*[F.col(f"`{n}`") for n in names])
 
 
 def event_api(tables: Mapping[str, DataFrame], events: Mapping[str, EventDef]) -> dict[str, Callable[..., DataFrame]]:
     """One query function per event table, under the table's name.
 
     Arguments: where={column: {op: value}}, condition={column: value}, orderBy, orderDir,
-    first, skip, in outward names; so are the result columns."""
+    first, skip, in outward names; so are the result columns. A page has DEFAULT_FIRST rows
+    unless `first` says otherwise, and more than MAX_FIRST are refused."""
 
     def build(name: str, event: EventDef) -> Callable[..., DataFrame]:
         def run(where=None, condition=None, orderBy=None, orderDir="ASC", first=None, skip=None) -> DataFrame:
-            query = EventQuery(where_from_map(where or {}), condition or {}, orderBy, orderDir, first, skip)
+            if first is not None and first > MAX_FIRST:
+                raise ValueError(f"first must not exceed {MAX_FIRST}; use skip for later pages")
+            size = DEFAULT_FIRST if first is None else first
+            query = EventQuery(where_from_map(where or {}), condition or {}, orderBy, orderDir, size, skip)
             return to_api_names(event_query(tables[name], event, query))
 
         return run
@@ -197,5 +203,5 @@ def event_api(tables: Mapping[str, DataFrame], events: Mapping[str, EventDef]) -
 
 
 def latest(table: DataFrame, n: int = 100) -> DataFrame:
-    """The n rows of the highest blocks."""
-    return table.orderBy(F.col("block_number").desc()).limit(n)
+    """The n last rows, by block, transaction hash and log index."""
+    return table.orderBy(*[F.col(c).desc() for c in EVENT_KEY]).limit(n)

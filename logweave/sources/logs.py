@@ -22,8 +22,8 @@ def normalise_logs(records: DataFrame) -> DataFrame:
         F.lower("blockHash").alias("block_hash"),
         quantity(F.col("blockTimestamp")).alias("block_timestamp"),
         F.lower("transactionHash").alias("transaction_hash"),
-        quantity(F.col("transactionIndex")).cast("int").alias("transaction_index"),
-        quantity(F.col("logIndex")).cast("int").alias("log_index"),
+        quantity(F.col("transactionIndex")).try_cast("int").alias("transaction_index"),
+        quantity(F.col("logIndex")).try_cast("int").alias("log_index"),
         F.coalesce("removed", F.lit(False)).alias("removed"),
     )
 
@@ -33,17 +33,26 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "json", multiline: bool
     if fmt == "json":
         reader = spark.read.schema(RAW_LOG_JSON).option("multiLine", multiline)
         return normalise_logs(reader.json(path))
-    return spark.read.format(fmt).load(path)
+    return lower_hex(spark.read.format(fmt).load(path))
 
 
-def stream_logs(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
-    """The same as a stream over a growing directory."""
+def lower_hex(logs: DataFrame) -> DataFrame:
+    """RAW_LOG with its hex in lower case. Staged logs, which have a topic0 column, were written so,
+    and are left alone to keep filters on them within reach of the files."""
+    if "topic0" in logs.columns:
+        return logs
+    lowered = {c: F.lower(c) for c in ("address", "data", "block_hash", "transaction_hash")}
+    return logs.withColumns(lowered | {"topics": F.transform("topics", F.lower)})
+
+
+def stream_logs(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = 1000) -> DataFrame:
+    """The same as a stream over a growing directory, in batches of so many files."""
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "json":
         return normalise_logs(reader.schema(RAW_LOG_JSON).json(path))
-    return reader.schema(RAW_LOG).format(fmt).load(path)
+    return lower_hex(reader.schema(RAW_LOG).format(fmt).load(path))
 
 
 def to_json_records(logs: DataFrame) -> DataFrame:
@@ -82,6 +91,7 @@ def stage_logs(logs: DataFrame, path: str, bucket_blocks: int = DEFAULT_BUCKET_B
     the rows. Sorting each file by event and contract lets row-group statistics skip what
     a job does not ask for."""
     keys = ["block_number", "transaction_hash", "log_index"]
+    logs = lower_hex(logs)
     spread = logs.repartitionByRange(partitions, *keys) if partitions else logs.repartitionByRange(*keys)
     (
         spread.withColumn("topic0", F.get("topics", F.lit(0)))

@@ -4,6 +4,9 @@ Every table is partitioned by (block_bucket, job_id, batch_id) and written in dy
 overwrite mode, so a batch that runs again replaces what it left behind. The registry of
 the job is written last and is the commit marker: readers take only batches up to the last
 marker of each job, so a batch becomes visible as a whole or not at all.
+
+Jobs do not look at each other when they write: a job's new rows are compared with its own
+committed rows only. Where several jobs have committed, readers make the keys unique.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedupe import block_span, blocks_from_logs, in_block_span, new_rows
+from ..operators.dedupe import block_span, blocks_from_logs, first_per_key, in_block_span, new_rows
 from ..operators.registry import empty_registry, event_schema, register, set_first_block, synchronize
 from ..operators.routing import decode, require_known, route, well_formed
 from ..plans.dataset import IndexedData, LazyTables
 from ..plans.jobs import Job, validate_job
-from ..schema import BLOCKS, EVENT_KEY, REGISTRY
+from ..schema import BLOCKS, EVENT_KEY, RAW_LOG, REGISTRY
 from .catalog import Catalog
 from .logs import DEFAULT_BUCKET_BLOCKS, block_bucket
 
@@ -33,10 +36,12 @@ _LAYOUT = ("block_bucket", "job_id", "batch_id")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one the cluster names; local only where none is named."""
+    """A new folder under the shared one the cluster names; a local one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
@@ -132,11 +137,21 @@ class EventStore:
         """Committed rows of one event table."""
         schema = event_schema(catalog.tables[name], self.keys)
         rows = self._read(f"tables/{name}", _add_fields(schema, *_LAYOUT))
-        return rows.where(self._visible()).select(*schema.names, "block_bucket")
+        return self._unique(rows, EVENT_KEY).select(*schema.names, "block_bucket")
 
     def blocks(self, chain_id: int) -> DataFrame:
         rows = self._read(f"blocks_{chain_id}", _add_fields(BLOCKS, *_LAYOUT))
-        return rows.where(self._visible()).select(*BLOCKS.names, "block_bucket")
+        return self._unique(rows, ["block_number"], ["block_timestamp"]).select(*BLOCKS.names, "block_bucket")
+
+    def _unique(self, rows: DataFrame, keys: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
+        """The committed rows; of rows that several jobs hold for a key, the one with most in `prefer`."""
+        seen = rows.where(self._visible())
+        if len(self.last_commits()) < 2:
+            return seen
+        if not prefer:
+            return seen.dropDuplicates(list(keys))
+        ranked = seen.withColumn("__rank", F.struct(*[-F.col(p) for p in prefer], "job_id"))
+        return first_per_key(ranked, keys, ["__rank"]).drop("__rank")
 
     def data(self, catalog: Catalog) -> IndexedData:
         """The committed state as queries see it; read anew on every call."""
@@ -154,9 +169,9 @@ class EventStore:
 
     def _append(self, name: str, schema: T.StructType, rows: DataFrame, keys: Sequence[str], job: Job, batch_id: int, span: tuple[int, int]) -> None:
         stored = self._read(name, _add_fields(schema, *_LAYOUT))
-        mine = (F.col("job_id") == job.job_id) & (F.col("batch_id") >= batch_id)
-        others = in_block_span(stored, span, self.bucket_blocks).where(~mine)
-        fresh = new_rows(others, rows, keys).withColumns(
+        mine = (F.col("job_id") == job.job_id) & (F.col("batch_id") < batch_id)
+        before = in_block_span(stored.where(mine), span, self.bucket_blocks)
+        fresh = new_rows(before, rows, keys).withColumns(
             {
                 "block_bucket": block_bucket(F.col("block_number"), self.bucket_blocks),
                 "job_id": F.lit(job.job_id),
@@ -167,11 +182,24 @@ class EventStore:
         # is too large for one task and merges small ones.
         self._write(fresh.hint("rebalance", "block_bucket"), name, _LAYOUT)
 
-    def commit_batch(self, logs: DataFrame, job: Job, batch_id: int, processed_to: int | None = None) -> None:
+    def _held(self, job: Job, below: int | None = None) -> DataFrame:
+        """Logs that the job's last commit held back as they were above the head."""
+        rows = self._read("held", _add_fields(RAW_LOG, "job_id", "batch_id"))
+        last = self.last_commits(below, job.job_id).get(job.job_id, -1)
+        return rows.where((F.col("job_id") == job.job_id) & (F.col("batch_id") == last)).select(*RAW_LOG.names)
+
+    def release(self, job: Job, head: int) -> None:
+        """Commit what was held back and lies at or below the head by now."""
+        last = self.last_commits(job_id=job.job_id).get(job.job_id)
+        if last is not None and not self._held(job).where(F.col("block_number") <= head).isEmpty():
+            self.commit_batch(self.spark.createDataFrame([], RAW_LOG), job, last + 1, head=head)
+
+    def commit_batch(self, logs: DataFrame, job: Job, batch_id: int, processed_to: int | None = None, head: int | None = None) -> None:
         """Store a batch of a job's logs: blocks, event tables, then the commit marker.
 
         processed_to: the last block the batch covers, also when it holds no logs; without
-        it progress is the highest block seen."""
+        it progress is the highest block seen. head: logs above it are held back for a later
+        batch, and those held back before join this one."""
         validate_job(job)
         last = self.last_commits(job_id=job.job_id).get(job.job_id)
         if last is not None and batch_id < last:
@@ -179,6 +207,11 @@ class EventStore:
                 f"job {job.job_id} has committed batch {last}, but its stream is at {batch_id}: "
                 "the checkpoint does not belong to this store"
             )
+        if head is not None:
+            logs = logs.select(*RAW_LOG.names).unionByName(self._held(job, below=batch_id))
+            later = logs.where(F.col("block_number") > head)
+            self._write(later.withColumns({"job_id": F.lit(job.job_id), "batch_id": F.lit(batch_id).cast("long")}), "held", ["job_id", "batch_id"])
+            logs = logs.where(F.col("block_number") <= head)
         if job.strict:
             require_known(logs, job.catalog)
         span = block_span(well_formed(logs))
@@ -199,15 +232,18 @@ class EventStore:
         registry = self.job_registry(job, below=batch_id)
         if reached is not None:
             registry = synchronize(registry, job.catalog.chain_id, job.catalog.hashes, reached)
-        # Two slots in turn: the previous marker stays readable while this one is written, and
-        # the markers do not pile up however long the stream runs.
+        # Two slots: the marker goes to the one that the newest other marker does not use, so that
+        # one stays readable while this is written, and markers do not pile up.
+        used = {r.batch_id: r.slot for r in self._commits().where(F.col("job_id") == job.job_id).select("batch_id", "slot").distinct().collect()}
+        earlier = [b for b in used if b < batch_id]
+        slot = used[batch_id] if batch_id in used else 1 - used[max(earlier)] if earlier else 0
         marker = registry.withColumns(
             {
                 "batch_id": F.lit(batch_id).cast("long"),
                 "bucket_blocks": F.lit(self.bucket_blocks).cast("long"),
                 "has_keys": F.lit(self.keys),
                 "job_id": F.lit(job.job_id),
-                "slot": F.lit(batch_id % 2).cast("long"),
+                "slot": F.lit(slot).cast("long"),
             }
         )
         self._write(marker.coalesce(1), "commits", ["job_id", "slot"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +13,8 @@ from ..plans.jobs import Job, job_logs, validate_job
 from ..sources.store import EventStore
 
 PROGRESS = "indexing"
+#: Store batches for each batch of a stream: the first is the stream's own, the others commit what it held back.
+RELEASES = 1 << 20
 
 
 def index_stream(
@@ -19,10 +23,14 @@ def index_stream(
     store: EventStore,
     checkpoint: str,
     follow: str | None = None,
-    head: int | None = None,
+    head: int | Callable[[], int] | None = None,
 ) -> StreamingQuery:
     """Start indexing a stream of raw logs for one job.
 
+    head: the highest final block, as a number or a function that is asked for each batch.
+    Logs above it are held back in the store and committed by a later batch, or at the next
+    start, once the head has reached them.
+
     Without `follow` the query works off what is there and stops; with it (a trigger
     interval such as "1 second") it keeps polling. The checkpoint makes a restart go on
     after the last finished batch, batches replace their own output when they run again,
@@ -30,14 +38,19 @@ def index_stream(
     validate_job(job)
     require_aligned(store.job_registry(job), job.catalog.chain_id, job.catalog.hashes)
 
+    def final() -> int | None:
+        return head() if callable(head) else head
+
     def commit(batch: DataFrame, batch_id: int) -> None:
         mine = batch.persist()
         try:
-            store.commit_batch(mine, job, batch_id)
+            store.commit_batch(mine, job, batch_id * RELEASES, head=final())
         finally:
             mine.unpersist()
 
-    wanted = job_logs(logs, job, head).drop("job_id", "chain_id")
+    if head is not None:
+        store.release(job, final())
+    wanted = job_logs(logs, job).drop("job_id", "chain_id")
     wanted = wanted.observe(PROGRESS, F.max("block_number").alias("indexed_block"), F.count("*").alias("logs"))
     writer = wanted.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     writer = writer.queryName(f"index-{job.job_id}")
@@ -51,7 +64,7 @@ def observed(query: StreamingQuery) -> tuple[int | None, int]:
     return (metrics["indexed_block"], metrics["logs"]) if metrics else (None, 0)
 
 
-def backfill(logs: DataFrame, job: Job, store: EventStore, checkpoint: str, head: int | None = None) -> None:
+def backfill(logs: DataFrame, job: Job, store: EventStore, checkpoint: str, head: int | Callable[[], int] | None = None) -> None:
     """Index what is there and wait for the end."""
     query = index_stream(logs, job, store, checkpoint, head=head)
     query.awaitTermination()

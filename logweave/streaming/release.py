@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..plans.jobs import Job, job_logs, validate_job
-from ..sources.logs import block_range
+from ..sources.logs import block_range, read_logs
 from ..sources.store import EventStore
 
 RELEASED = "job_id string, chunk_start long, chunk_end long"
@@ -36,14 +36,18 @@ class _InOrder(StatefulProcessor):
         expected = self.next_start.get()[0] if self.next_start.exists() else self.starts.get(job_id, 0)
         for batch in rows:
             for start, end in zip(batch["chunk_start"], batch["chunk_end"]):
-                if start >= expected:
+                known = self.waiting.getValue((int(start),))[0] if self.waiting.containsKey((int(start),)) else -1
+                if end >= expected and end > known:
                     self.waiting.updateValue((int(start),), (int(end),))
         released = []
-        while self.waiting.containsKey((expected,)):
-            end = self.waiting.getValue((expected,))[0]
-            self.waiting.removeKey((expected,))
-            released.append((job_id, expected, end))
-            expected = end + 1
+        # Chunks may overlap: one that begins at or before the expected block moves the frontier.
+        for start, end in sorted((s[0], e[0]) for s, e in self.waiting.iterator()):
+            if start > expected:
+                break
+            self.waiting.removeKey((start,))
+            if end >= expected:
+                released.append((job_id, expected, end))
+                expected = end + 1
         self.next_start.update((expected,))
         yield pd.DataFrame(released, columns=["job_id", "chunk_start", "chunk_end"])
 
@@ -74,7 +78,7 @@ def ordered_release(chunks: DataFrame, starts: Mapping[str, int]) -> DataFrame:
 
 def index_in_order(
     chunks: DataFrame,
-    logs: Mapping[str, DataFrame],
+    logs: Mapping[str, DataFrame | str],
     jobs: Sequence[Job],
     store: EventStore,
     checkpoint: str,
@@ -82,8 +86,9 @@ def index_in_order(
 ) -> StreamingQuery:
     """Commit each job's logs up to its gap-free frontier, as its chunks are announced.
 
-    chunks: stream of announcements; logs: job id -> staged raw logs of its chain, whose
-    bucket size lets a range read prune."""
+    chunks: stream of announcements; logs: job id -> path of the staged raw logs of its chain,
+    which each batch lists anew, or a frame of logs that are all there. The bucket size of
+    staged logs lets a range read prune."""
     for job in jobs:
         validate_job(job)
 
@@ -93,7 +98,9 @@ def index_in_order(
         for job in jobs:
             if job.job_id in spans:
                 lo, hi = spans[job.job_id]
-                mine = block_range(job_logs(logs[job.job_id], job), lo, hi, staged_bucket_blocks)
+                source = logs[job.job_id]
+                rows = read_logs(store.spark, source, "parquet") if isinstance(source, str) else source
+                mine = block_range(job_logs(rows, job), lo, hi, staged_bucket_blocks)
                 store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi)
 
     released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})

@@ -35,10 +35,8 @@ POSTED = EventDef.parse("Posted(uint256 indexed docId, string indexed lang, stri
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. A single file, often of one row group, is spread over the cores, as one
-    task would otherwise encode all of it; a table of several files is read as it lies."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    """A driver table, read as it lies; spark.sql.files.maxPartitionBytes sets the size of its tasks."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def cents(column: str) -> Column:

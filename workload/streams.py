@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.routing import decode
 from logweave.plans.jobs import Job
 from logweave.sources import logs as L
 from logweave.sources.store import EventStore, scratch_dir
@@ -20,8 +21,8 @@ TRANSFER_TABLE = Z.TOKEN_CATALOG.table("Transfer")
 
 
 def write_dump(logs: DataFrame, path: str) -> None:
-    """Logs as JSON lines in files of ascending block ranges."""
-    L.to_json_records(logs.repartitionByRange(4, "block_number")).write.mode("append").json(path)
+    """Logs as JSON lines in files of ascending block ranges, as many as the session shuffles to."""
+    L.to_json_records(logs.repartitionByRange("block_number")).write.mode("append").json(path)
 
 
 @query("stream_index", f"WITH {T_CTE} SELECT * FROM t")
@@ -29,7 +30,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "stream-index")
     write_dump(Z.token_logs(spark, sf), f"{root}/in")
     store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
-    backfill(L.stream_logs(spark, f"{root}/in", max_files=2), JOB, store, f"{root}/checkpoint")
+    backfill(L.stream_logs(spark, f"{root}/in", max_files=4), JOB, store, f"{root}/checkpoint")
     return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
 
 
@@ -97,7 +98,122 @@ def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
         )
         announced.write.mode("append").parquet(f"{root}/chunks")
         arrivals = spark.readStream.schema(announced.schema).parquet(f"{root}/chunks")
-        index_in_order(arrivals, {"tokens": staged}, [job], store, f"{root}/checkpoint", BUCKET).awaitTermination()
+        index_in_order(arrivals, {"tokens": f"{root}/staged"}, [job], store, f"{root}/checkpoint", BUCKET).awaitTermination()
         visible = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].count()
         seen.append((step, next_block(store, job) - 1, visible))
     return spark.createDataFrame(seen, "step int, frontier long, visible long")
+
+
+@query("stream_moving_head", f"WITH {T_CTE} SELECT * FROM t")
+def stream_moving_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The head stands at half of the blocks, then, on the same checkpoint, at the last."""
+    root = scratch_dir(spark, "stream-head")
+    logs = Z.token_logs(spark, sf)
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    write_dump(logs, f"{root}/in")
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    for head in (top // 2, top):
+        backfill(L.stream_logs(spark, f"{root}/in"), JOB, store, f"{root}/checkpoint", head=head)
+    return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
+
+
+@query("stream_late_staging", f"WITH {T_CTE} SELECT * FROM t")
+def stream_late_staging(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks overlap, and the upper half of the logs is staged after the stream ran for the first time."""
+    root = scratch_dir(spark, "stream-late")
+    logs = Z.token_logs(spark, sf)
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    middle = top // 2
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    job = Job("tokens", Z.TOKEN_CATALOG, start_block=1, from_abi=True)
+    halves = (
+        (logs.where(F.col("block_number") <= middle), [(1, middle - 1), (middle // 2, middle)]),
+        (logs.where(F.col("block_number") > middle), [(middle, top - 1), (middle + 1, top)]),
+    )
+    for rows, chunks in halves:
+        L.stage_logs(rows, f"{root}/staged", BUCKET)
+        announced = spark.createDataFrame([("tokens", a, b) for a, b in chunks], "job_id string, chunk_start long, chunk_end long")
+        announced.write.mode("append").parquet(f"{root}/chunks")
+        arrivals = spark.readStream.schema(announced.schema).parquet(f"{root}/chunks")
+        index_in_order(arrivals, {"tokens": f"{root}/staged"}, [job], store, f"{root}/checkpoint", BUCKET).awaitTermination()
+    return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
+
+
+class _Crash(EventStore):
+    """A store whose commits end before the marker."""
+
+    def _commit(self, job: Job, batch_id: int, reached: int | None) -> None:
+        raise RuntimeError("the driver is lost")
+
+
+@query(
+    "store_two_jobs",
+    f"""WITH {E_CTE} SELECT 'one crashed' AS state, count(*) FILTER (event_type = 'purchase') AS transfers, count(DISTINCT bn) AS blocks FROM e
+    UNION ALL SELECT 'both committed', count(*) FILTER (event_type = 'purchase'), count(DISTINCT bn) FROM e""",
+)
+def store_two_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two jobs with the same logs one is lost before its marker; it runs again later."""
+    root = scratch_dir(spark, "store-jobs")
+    logs = Z.token_logs(spark, sf)
+    one, two = (Job(name, Z.TOKEN_CATALOG, start_block=1, from_abi=True) for name in ("one", "two"))
+    store, lost = EventStore(spark, root, BUCKET), _Crash(spark, root, BUCKET)
+
+    def seen(state: str) -> DataFrame:
+        data = store.data(Z.TOKEN_CATALOG)
+        transfers = data.tables[TRANSFER_TABLE].agg(F.count("*").alias("transfers"))
+        blocks = data.blocks.agg(F.count("*").alias("blocks"))
+        return transfers.crossJoin(blocks).select(F.lit(state).alias("state"), "transfers", "blocks")
+
+    try:
+        lost.commit_batch(logs, two, 0)
+    except RuntimeError:
+        pass
+    store.commit_batch(logs, one, 0)
+    first = seen("one crashed")
+    first.write.parquet(f"{root}/first")
+    store.commit_batch(logs, two, 0)
+    return spark.read.parquet(f"{root}/first").unionByName(seen("both committed"))
+
+
+@query(
+    "store_sparse_commits",
+    f"WITH {T_CTE} SELECT count(*) AS transfers FROM t",
+)
+def store_sparse_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """A job is in batches 1, 3 and 5; the marker of 5 is lost, so 3 stays the last one."""
+    root = scratch_dir(spark, "store-sparse")
+    logs = Z.token_logs(spark, sf)
+    job = Job("tokens", Z.TOKEN_CATALOG, start_block=1, from_abi=True)
+    store, lost = EventStore(spark, root, BUCKET), _Crash(spark, root, BUCKET)
+    middle = logs.agg(F.floor(F.max("block_number") / 2).alias("m")).first().m
+    store.commit_batch(logs.where(F.col("block_number") <= middle), job, 1)
+    store.commit_batch(logs.where(F.col("block_number") > middle), job, 3)
+    try:
+        lost.commit_batch(logs, job, 5)
+    except RuntimeError:
+        pass
+    return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].agg(F.count("*").alias("transfers"))
+
+
+@query("decode_mixed_case_parquet", f"WITH {T_CTE} SELECT * FROM t")
+def decode_mixed_case_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs that another program wrote as Parquet, with hex in upper case."""
+    root = scratch_dir(spark, "mixed-case")
+    logs = Z.token_logs(spark, sf)
+    shout = lambda c: F.concat(F.lit("0x"), F.upper(F.substring(c, 3, 2**31 - 1)))
+    logs.withColumns({"address": shout(F.col("address")), "data": shout(F.col("data")), "topics": F.transform("topics", shout)}).write.parquet(root)
+    return decode(L.read_logs(spark, root, "parquet"), Z.TRANSFER)
+
+
+@query(
+    "bad_quantities",
+    f"WITH {E_CTE} SELECT count(*) FILTER (event_type = 'purchase' AND li <> 0) AS transfers FROM e",
+)
+def bad_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose log index does not fit are malformed; zero-padded ones are as good as any."""
+    root = scratch_dir(spark, "quantities")
+    records = L.to_json_records(Z.token_logs(spark, sf))
+    odd = F.when(F.col("logIndex") == "0x0", "0xffffffff").otherwise(F.concat(F.lit("0x00000000000000000000"), F.substring("logIndex", 3, 16)))
+    records.withColumn("logIndex", odd).write.json(root)
+    rows = decode(L.read_logs(spark, root), Z.TRANSFER)
+    return rows.where(F.col("log_index").isNotNull()).agg(F.count("*").alias("transfers"))
