@@ -30,10 +30,12 @@ SAMPLE = 1000
 WINDOW, STRIDE = 64, 48
 WORDS, GRAMS = 4096, 1 << 14
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-EPOCHS, BATCH, RATE = 5, 128, 0.01
+BATCH, RATE = 64, 0.01
+#: Passes over the sample, and as many more as small samples need for so many steps.
+EPOCHS, STEPS = 5, 240
 THRESHOLD = 0.7
 #: Words whose inputs a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 SCHEMA = "doc_id long, score double, predicted int, n_windows long"
 
@@ -253,6 +255,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     owner, first, length = window_table([len(w) for w in split])
     begin = np.concatenate(([0], np.cumsum([len(w) for w in split])))
     values = rng.standard_normal(len(owner)).astype(np.float32)
+    chosen_least = int(np.minimum(np.bincount(owner), np.where(labels == 1, 1, 2)).sum())
+    epochs = max(epochs, -(-STEPS // -(-chosen_least // BATCH)))
     for epoch in range(epochs):
         if epoch:
             net.known, net.inputs = {}, None
