@@ -35,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, mapped
-from .text import binary, joined, mix, slices, span_hashes, staged, word_spans
+from .text import binary, joined, mix, release, slices, span_hashes, staged, word_spans
 
 FOLDS, HELD = 5, 1
 DISCOUNT, MIN_COUNT = 0.75, 2
 HOT, HOT_LEFT = 64, 0.5
 #: Tokens of a shard, and bytes of text in a batch.
-SHARD_TOKENS, BATCH_BYTES = 1_000_000, 6 << 20
+SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20
 #: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
 #: before they leave it.
-LEAST_SHARDS, SHARDS_A_TASK, SUM_BYTES = 64, 8, 48 << 20
+LEAST_SHARDS, SHARDS_A_TASK, SUM_BYTES = 64, 8, 32 << 20
 #: Quantisation of log10 p: steps of STEP_SIZE, down to the 255th.
 STEP_SIZE = 0.05
 
@@ -67,10 +67,10 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes | memoryview) -> list[np.ndarray]:
     arrays, at = [], 0
     while at < len(blob):
-        n, kind = int(np.frombuffer(blob, "<u4", 1, at)[0]), np.dtype(blob[at + 4 : at + 8].decode().strip())
+        n, kind = int(np.frombuffer(blob, "<u4", 1, at)[0]), np.dtype(bytes(blob[at + 4 : at + 8]).decode().strip())
         arrays.append(np.frombuffer(blob, kind, n, at + 8))
         at += 8 + n * kind.itemsize
     return arrays
@@ -217,14 +217,16 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
     """The rows of each part, from rows sorted by part."""
     part, rows = None, []
     for batch in batches:
-        for p, kind, number, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, kind, number, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
             if p != part:
                 if rows:
                     yield part, rows
+                    release()
                 part, rows = p, []
-            rows.append((kind, number, data))
+            rows.append((kind, number, memoryview(data.as_buffer())))
     if rows:
         yield part, rows
+    release()
 
 
 def _added_up(rows: Iterator[tuple], kinds: tuple) -> Iterator[tuple[int, int, int, bytes]]:
@@ -239,7 +241,7 @@ def _added_up(rows: Iterator[tuple], kinds: tuple) -> Iterator[tuple[int, int, i
         held.clear()
 
     for row in rows:
-        if row[1] != _SUMS or isinstance(row[3], bytes):
+        if row[1] != _SUMS or not isinstance(row[3], tuple):
             yield row
             continue
         have = held.get(row[2])
@@ -439,7 +441,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part, group in _by_part(batches):
-                yield from ((part, *r) for r in group if r[0] == _HEAD)
+                yield from ((part, k, b, bytes(d)) for k, b, d in group if k == _HEAD)
                 own = [r for r in group if r[0] == _TOKENS]
                 if own:
                     yield from _shard_rows(own, shards, hot, hot_counts)
@@ -463,7 +465,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part, group in _by_part(batches):
-                yield from ((part, *r) for r in group if r[0] in (_HEAD, _SUMS))
+                yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
                 yield from _word_rows(group, z, hot, hot_counts)
 
         yield from _blob_batches(_added_up(rows(), ("f4",)))

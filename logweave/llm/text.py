@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,7 +58,14 @@ def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null(b"") if column.null_count else column
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one take up about `limit` bytes; no text is split."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -65,9 +74,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 2 << 2
         for a, b in zip((0, *cuts), (*cuts, len(sizes))):
             if b > a:
                 yield batch.slice(a, b - a)
+        release()
 
 
-def map_texts(docs: DataFrame, step: Callable[[list, list[bytes]], dict], schema: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2 << 20) -> DataFrame:
+def map_texts(docs: DataFrame, step: Callable[[list, list[bytes]], dict], schema: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1 << 20) -> DataFrame:
     """One call of step(ids, texts) for each slice of whole texts; it returns columns of `schema`.
     Other columns of `docs` are not read."""
     fields = docs.sparkSession.createDataFrame([], schema).schema
@@ -97,23 +107,36 @@ def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed * 1000003)) | np.uint64(1)
 
 
+#: Bytes whose prefix sums are held at once.
+_REACH = 1 << 17
+_BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each span of bytes, from prefix sums of byte values times powers of an odd
-    base: equal bytes give equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    base = 0x5851F42D4C957F2D | 1
+    base: equal bytes give equal hashes wherever they stand. Spans stand in order and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    values = byte_table(seed)
+    reach = min(max(_REACH, int((ends - starts).max(initial=0))), len(data)) + 1
     with np.errstate(over="ignore"):
-        powers = np.full(len(data) + 1, base, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_table(seed)[data] * powers[:-1], dtype=np.uint64, out=sums[1:])
-        inverse = np.full(len(data) + 1, pow(base, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse, dtype=np.uint64)
-        spans = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        powers, inverse = _powers(_BASE, reach), _powers(pow(_BASE, -1, 1 << 64), reach)
+        a = 0
+        while a < len(starts):
+            begin = starts[a]
+            z = max(a + 1, int(np.searchsorted(ends, begin + reach - 1, side="right")))
+            part = data[begin : ends[z - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * powers[: len(part)], dtype=np.uint64, out=sums[1:])
+            first, last = starts[a:z] - begin, ends[a:z] - begin
+            out[a:z] = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+            a = z
+    return out
 
 
 def word_spans(data: np.ndarray, space: int = 32) -> tuple[np.ndarray, np.ndarray]:
