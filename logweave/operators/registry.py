@@ -185,23 +185,39 @@ def list_events(registry: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
 
 
 def event_status(registry: DataFrame, tables: Mapping[str, DataFrame], chain_id: int, event: EventDef) -> DataFrame:
-    """Hash, progress and count of one event; no row if it is not registered. The rows are
-    counted only once the event has progress."""
+    """Hash, progress and count of one event; no row if it is not registered."""
     row = lookup(registry, event.hash, chain_id)
     table = tables.get(event.table_name(chain_id))
     if table is None:
         count = registry.sparkSession.createDataFrame([], "n long")
     else:
         count = table.agg(F.count("*").alias("n"))
-    counted = count.withColumn("event_hash", F.lit(event.hash))
-    return row.join(F.broadcast(counted), "event_hash", "left").select(
-        F.col("event_hash").alias("hash"),
-        "first_block",
-        "last_block",
-        F.when(F.col("last_block") != 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("event_count"),
+    counted = count.select(F.lit(event.hash).alias("event_hash"), F.col("n").alias("event_count"))
+    return status_columns(row.join(F.broadcast(counted), "event_hash", "left"))
+
+
+def status_columns(listed: DataFrame) -> DataFrame:
+    """Hash, progress and count of listed events; the count is 0 as long as there is no progress."""
+    count = F.when(F.col("last_block") != 0, F.coalesce("event_count", F.lit(0))).otherwise(F.lit(0))
+    return listed.select(F.col("event_hash").alias("hash"), "first_block", "last_block", count.cast("long").alias("event_count"))
+
+
+def with_summary(registry: DataFrame, summary: DataFrame, progress: bool) -> DataFrame:
+    """Registry rows with the event_count of a batch's summary; with `progress` last_block moves, too.
+
+    summary: event_hash, last_event_block, event_count of the registry's one chain."""
+    moved = F.greatest("last_block", "last_event_block") if progress else F.col("last_block")
+    return registry.join(summary, "event_hash", "left").select(
+        *[moved.alias(c) if c == "last_block" else c for c in registry.columns],
+        F.coalesce("event_count", F.lit(0)).cast("long").alias("event_count"),
     )
 
 
+def unnamed_contract() -> Column:
+    """contract_name: nothing names contracts, so it is NULL."""
+    return F.lit(None).cast("string").alias("contract_name")
+
+
 def list_contracts(tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
     """Distinct contract addresses over all event tables."""
     if not tables:
@@ -210,7 +226,7 @@ def list_contracts(tables: Mapping[str, DataFrame], spark: SparkSession) -> Data
     return (
         reduce(DataFrame.unionByName, parts)
         .distinct()
-        .select("contract_address", F.lit(None).cast("string").alias("contract_name"))
+        .select("contract_address", unnamed_contract())
     )
 
 

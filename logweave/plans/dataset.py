@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.abi_types import EventDef
 from ..operators.dedupe import blocks_from_logs
 from ..operators.registry import (
-    advance,
     describe_tables,
     empty_registry,
     event_status,
     list_contracts,
     list_events,
-    max_block,
+    lookup,
     register,
     set_first_block,
+    status_columns,
     synchronize,
+    table_counts,
+    table_name_column,
+    unnamed_contract,
+    with_summary,
 )
-from ..operators.routing import decode, require_known, route
+from ..operators.routing import contracts_of, decode, event_summary, require_known
 from ..schema import KEY_SUFFIX
 from ..sources.catalog import Catalog
 from .event_query import event_api
@@ -55,6 +59,9 @@ class IndexedData:
     tables: Mapping[str, DataFrame]
     blocks: DataFrame
     registry: DataFrame
+    #: Of a batch: registry rows with event_count, and contract_address, each in one pass over the logs.
+    listing: DataFrame | None = None
+    contracts: DataFrame | None = None
 
     @property
     def all_tables(self) -> Mapping[str, DataFrame]:
@@ -68,13 +75,23 @@ class IndexedData:
             df.drop(*[c for c in df.columns if c.endswith(KEY_SUFFIX)]).createOrReplaceTempView(name)
 
     def list_events(self) -> DataFrame:
-        return list_events(self.registry, self.tables)
+        return list_events(self.registry, self.tables) if self.listing is None else self.listing
+
+    def table_counts(self) -> DataFrame:
+        """table_name, event_count of the tables that have rows."""
+        if self.listing is None:
+            return table_counts(self.tables, self.spark)
+        return self.listing.where("event_count > 0").select(table_name_column().alias("table_name"), "event_count")
 
     def event_status(self, event: EventDef) -> DataFrame:
-        return event_status(self.registry, self.tables, self.chain_id, event)
+        if self.listing is None:
+            return event_status(self.registry, self.tables, self.chain_id, event)
+        return status_columns(lookup(self.listing, event.hash, self.chain_id))
 
     def list_contracts(self) -> DataFrame:
-        return list_contracts(self.tables, self.spark)
+        if self.contracts is None:
+            return list_contracts(self.tables, self.spark)
+        return self.contracts.select("contract_address", unnamed_contract())
 
     def describe(self) -> DataFrame:
         return describe_tables(self.all_tables, self.spark)
@@ -103,16 +120,14 @@ def index_batch(
     )
     if processed_to is not None:
         registry = synchronize(registry, catalog.chain_id, catalog.hashes, processed_to)
-    else:
-        progress = max_block(route(logs, catalog)).selectExpr(
-            f"cast({int(catalog.chain_id)} as bigint) as chain_id", "event_hash", "last_event_block as block"
-        )
-        registry = advance(registry, progress)
+    listing = with_summary(registry, event_summary(logs, catalog), progress=processed_to is None)
     return IndexedData(
         spark,
         catalog.chain_id,
         catalog.tables,
         LazyTables(catalog.tables, lambda name: decode(logs, catalog.tables[name], keys=keys)),
         blocks_from_logs(logs),
-        registry,
+        registry if processed_to is not None else listing.drop("event_count"),
+        listing,
+        contracts_of(logs, catalog),
     )

@@ -83,12 +83,14 @@ def index_in_order(
     store: EventStore,
     checkpoint: str,
     staged_bucket_blocks: int | None = None,
+    follow: str | None = None,
 ) -> StreamingQuery:
     """Commit each job's logs up to its gap-free frontier, as its chunks are announced.
 
     chunks: stream of announcements; logs: job id -> path of the staged raw logs of its chain,
     which each batch lists anew, or a frame of logs that are all there. The bucket size of
-    staged logs lets a range read prune."""
+    staged logs lets a range read prune. Without `follow` the query works off what is announced
+    and stops; with it (a trigger interval such as "1 second") it keeps polling."""
     for job in jobs:
         validate_job(job)
 
@@ -105,5 +107,6 @@ def index_in_order(
 
     released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})
     writer = released.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=follow) if follow else writer.trigger(availableNow=True)
     with rocksdb_state(chunks.sparkSession):
-        return writer.trigger(availableNow=True).start()
+        return writer.start()

@@ -73,6 +73,16 @@ def test_listing_status_contracts_and_labels(spark):
     assert unknown.event_status(TRANSFER).count() == 0
 
 
+def test_a_batch_is_listed_in_one_scan(spark, tmp_path):
+    logs = frame(spark, [log(e, [account(1), account(2), i], block=i, index=i) for i, e in enumerate([TRANSFER, APPROVAL, TRANSFER], start=1)])
+    logs.write.parquet(f"{tmp_path}/logs")
+    data = index_batch(spark.read.parquet(f"{tmp_path}/logs"), CATALOG, start_block=1)
+    for listed in (data.list_events(), data.list_contracts(), data.table_counts(), data.event_status(TRANSFER)):
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, plan
+    assert {r.event_name: (r.last_block, r.event_count) for r in data.list_events().collect()} == {"Transfer": (3, 2), "Approval": (2, 1)}
+
+
 def test_lag(spark, registered):
     r = Re.synchronize(registered, 1, HASHES, 50)
     jobs = spark.createDataFrame([(1, "0xa", h) for h in HASHES], "chain_id long, contract_address string, event_hash string")

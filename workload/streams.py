@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.frontier import contiguous_frontier
+from logweave.operators.registry import resume_block
 from logweave.operators.routing import decode
 from logweave.plans.jobs import Job
 from logweave.sources import logs as L
-from logweave.sources.store import EventStore, scratch_dir
+from logweave.sources.store import EventStore, export, scratch_dir
 from logweave.streaming.index import backfill, next_block
 from logweave.streaming.release import index_in_order
 
@@ -139,6 +141,43 @@ def stream_late_staging(spark: SparkSession, sf: str) -> DataFrame:
     return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
 
 
+@query(
+    "stream_overlapping_chunks",
+    f"""WITH {E_CTE} SELECT 'tokens' AS job_id, max(bn) + 50 AS frontier, max(bn) + 51 AS next_block, count(*) FILTER (event_type = 'purchase') AS visible FROM e""",
+)
+def stream_overlapping_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks overlap, and the last ones hold no log; stream and batch frontier are the same."""
+    root = scratch_dir(spark, "stream-overlap")
+    logs = Z.token_logs(spark, sf)
+    L.stage_logs(logs, f"{root}/staged", BUCKET)
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    third = top // 3
+    spans = [(1, third), (third - 5, 2 * third), (2 * third + 1, top), (top - 3, top + 20), (top + 21, top + 50), (top + 60, top + 70)]
+    chunks = spark.createDataFrame([("tokens", a, b) for a, b in spans], "job_id string, chunk_start long, chunk_end long")
+    chunks.write.parquet(f"{root}/chunks")
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    job = Job("tokens", Z.TOKEN_CATALOG, start_block=1, from_abi=True)
+    arrivals = spark.readStream.schema(chunks.schema).parquet(f"{root}/chunks")
+    index_in_order(arrivals, {"tokens": f"{root}/staged"}, [job], store, f"{root}/checkpoint", BUCKET).awaitTermination()
+    starts = chunks.select("job_id").distinct().withColumn("start_block", F.lit(1).cast("long"))
+    resumed = resume_block(store.job_registry(job), Z.CHAIN, Z.TOKEN_CATALOG.hashes, 1).withColumnRenamed("resume_block", "next_block")
+    visible = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].agg(F.count("*").alias("visible"))
+    return contiguous_frontier(chunks, starts).crossJoin(resumed).crossJoin(visible)
+
+
+@query("export_round_trip", f"WITH {T_CTE} SELECT 'parquet' AS format, * FROM t UNION ALL SELECT 'csv', * FROM t")
+def export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A table as exported in either format, read again."""
+    root = scratch_dir(spark, "export")
+    rows = decode(Z.token_logs(spark, sf), Z.TRANSFER)
+    for fmt in ("parquet", "csv"):
+        export(rows, f"{root}/{fmt}", fmt)
+    text = spark.read.schema(rows.schema).option("header", True).csv(f"{root}/csv")
+    parts = {"parquet": spark.read.parquet(f"{root}/parquet"), "csv": text}
+    one, two = (df.select(F.lit(fmt).alias("format"), *rows.columns) for fmt, df in parts.items())
+    return one.unionByName(two)
+
+
 class _Crash(EventStore):
     """A store whose commits end before the marker."""
 
