@@ -5,9 +5,14 @@ Every token, of training and of other documents, is dealt to a shard by its cont
 it. A shard has all that follows its contexts, so it counts them, builds its part of the trie, scores
 its tokens, and sends on what the shard of the following word must add: the probability of that word
 by itself. Nothing of the model goes through the driver but the number of tokens, the number of
-words and the few hot words, those with a share of 1/HOT or more of all tokens. Tokens behind a hot
-word are dealt by both words, so no shard has more of them than of others; their context's count is
-known beforehand.
+words, and the counts of hot words and hot pairs.
+
+Hot is what training has HOT_TOKENS times or more, or with a share of 1/HOT or more. So there are at
+most max(HOT, N / HOT_TOKENS) hot words and as many hot pairs, two millionths of the input's bytes.
+Tokens behind a hot word are dealt by both words; their context's count is known beforehand. Both
+words of a hot pair are hot, so hot pairs are found by counting the pairs of hot words. Their tokens are
+scored where the text is read, and not dealt at all. So no key brings a shard more than about
+HOT_TOKENS tokens.
 
 Trie: the contexts' hashes, pointers to their successors, and for each context its successors as
 numbers relative to it, in Elias-Fano code; discounted probabilities and the mass left to the lower
@@ -19,8 +24,8 @@ estimate. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all words s
 
 Tokens: A-Z in lower case, words between blanks, one end for each text. Null texts are empty, and have
 the end alone. Rows stand for themselves, also repeated ones; an id may be null. Other columns are not
-read. Batches of documents are known by the task that read them, so `docs` should be read from files;
-anything else is written to the shared folder first.
+read. Batches of documents are known by the task that read them, so a task that runs again must read
+the same rows: `docs` should be read from files.
 """
 
 from __future__ import annotations
@@ -35,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, mapped
-from .text import binary, joined, mix, release, slices, span_hashes, staged, word_spans
+from .text import Shared, binary, joined, mix, release, slices, span_hashes, staged, word_spans
 
 FOLDS, HELD = 5, 1
 DISCOUNT, MIN_COUNT = 0.75, 2
-HOT, HOT_LEFT = 64, 0.5
+HOT, HOT_TOKENS, HOT_LEFT = 64, 4_000_000, 0.5
 #: Tokens of a shard, and bytes of text in a batch.
 SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20
 #: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
@@ -113,6 +118,11 @@ def dealing_keys(context: np.ndarray, follows: np.ndarray, hot: np.ndarray) -> n
         return np.where(is_in(context, hot), mix(context * np.uint64(3) + follows), mix(context))
 
 
+def hot_from(total: int) -> int:
+    """The least count of a hot word or a hot pair."""
+    return max(HOT + 1, min(-(-total // HOT), HOT_TOKENS))
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination of sorted keys begins."""
     n = len(keys[0])
@@ -123,9 +133,8 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def batch_blobs(context: np.ndarray, follows: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def batch_blobs(context: np.ndarray, follows: np.ndarray, doc: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The tokens of a batch for each shard: contexts, words behind them, documents, counts."""
-    doc = np.repeat(np.arange(len(counts)), counts)
     deal = dealing_keys(context, follows, hot)
     with np.errstate(over="ignore"):
         order = np.argsort((deal & np.uint64(0xFFFFFFFF00000000)) | (mix(context ^ mix(follows)) >> np.uint64(32)), kind="stable")
@@ -134,7 +143,7 @@ def batch_blobs(context: np.ndarray, follows: np.ndarray, counts: np.ndarray, sh
     n = np.diff(np.append(entry, len(doc)))
     deal, context, follows, doc = deal[entry], context[entry], follows[entry], doc[entry]
     part = shard_of(deal, shards).astype(np.int64)
-    cuts = np.append(_runs(part), len(part))
+    cuts = np.append(_runs(part), len(part)) if len(part) else np.zeros(0, np.int64)
     for a, z in zip(cuts[:-1], cuts[1:]):
         v, w, d, c = context[a:z], follows[a:z], doc[a:z], n[a:z]
         pair = _runs(v, w)
@@ -159,6 +168,33 @@ def quantised(p: np.ndarray) -> np.ndarray:
 _VALUES = np.append(10.0 ** (-STEP_SIZE * np.arange(255)), 0.0)
 
 
+class Hot:
+    """Hot words and, as numbers of two of them, hot pairs, with their counts in training."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.pairs = self.pair_counts = np.zeros(0, np.int64)
+
+    def numbers(self, context: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """The number of each pair of hot words, -1 for others."""
+        if not len(self.words):
+            return np.full(len(context), -1)
+        v, w = (np.searchsorted(self.words, x) for x in (context, follows))
+        both = is_in(context, self.words) & is_in(follows, self.words)
+        return np.where(both, v * len(self.words) + w, -1)
+
+    def scored(self, number: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hot pairs: what the context adds to the base, whether it is a word, and what the pair
+        gains over the single word."""
+        v, w = np.divmod(self.pairs, len(self.words))
+        word = self.words[v] != BEGIN
+        left = _VALUES[quantised(np.array([HOT_LEFT]))[0]]
+        a = _VALUES[quantised((1 - HOT_LEFT) * self.pair_counts / self.counts[v])]
+        p = (self.counts[w] + 0.5) / z
+        at = np.searchsorted(self.pairs, number)
+        return np.where(word, np.log10(self.counts[v] + 0.5), 0.0)[at], word[at], (np.log10(a + left * p) - np.log10(p))[at]
+
+
 class Trie:
     """Contexts and the words behind them, with quantised probabilities."""
 
@@ -406,6 +442,36 @@ def word_counts(docs: DataFrame, folds: int, held: int) -> DataFrame:
     return docs.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def pair_counts(docs: DataFrame, hot: Hot, folds: int, held: int) -> DataFrame:
+    """number, c: counts of the pairs of hot words in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, BATCH_BYTES):
+            learned = ~held_out(part.column(0).to_pylist(), folds, held)
+            texts = [t for t, on in zip(binary(part.column(1)).to_pylist(), learned) if on]
+            if texts:
+                numbers = hot.numbers(*tokens(texts)[:2])
+                keys, counts = np.unique(numbers[numbers >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["number", "c"])
+
+    return docs.mapInArrow(run, "number long, c long").groupBy("number").agg(F.sum("c").alias("c"))
+
+
+def _hot(docs: DataFrame, words: DataFrame, total: int, n_docs: int, folds: int, held: int) -> Hot:
+    """At most max(HOT, total / HOT_TOKENS) words, the marks among them, and as many pairs come to the
+    driver."""
+    least = hot_from(total)
+    found = words.where(F.col("c") >= least).toArrow()
+    some = sorted(zip(found.column("word").to_numpy().view(np.uint64).tolist(), found.column("c").to_pylist()))
+    if n_docs >= least:
+        some = sorted([*some, (int(BEGIN), n_docs)])
+    hot = Hot(np.array([w for w, _ in some], np.uint64), np.array([c for _, c in some], np.int64))
+    if some:
+        pairs = pair_counts(docs, hot, folds, held).where(F.col("c") >= least).orderBy("number").toArrow()
+        hot.pairs, hot.pair_counts = pairs.column("number").to_numpy(), pairs.column("c").to_numpy()
+    return hot
+
+
 def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document. Documents whose id falls into the held fold are scored, not learned from."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -414,11 +480,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     total, distinct, n_docs = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("c")))).first()
     total, distinct, n_docs = total or 0, distinct or 0, n_docs or 0
     z = total + 0.5 * (distinct + 1)
-    # At most HOT words have such a share.
-    some = sorted((int(np.array([r.word], np.int64).view(np.uint64)[0]), r.c) for r in words.where((F.col("c") * HOT >= total) & (F.col("c") > HOT)).collect())
-    if n_docs * HOT >= total and n_docs > HOT:
-        some = sorted([*some, (int(BEGIN), n_docs)])
-    hot, hot_counts = np.array([w for w, _ in some], np.uint64), np.array([c for _, c in some], np.int64)
+    shared = Shared(docs.sparkSession, _hot(docs, words, total, n_docs, folds, held))
     shards = max(LEAST_SHARDS, -(-int(total * folds / max(1, folds - 1)) // SHARD_TOKENS))
     tasks = -(-shards // SHARDS_A_TASK)
 
@@ -429,10 +491,20 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 ids, texts = part.column(0), binary(part.column(1)).to_pylist()
                 fold = held_out(ids.to_pylist(), folds, held)
                 context, follows, counts = tokens(texts)
+                hot = shared.value
+                number_of = hot.numbers(context, follows)
+                known = is_in(number_of, hot.pairs)
                 name = task << 32 | number
                 yield name % shards, _HEAD, name, pack(ids.fill_null(0).to_numpy().view(np.uint64), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), fold.astype(np.uint8), counts)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                if known.any():
+                    base, word, gain = hot.scored(number_of[known], z)
+                    here = doc[known]
+                    sums = (np.bincount(here, base, len(counts)), np.bincount(here, word, len(counts)).astype("u4"), np.zeros(len(counts), "f4"))
+                    yield name % shards, _SUMS, name, pack(*sums)
+                    yield name % shards, _SUMS, name, pack(np.bincount(here, gain, len(counts)).astype("f4"))
                 flags = np.array([len(fold)], "<u4").tobytes() + np.packbits(fold).tobytes()
-                for shard, blob in batch_blobs(context, follows, counts, shards, hot):
+                for shard, blob in batch_blobs(context[~known], follows[~known], doc[~known], shards, hot.words):
                     yield shard, _TOKENS, name, flags + blob
                 number += 1
 
@@ -441,10 +513,10 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part, group in _by_part(batches):
-                yield from ((part, k, b, bytes(d)) for k, b, d in group if k == _HEAD)
+                yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
                 own = [r for r in group if r[0] == _TOKENS]
                 if own:
-                    yield from _shard_rows(own, shards, hot, hot_counts)
+                    yield from _shard_rows(own, shards, shared.value.words, shared.value.counts)
 
         yield from _blob_batches(_added_up(rows(), ("f8", "u4", "f4")))
 
@@ -466,7 +538,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
         def rows():
             for part, group in _by_part(batches):
                 yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
-                yield from _word_rows(group, z, hot, hot_counts)
+                yield from _word_rows(group, z, shared.value.words, shared.value.counts)
 
         yield from _blob_batches(_added_up(rows(), ("f4",)))
 

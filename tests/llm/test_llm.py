@@ -390,8 +390,13 @@ def test_elias_fano():
     assert dense.nbytes < 0.4 * 8 * 100_000
 
 
-def test_lm_base_and_model(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("hot_tokens", [lm.HOT_TOKENS, 20])
+def test_lm_base_and_model(spark, docs, empty, monkeypatch, hot_tokens):
+    """Also with so low a bound that there are hot pairs, which no shard meets."""
     monkeypatch.setattr(lm, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot_tokens)
+    if hot_tokens == 20:
+        monkeypatch.setattr(lm, "HOT", 8)
     texts = texts_of(docs)
     split = {i: re.findall(BLANK, lower(t)) for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
@@ -403,7 +408,9 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch):
             pairs.update(zip(chain, chain[1:]))
             behind.update(chain[:-1])
     total, z = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    hot = {w for w in behind if behind[w] * lm.HOT >= total and behind[w] > lm.HOT}
+    hot = {w for w in behind if behind[w] >= lm.hot_from(total)}
+    hot_pairs = [x for x, n in pairs.items() if n >= lm.hot_from(total)]
+    assert all(v in hot for v, _ in hot_pairs) and (len(hot_pairs) > 20 or hot_tokens != 20)
     out = by_id(lm.score(docs))
     assert set(out) == set(texts)
     for i, words in split.items():
