@@ -49,7 +49,7 @@ HOT, HOT_TOKENS, HOT_LEFT = 64, 4_000_000, 0.5
 SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20
 #: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
 #: before they leave it.
-LEAST_SHARDS, SHARDS_A_TASK, SUM_BYTES = 64, 8, 32 << 20
+LEAST_SHARDS, SHARDS_A_TASK, SUM_BYTES = 64, 4, 32 << 20
 #: Quantisation of log10 p: steps of STEP_SIZE, down to the 255th.
 STEP_SIZE = 0.05
 
@@ -60,6 +60,9 @@ _BLOB = "part int, kind int, batch long, data binary"
 #: Kinds of rows: a batch's documents, counts of single words, tokens of a batch in a shard, tokens
 #: that were found and wait for the single word, sums for a batch's documents.
 _HEAD, _WORDS, _TOKENS, _FOUND, _SUMS = 0, 1, 2, 3, 4
+#: Types of the sums of the first pass (base, known words, quantisation steps of what contexts leave)
+#: and of the second (gain of the words found).
+_FIRST_SUMS, _GAINS = ("f8", "i8", "i8"), ("f4",)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -106,6 +109,11 @@ def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
     return (high >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
+def _part_of(number: int) -> int:
+    """A part for what belongs to a batch, as any will do."""
+    return (number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
+
+
 def is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     if not len(some):
         return np.zeros(len(values), bool)
@@ -134,7 +142,8 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def batch_blobs(context: np.ndarray, follows: np.ndarray, doc: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The tokens of a batch for each shard: contexts, words behind them, documents, counts."""
+    """The tokens of a batch for each shard: contexts, words behind them, documents, counts. Documents
+    are numbers, twice their place in the batch, and one more for those held out."""
     deal = dealing_keys(context, follows, hot)
     with np.errstate(over="ignore"):
         order = np.argsort((deal & np.uint64(0xFFFFFFFF00000000)) | (mix(context ^ mix(follows)) >> np.uint64(32)), kind="stable")
@@ -265,30 +274,34 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
     release()
 
 
+def _sparse(place: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The places that occur, in rising order, and the sums of the values at each."""
+    places, at = np.unique(place, return_inverse=True)
+    return places, *(np.bincount(at, v, len(places)) for v in values)
+
+
+def _pack_sums(kinds: tuple, places: np.ndarray, *sums: np.ndarray) -> bytes:
+    """Only documents that have something to add take up room."""
+    return pack(np.diff(places, prepend=0), *(s.astype(k) for s, k in zip(sums, kinds)))
+
+
 def _added_up(rows: Iterator[tuple], kinds: tuple) -> Iterator[tuple[int, int, int, bytes]]:
-    """Rows as they come, but sums of one batch added up over the shards of a task, in the types of
-    `kinds`, until they take up SUM_BYTES."""
-    held: dict[int, list[np.ndarray]] = {}
+    """Rows as they come, but sums of one batch, as places and values, added up over the shards of a
+    task, in the types of `kinds`, until they take up SUM_BYTES."""
+    held: dict[int, list[tuple]] = {}
     size = 0
 
     def flush():
         for number, sums in held.items():
-            yield number & 0x7FFFFFFF, _SUMS, number, pack(*(s.astype(k) for s, k in zip(sums, kinds)))
+            yield _part_of(number), _SUMS, number, _pack_sums(kinds, *_sparse(*map(np.concatenate, zip(*sums))))
         held.clear()
 
     for row in rows:
         if row[1] != _SUMS or not isinstance(row[3], tuple):
             yield row
             continue
-        have = held.get(row[2])
-        if have is None:
-            held[row[2]] = [np.array(s) for s in row[3]]
-            size += sum(s.nbytes for s in row[3])
-        else:
-            for i, s in enumerate(row[3]):
-                if len(s) > len(have[i]):
-                    have[i] = np.pad(have[i], (0, len(s) - len(have[i])))
-                have[i][: len(s)] += s
+        held.setdefault(row[2], []).append(row[3])
+        size += sum(a.nbytes for a in row[3]) + 128
         if size > SUM_BYTES:
             yield from flush()
             size = 0
@@ -313,14 +326,12 @@ def _blob_batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.Re
 
 def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple]:
     """First pass over a shard: the trie is built from its training tokens, and all are scored."""
-    numbers, held_flags, texts = [], [], 0
-    parts: list[tuple] = []
-    for kind, number, data in rows:
-        held = np.unpackbits(np.frombuffer(data[4 : 4 + (n := int(np.frombuffer(data, "<u4", 1)[0]) + 7 >> 3)], np.uint8)).astype(bool)
-        v, w, d, c = blob_tokens(data[4 + n :])
-        parts.append((v, w, d + texts, c, held[d]))
-        numbers.append((number, texts, int(np.frombuffer(data, "<u4", 1)[0])))
-        texts += numbers[-1][2]
+    numbers, begins, parts = [], [0], []
+    for _, number, data in rows:
+        v, w, d, c = blob_tokens(data)
+        parts.append((v, w, (d >> 1) + begins[-1], c, (d & 1).astype(bool)))
+        numbers.append(number)
+        begins.append(int(parts[-1][2].max()) + 1)
     v, w, doc, n, held = (np.concatenate(x) for x in zip(*parts))
     del parts
     order = np.lexsort((w, v))
@@ -337,13 +348,12 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
     entry = np.repeat(np.arange(len(pair)), size)
     word = v != BEGIN  # a context that is a word stands for that word's own token
     found = code < 255
-    sums = [
-        np.bincount(doc, np.where(word, np.log10(count + 0.5)[entry], 0.0) * n, texts),
-        np.bincount(doc, (word & (count > 0)[entry]) * n, texts),
-        np.bincount(doc, np.where(found, 0.0, np.log10(_VALUES[left]))[entry] * n, texts),
-    ]
-    for number, begin, size_ in numbers:
-        yield 0, _SUMS, number, tuple(s[begin : begin + size_] for s in sums)
+    # What is left is a sum of steps, so a whole number.
+    base = np.where(word, np.log10(count + 0.5)[entry], 0.0) * n
+    places, *sums = _sparse(doc, base, (word & (count > 0)[entry]) * n, np.where(found, 0, left.astype(np.int64))[entry] * n)
+    cuts = np.searchsorted(places, begins)
+    for number, begin, a, z in zip(numbers, begins, cuts[:-1], cuts[1:]):
+        yield 0, _SUMS, number, (places[a:z] - begin, *(s[a:z] for s in sums))
     # To the shards of the words: words, pairs with their codes, documents.
     chosen = np.flatnonzero(found[entry])
     if not len(chosen):
@@ -353,14 +363,15 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
     with np.errstate(over="ignore"):
         order = np.argsort((deal & np.uint64(0xFFFFFFFF00000000)) | (mix(w[chosen] ^ mix(v[chosen])) >> np.uint64(32)), kind="stable")
     chosen, e, deal = chosen[order], e[order], deal[order]
-    at = np.searchsorted([b for _, b, _ in numbers], doc[chosen], side="right") - 1
-    inner = doc[chosen] - np.array([b for _, b, _ in numbers])[at]
-    batch = np.array([b for b, _, _ in numbers], np.uint64)
+    at = np.searchsorted(begins, doc[chosen], side="right") - 1
+    inner = doc[chosen] - np.array(begins)[at]
+    batch = np.array(numbers, np.uint64)
     part = shard_of(deal, shards).astype(np.int64)
     cuts = np.append(_runs(part), len(part))
     for a, z in zip(cuts[:-1], cuts[1:]):
         pairs = _runs(e[a:z])
-        yield int(part[a]), _FOUND, 0, pack(w[chosen[a:z]][pairs], code[e[a:z]][pairs], left[e[a:z]][pairs], np.diff(np.append(pairs, z - a)), batch, at[a:z], inner[a:z], n[chosen[a:z]])
+        batches, of = np.unique(at[a:z], return_inverse=True)
+        yield int(part[a]), _FOUND, 0, pack(w[chosen[a:z]][pairs], code[e[a:z]][pairs], left[e[a:z]][pairs], np.diff(np.append(pairs, z - a)), batch[batches], of, inner[a:z], n[chosen[a:z]])
 
 
 def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple]:
@@ -374,7 +385,7 @@ def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, ho
     words, counts = np.concatenate(words), np.concatenate(counts)
     words, first = np.unique(words, return_index=True)
     counts = counts[first]
-    sums: dict[int, np.ndarray] = {}
+    found = []
     for kind, _, data in rows:
         if kind != _FOUND:
             continue
@@ -382,20 +393,16 @@ def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, ho
         c = np.where(is_in(w, words), counts[np.minimum(np.searchsorted(words, w), len(words) - 1)], 0) if len(words) else np.zeros(len(w))
         p = (c + 0.5) / z
         gain = np.repeat(np.log10(_VALUES[a] + _VALUES[left] * p) - np.log10(p), sizes) * n
-        order = np.argsort(at, kind="stable")
-        cuts = np.append(_runs(at[order]), len(order))
-        for b, e in zip(cuts[:-1], cuts[1:]):
-            rows_ = order[b:e]
-            number = int(batch[at[rows_[0]]])
-            made = np.bincount(inner[rows_], gain[rows_])
-            have = sums.get(number)
-            if have is None or len(have) < len(made):
-                made[: 0 if have is None else len(have)] += 0 if have is None else have
-                sums[number] = made
-            else:
-                have[: len(made)] += made
-    for number, values in sums.items():
-        yield 0, _SUMS, number, (values,)
+        found.append((batch[at], inner.astype(np.uint32), gain.astype(np.float32)))
+    if not found:
+        return
+    batch, inner, gain = map(np.concatenate, zip(*found))
+    del found
+    order = np.argsort(batch, kind="stable")
+    batch, inner, gain = batch[order], inner[order], gain[order]
+    cuts = np.append(_runs(batch), len(batch))
+    for b, e in zip(cuts[:-1], cuts[1:]):
+        yield 0, _SUMS, int(batch[b]), _sparse(inner[b:e], gain[b:e])
 
 
 def _document_rows(rows: list[tuple[int, bytes]], n_docs: int, total: int, z: float) -> dict[str, object] | None:
@@ -407,11 +414,14 @@ def _document_rows(rows: list[tuple[int, bytes]], n_docs: int, total: int, z: fl
     base, known, left, gain = (np.zeros(len(ids)) for _ in range(4))
     for kind, data in rows:
         if kind == _SUMS:
-            parts = unpack(data)
-            if len(parts) == 3:
-                base, known, left = base + parts[0], known + parts[1], left + parts[2]
+            steps, *sums = unpack(data)
+            at = np.cumsum(steps.astype(np.int64))
+            if len(sums) == 3:
+                base[at] += sums[0]
+                known[at] += sums[1]
+                left[at] -= STEP_SIZE * sums[2]
             else:
-                gain[: len(parts[0])] += parts[0]
+                gain[at] += sums[0]
     base = base + np.log10(n_docs + 0.5) - n * np.log10(z)
     return {
         "doc_id": pa.array(ids.astype(np.int64), pa.int64(), mask=empty.astype(bool)),
@@ -495,17 +505,16 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 number_of = hot.numbers(context, follows)
                 known = is_in(number_of, hot.pairs)
                 name = task << 32 | number
-                yield name % shards, _HEAD, name, pack(ids.fill_null(0).to_numpy().view(np.uint64), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), fold.astype(np.uint8), counts)
+                yield _part_of(name), _HEAD, name, pack(ids.fill_null(0).to_numpy().view(np.uint64), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), fold.astype(np.uint8), counts)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 if known.any():
                     base, word, gain = hot.scored(number_of[known], z)
-                    here = doc[known]
-                    sums = (np.bincount(here, base, len(counts)), np.bincount(here, word, len(counts)).astype("u4"), np.zeros(len(counts), "f4"))
-                    yield name % shards, _SUMS, name, pack(*sums)
-                    yield name % shards, _SUMS, name, pack(np.bincount(here, gain, len(counts)).astype("f4"))
-                flags = np.array([len(fold)], "<u4").tobytes() + np.packbits(fold).tobytes()
+                    places, base, word, gain = _sparse(doc[known], base, word, gain)
+                    yield _part_of(name), _SUMS, name, _pack_sums(_FIRST_SUMS, places, base, word, np.zeros(len(places)))
+                    yield _part_of(name), _SUMS, name, _pack_sums(_GAINS, places, gain)
+                doc = 2 * doc + np.repeat(fold, counts)
                 for shard, blob in batch_blobs(context[~known], follows[~known], doc[~known], shards, hot.words):
-                    yield shard, _TOKENS, name, flags + blob
+                    yield shard, _TOKENS, name, blob
                 number += 1
 
         yield from _blob_batches(rows())
@@ -518,7 +527,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 if own:
                     yield from _shard_rows(own, shards, shared.value.words, shared.value.counts)
 
-        yield from _blob_batches(_added_up(rows(), ("f8", "u4", "f4")))
+        yield from _blob_batches(_added_up(rows(), _FIRST_SUMS))
 
     def word_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -540,7 +549,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
                 yield from _word_rows(group, z, shared.value.words, shared.value.counts)
 
-        yield from _blob_batches(_added_up(rows(), ("f4",)))
+        yield from _blob_batches(_added_up(rows(), _GAINS))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows = None, []
@@ -560,7 +569,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
             yield from made()
 
     dealt = docs.mapInArrow(deal, _BLOB)
-    scored = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(first_pass, _BLOB)
+    scored = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part").mapInArrow(first_pass, _BLOB)
     with_words = scored.unionByName(words.mapInArrow(word_blobs, _BLOB))
-    added = with_words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(second_pass, _BLOB)
+    added = with_words.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part").mapInArrow(second_pass, _BLOB)
     return added.repartition("batch").sortWithinPartitions("batch").mapInArrow(finish, SCHEMA)
