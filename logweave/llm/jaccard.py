@@ -330,7 +330,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     roots = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("hi", "lo", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    some = F.col("n_shingles") > 0
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     joined_rows = signed.drop("sig").join(known, ["hi", "lo"], "left")
     return joined_rows.select(
         "doc_id",

@@ -349,6 +349,9 @@ def test_jaccard_brute_force(spark, docs, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
     again = table.unionAll(table.where("doc_id < 10"))
     assert jaccard.jaccard_classes(again).count() == again.count()
+    nameless = table.where("doc_id = 1000").withColumn("doc_id", F.lit(None).cast("long"))
+    none = [r for r in jaccard.jaccard_classes(table.unionByName(nameless)).collect() if r.doc_id is None]
+    assert [(r.class_id, r.n_links, r.n_copies) for r in none] == [(None, 0, 1)]
 
 
 def test_cells_lose_no_pair(spark, monkeypatch):
