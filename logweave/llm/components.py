@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from .text import staged
 
 
+#: Links of a node that one task takes; a node with more is dealt to several tasks.
+HUB = 100_000
+
+
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Each node links its larger neighbours (or, if `small`, its smaller ones and itself) to the
-    smallest node among its neighbours and itself."""
+    smallest node among its neighbours and itself. There is at most one hub for HUB links, which bounds
+    the broadcast."""
     if small:
         near = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / HUB).alias("parts")).select("u", F.least("u", "m").alias("m"), "parts")
+    hubs = F.broadcast(least.where(F.col("parts") > 1).select("u", "parts"))
+    dealt = near.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).alias("part"))
+    spread = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    moved = dealt.join(spread, ["u", "part"])
     if small:
         made = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
