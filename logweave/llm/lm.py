@@ -9,18 +9,19 @@ words, and the counts of hot words and hot pairs.
 
 Hot is what training has HOT_TOKENS times or more, or with a share of 1/HOT or more. So there are at
 most max(HOT, N / HOT_TOKENS) hot words and as many hot pairs, two millionths of the input's bytes.
-Tokens behind a hot word are dealt by both words; their context's count is known beforehand. Both
-words of a hot pair are hot, so hot pairs are found by counting the pairs of hot words. Their tokens are
-scored where the text is read, and not dealt at all. So no key brings a shard more than about
-HOT_TOKENS tokens.
+Tokens behind a hot word are dealt by both words; their context's count, and what it leaves, are known
+beforehand: the pairs behind hot words are counted in a pass of their own, and of a hot word the driver
+gets how many pairs have which quantised probability, 255 numbers at most. Tokens of hot pairs are scored
+where the text is read, and not dealt at all. So no key brings a shard more than about HOT_TOKENS
+tokens. Hot or not decides on the place alone; no score depends on it.
 
 Trie: the contexts' hashes, pointers to their successors, and for each context its successors as
 numbers relative to it, in Elias-Fano code; discounted probabilities and the mass left to the lower
 order, each quantised to a byte; all in memory maps. Queries search successors within a context.
 
 p(w|v) = a(v,w) + left(v) * p(w). a is absolute discounting of pairs met MIN_COUNT times or more in
-training, left what the context leaves; behind a hot word a keeps the share 1 - HOT_LEFT of the counts'
-estimate. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all words sum to one.
+training, left what the context leaves. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all
+words sum to one.
 
 Tokens: A-Z in lower case, words between blanks, one end for each text. Null texts are empty, and have
 the end alone. Rows stand for themselves, also repeated ones; an id may be null. Other columns are not
@@ -44,7 +45,7 @@ from .text import Shared, binary, joined, mix, release, slices, span_hashes, sta
 
 FOLDS, HELD = 5, 1
 DISCOUNT, MIN_COUNT = 0.75, 2
-HOT, HOT_TOKENS, HOT_LEFT = 64, 4_000_000, 0.5
+HOT, HOT_TOKENS = 64, 4_000_000
 #: Tokens of a shard, and bytes of text in a batch.
 SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20
 #: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
@@ -177,12 +178,25 @@ def quantised(p: np.ndarray) -> np.ndarray:
 _VALUES = np.append(10.0 ** (-STEP_SIZE * np.arange(255)), 0.0)
 
 
+def discounted(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Codes of a: pairs met `count` times behind contexts met `total` times."""
+    return quantised(np.where(count >= MIN_COUNT, (count - DISCOUNT) / total, 0.0))
+
+
+def left_over(taken: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Codes of what contexts leave: what the quantised probabilities of the words behind them, `taken`
+    in all, leave, and at least the discount of one."""
+    return quantised(np.maximum(1 - taken, DISCOUNT / np.maximum(total, 1)))
+
+
 class Hot:
-    """Hot words and, as numbers of two of them, hot pairs, with their counts in training."""
+    """Hot words and, as numbers of two of them, hot pairs, with their counts in training; and the codes
+    of what hot words leave."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.words, self.counts = words, counts
         self.pairs = self.pair_counts = np.zeros(0, np.int64)
+        self.left = np.zeros(len(words), np.uint8)
 
     def numbers(self, context: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """The number of each pair of hot words, -1 for others."""
@@ -197,8 +211,8 @@ class Hot:
         gains over the single word."""
         v, w = np.divmod(self.pairs, len(self.words))
         word = self.words[v] != BEGIN
-        left = _VALUES[quantised(np.array([HOT_LEFT]))[0]]
-        a = _VALUES[quantised((1 - HOT_LEFT) * self.pair_counts / self.counts[v])]
+        left = _VALUES[self.left[v]]
+        a = _VALUES[discounted(self.pair_counts, self.counts[v])]
         p = (self.counts[w] + 0.5) / z
         at = np.searchsorted(self.pairs, number)
         return np.where(word, np.log10(self.counts[v] + 0.5), 0.0)[at], word[at], (np.log10(a + left * p) - np.log10(p))[at]
@@ -207,24 +221,22 @@ class Hot:
 class Trie:
     """Contexts and the words behind them, with quantised probabilities."""
 
-    def __init__(self, context: np.ndarray, follows: np.ndarray, count: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
-        """Of distinct pairs in rising order, all met in training."""
+    def __init__(self, context: np.ndarray, follows: np.ndarray, count: np.ndarray, hot: Hot):
+        """Of distinct pairs in rising order, all met in training. Behind hot words they need not be
+        all pairs."""
         head = _runs(context)
         v = context[head]
         sums = np.add.reduceat(count, head) if len(head) else np.zeros(0, np.int64)
-        warm = is_in(v, hot)
-        sums[warm] = hot_counts[np.searchsorted(hot, v[warm])]
+        warm = is_in(v, hot.words)
+        at = np.searchsorted(hot.words, v[warm])
+        sums[warm] = hot.counts[at]
         size = np.diff(np.append(head, len(context)))
-        total, warm = np.repeat(sums, size), np.repeat(warm, size)
-        kept = count >= MIN_COUNT
-        a = np.where(warm, (1 - HOT_LEFT) * count / total, np.where(kept, (count - DISCOUNT) / total, 0.0))
-        a_code = quantised(a)
-        # What is left is what the quantised probabilities leave, and at least the discount of one.
-        left = np.where(warm[head], HOT_LEFT, 1 - (np.add.reduceat(_VALUES[a_code], head) if len(head) else 0.0))
-        left = np.maximum(left, np.where(warm[head], HOT_LEFT, DISCOUNT / np.maximum(sums, 1)))
+        a_code = discounted(count, np.repeat(sums, size))
+        left = left_over(np.add.reduceat(_VALUES[a_code], head) if len(head) else np.zeros(0), sums)
+        left[warm] = hot.left[at]
         self.contexts = EliasFano(v)
         self.counts = mapped(sums)
-        self.left = mapped(quantised(left))
+        self.left = mapped(left)
         has = a_code < 255
         words = np.unique(follows[has])
         self.words = EliasFano(words)
@@ -324,7 +336,7 @@ def _blob_batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.Re
         yield batch()
 
 
-def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple]:
+def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: Hot) -> Iterator[tuple]:
     """First pass over a shard: the trie is built from its training tokens, and all are scored."""
     numbers, begins, parts = [], [0], []
     for _, number, data in rows:
@@ -340,11 +352,11 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
     size = np.diff(np.append(pair, len(v)))
     learned = np.add.reduceat(np.where(held, 0, n), pair)
     met = learned > 0
-    trie = Trie(v[pair][met], w[pair][met], learned[met], hot, hot_counts)
+    trie = Trie(v[pair][met], w[pair][met], learned[met], hot)
     count, code, left = trie.find(v[pair], w[pair])
-    warm = is_in(v[pair], hot)
-    count[warm] = hot_counts[np.searchsorted(hot, v[pair][warm])]
-    left = np.where(warm & (left == 0), quantised(np.array([HOT_LEFT]))[0], left)
+    warm = is_in(v[pair], hot.words)
+    at = np.searchsorted(hot.words, v[pair][warm])
+    count[warm], left[warm] = hot.counts[at], hot.left[at]
     entry = np.repeat(np.arange(len(pair)), size)
     word = v != BEGIN  # a context that is a word stands for that word's own token
     found = code < 255
@@ -359,7 +371,7 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: np.ndarray
     if not len(chosen):
         return
     e = entry[chosen]
-    deal = dealing_keys(w[chosen], v[chosen], hot)
+    deal = dealing_keys(w[chosen], v[chosen], hot.words)
     with np.errstate(over="ignore"):
         order = np.argsort((deal & np.uint64(0xFFFFFFFF00000000)) | (mix(w[chosen] ^ mix(v[chosen])) >> np.uint64(32)), kind="stable")
     chosen, e, deal = chosen[order], e[order], deal[order]
@@ -453,23 +465,44 @@ def word_counts(docs: DataFrame, folds: int, held: int) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, hot: Hot, folds: int, held: int) -> DataFrame:
-    """number, c: counts of the pairs of hot words in training documents."""
+    """context (place among the hot words), word (hash), c: counts of all pairs behind hot words in
+    training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, BATCH_BYTES):
             learned = ~held_out(part.column(0).to_pylist(), folds, held)
             texts = [t for t, on in zip(binary(part.column(1)).to_pylist(), learned) if on]
             if texts:
-                numbers = hot.numbers(*tokens(texts)[:2])
-                keys, counts = np.unique(numbers[numbers >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["number", "c"])
+                context, follows, _ = tokens(texts)
+                warm = is_in(context, hot.words)
+                v, w = np.searchsorted(hot.words, context[warm]), follows[warm]
+                order = np.lexsort((w, v))
+                v, w = v[order], w[order]
+                pair = _runs(v, w)
+                counts = np.diff(np.append(pair, len(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(v[pair], pa.int32()), pa.array(w[pair].view(np.int64)), pa.array(counts, pa.int64())], names=["context", "word", "c"])
+
+    return docs.mapInArrow(run, "context int, word long, c long").groupBy("context", "word").agg(F.sum("c").alias("c"))
+
+
+def pair_codes(counted: DataFrame, hot: Hot, least: int) -> DataFrame:
+    """context, code, word, n: how many pairs behind a hot word have a code of a; and of each hot pair,
+    as code -1, its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            v, w, c = (x.to_numpy() for x in part.columns)
+            keys, n = np.unique(v.astype(np.int64) << 8 | discounted(c, hot.counts[v]), return_counts=True)
+            often = c >= least
+            columns = (np.append(keys >> 8, v[often]), np.append(keys & 255, np.full(often.sum(), -1)), np.append(np.zeros(len(keys), np.int64), w[often]), np.append(n, c[often]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["context", "code", "word", "n"])
 
-    return docs.mapInArrow(run, "number long, c long").groupBy("number").agg(F.sum("c").alias("c"))
+    return counted.mapInArrow(run, "context int, code int, word long, n long").groupBy("context", "code", "word").agg(F.sum("n").alias("n"))
 
 
 def _hot(docs: DataFrame, words: DataFrame, total: int, n_docs: int, folds: int, held: int) -> Hot:
-    """At most max(HOT, total / HOT_TOKENS) words, the marks among them, and as many pairs come to the
-    driver."""
+    """At most max(HOT, total / HOT_TOKENS) words, the marks among them, as many pairs, and 256 numbers
+    of each word come to the driver."""
     least = hot_from(total)
     found = words.where(F.col("c") >= least).toArrow()
     some = sorted(zip(found.column("word").to_numpy().view(np.uint64).tolist(), found.column("c").to_pylist()))
@@ -477,8 +510,12 @@ def _hot(docs: DataFrame, words: DataFrame, total: int, n_docs: int, folds: int,
         some = sorted([*some, (int(BEGIN), n_docs)])
     hot = Hot(np.array([w for w, _ in some], np.uint64), np.array([c for _, c in some], np.int64))
     if some:
-        pairs = pair_counts(docs, hot, folds, held).where(F.col("c") >= least).orderBy("number").toArrow()
-        hot.pairs, hot.pair_counts = pairs.column("number").to_numpy(), pairs.column("c").to_numpy()
+        v, code, w, n = (x.to_numpy() for x in pair_codes(pair_counts(docs, hot, folds, held), hot, least).orderBy("context", "code", "word").toArrow().columns)
+        often = code < 0
+        hot.left = left_over(np.bincount(v[~often], n[~often] * _VALUES[code[~often]], len(some)), hot.counts)
+        number = hot.numbers(hot.words[v[often]], w[often].view(np.uint64))
+        order = np.argsort(number)
+        hot.pairs, hot.pair_counts = number[order], n[often][order]
     return hot
 
 
@@ -525,7 +562,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
                 own = [r for r in group if r[0] == _TOKENS]
                 if own:
-                    yield from _shard_rows(own, shards, shared.value.words, shared.value.counts)
+                    yield from _shard_rows(own, shards, shared.value)
 
         yield from _blob_batches(_added_up(rows(), _FIRST_SUMS))
 

@@ -442,6 +442,32 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch, hot_tokens):
     assert lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot, hot_tokens", [(64, 4_000_000), (8, 20), (10**9, 10**9)])
+def test_lm_one_rule_for_all_contexts(spark, docs, monkeypatch, hot, hot_tokens):
+    """Against the quantised values, with some, many and no hot words."""
+    monkeypatch.setattr(lm, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot_tokens)
+    split = {i: ["<", *re.findall(BLANK, lower(t)), ">"] for i, t in texts_of(docs).items()}
+    counts, behind = collections.Counter(), collections.defaultdict(collections.Counter)
+    for i, chain in split.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(chain[1:])
+            for v, w in zip(chain, chain[1:]):
+                behind[v][w] += 1
+    total, z = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    n_hot = sum(sum(c.values()) >= lm.hot_from(total) for c in behind.values())
+    assert n_hot == 0 if hot == 10**9 else n_hot > 3
+    step = lambda p: round(-math.log10(p) / lm.STEP_SIZE) if p else None
+    value = lambda p: 10 ** (-lm.STEP_SIZE * step(p)) if p else 0.0
+    a = {v: {w: value((n - lm.DISCOUNT) / sum(c.values()) if n >= lm.MIN_COUNT else 0.0) for w, n in c.items()} for v, c in behind.items()}
+    left = {v: value(max(1 - sum(a[v].values()), lm.DISCOUNT / sum(c.values()))) for v, c in behind.items()}
+    out = by_id(lm.score(docs))
+    for i, chain in split.items():
+        want = sum(math.log10(a.get(v, {}).get(w, 0.0) + left.get(v, 1.0) * (counts[w] + 0.5) / z) for v, w in zip(chain, chain[1:]))
+        assert abs(out[i].score - want) < 1e-5 * max(1, abs(want))
+
+
 def test_repetition_brute_force(docs, empty):
     out = by_id(repetition.repetition_rules(docs))
     for i, t in texts_of(docs).items():
