@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Each rule is a regex with a label, a keyword and a priority. Keywords are found first, all in one
-pass over the text, and only rules whose keyword occurs are tried. Detections may overlap: one that
+pass over the text, and only rules whose keyword occurs are tried; whatever a rule finds contains its
+keyword. A tag may be an expression of several identifiers; each is a detection of its own. Detections may overlap: one that
 lies inside another of at least its priority is suppressed; of equal spans the higher priority wins,
 then the earlier rule. What is left gives the labels, and the best of it the score.
 
@@ -13,6 +14,7 @@ id and the text are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -95,7 +97,7 @@ mit | 3 | substantial portions | copyright\s+notice\s+and\s+this\s+permission\s+
 mit | 4 | opensource.org | opensource\.org/licenses?/mit(?:-license)?\b
 mit-0 | 2 | mit | \bmit\s+no\s+attribution\b
 x11 | 2 | x11 | \bx11\s+licen[cs]e\b
-x11 | 3 | x consortium | except\s+as\s+contained\s+in\s+this\s+notice,?\s+the\s+names?\s+of\s+the\s+(?:x\s+consortium|above\s+copyright)
+x11 | 3 | contained in this notice | except\s+as\s+contained\s+in\s+this\s+notice,?\s+the\s+names?\s+of\s+the\s+(?:x\s+consortium|above\s+copyright)
 bsd-2-clause | 2 | bsd | \b(?:bsd[- ]2[- ]clause|2[- ]clause\s+bsd|simplified\s+bsd|freebsd)(?:\s+licen[cs]e)?\b
 bsd-3-clause | 2 | bsd | \b(?:bsd[- ]3[- ]clause|3[- ]clause\s+bsd|new\s+bsd|modified\s+bsd|revised\s+bsd)(?:\s+licen[cs]e)?\b
 bsd-4-clause | 2 | bsd | \b(?:bsd[- ]4[- ]clause|4[- ]clause\s+bsd|original\s+bsd)(?:\s+licen[cs]e)?\b
@@ -123,7 +125,7 @@ epl-1.0 | 2 | eclipse | eclipse\s+public\s+licen[cs]e{_V}1(?:\.0)?\b
 epl-2.0 | 2 | eclipse | eclipse\s+public\s+licen[cs]e{_V}2(?:\.0)?\b
 epl | 1 | eclipse | \beclipse\s+public\s+licen[cs]e\b
 epl | 4 | eclipse.org | eclipse\.org/(?:legal/epl|org/documents/epl)
-epl-1.0 | 1 | distribution license | eclipse\s+distribution\s+licen[cs]e
+epl-1.0 | 1 | eclipse distribution | eclipse\s+distribution\s+licen[cs]e
 cddl-1.0 | 2 | common development | common\s+development\s+and\s+distribution\s+licen[cs]e{_V}1\.0\b
 cddl-1.1 | 2 | common development | common\s+development\s+and\s+distribution\s+licen[cs]e{_V}1\.1\b
 cddl | 1 | common development | \bcommon\s+development\s+and\s+distribution\s+licen[cs]e\b
@@ -144,7 +146,7 @@ bsl-1.0 | 2 | boost | \bboost\s+software\s+licen[cs]e(?:{_V}1\.0)?\b
 bsl-1.0 | 4 | boost.org | boost\.org/license_1_0
 busl-1.1 | 2 | business source | \bbusiness\s+source\s+licen[cs]e(?:{_V}1\.1)?\b
 sspl-1.0 | 2 | server side public | \bserver\s+side\s+public\s+licen[cs]e(?:{_V}1)?\b
-elastic-2.0 | 2 | elastic license | \belastic\s+licen[cs]e(?:{_V}2(?:\.0)?)?\b
+elastic-2.0 | 2 | elastic | \belastic\s+licen[cs]e(?:{_V}2(?:\.0)?)?\b
 commons-clause | 2 | commons clause | \bcommons\s+clause\b
 polyform | 2 | polyform | \bpolyform\s+(?:noncommercial|small\s+business|shield|strict|perimeter)\s+licen[cs]e\b
 unlicense | 1 | unlicense | \b(?:the\s+)?unlicense\b(?!-)
@@ -184,7 +186,7 @@ cc-by-nc | 4 | creativecommons.org | creativecommons\.org/licenses/by-nc/\d\.\d
 cc-by-nd | 4 | creativecommons.org | creativecommons\.org/licenses/by-nd/\d\.\d
 cc-by-nc-sa | 4 | creativecommons.org | creativecommons\.org/licenses/by-nc-sa/\d\.\d
 cc-by-nc-nd | 4 | creativecommons.org | creativecommons\.org/licenses/by-nc-nd/\d\.\d
-odbl-1.0 | 2 | open database | \bopen\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[cs]e\b
+odbl-1.0 | 2 | database | \bopen\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[cs]e\b
 odc-by-1.0 | 2 | open data commons | \bopen\s+data\s+commons\s+attribution\s+licen[cs]e\b
 pddl-1.0 | 2 | public domain dedication | \bpublic\s+domain\s+dedication\s+and\s+licen[cs]e\b
 odbl-1.0 | 4 | opendatacommons.org | opendatacommons\.org/licenses/odbl
@@ -233,12 +235,29 @@ proprietary | 3 | unauthorized | unauthorized\s+copying\s+of\s+this\s+(?:file|do
 """
 
 
+#: Keyword of the tags, and what stands behind it: identifiers in any brackets, between operators.
+TAG = "spdx-license-identifier"
+_NAME = r"(?:\(\s*)*[\w.+:-]+(?:\s*\))*"
+_EXPRESSION = re.compile(rf"{TAG}:\s*({_NAME}(?:\s+(?:or|and|with)\s+{_NAME})*)")
+
+
+class Tagged:
+    """Finds a pattern in the expressions of tags."""
+
+    def __init__(self, pattern: str):
+        self.pattern = re.compile(pattern)
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        for m in _EXPRESSION.finditer(text):
+            yield from self.pattern.finditer(text, *m.span(1))
+
+
 def rules() -> list[Rule]:
     """All rules in their order: tags, then the signatures."""
     made = []
     for tag in TAGS:
         name = re.escape(tag).replace(r"\-", "-")
-        made.append(Rule(tag, 5, "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?(?:[\w.+-]+\s+(?:or|and|with)\s+)*{name}(?:-only|-or-later|\+)?(?![\w.+-])"))
+        made.append(Rule(tag, 5, TAG, rf"(?<![\w.+-]){name}(?:-only|-or-later|\+)?(?![\w.+-])"))
     for line in SIGNATURES.strip().splitlines():
         label, priority, keyword, pattern = line.split(" | ", 3)
         made.append(Rule(label, int(priority), keyword, pattern))
@@ -254,7 +273,7 @@ class Span(NamedTuple):
 
 class Scanner:
     def __init__(self) -> None:
-        self.rules = [(r, re.compile(r.pattern)) for r in rules()]
+        self.rules = [(r, (Tagged if r.keyword == TAG else re.compile)(r.pattern)) for r in rules()]
         self.keywords = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for i, (rule, _) in enumerate(self.rules):

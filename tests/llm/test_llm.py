@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -221,6 +222,61 @@ def test_licenses(docs, empty):
     assert [s.label for s in found] == ["apache-2.0", "apache-2.0"]
 
 
+@pytest.mark.parametrize(
+    "expression, names",
+    [
+        ("MIT OR Apache-2.0", ["mit", "apache-2.0"]),
+        ("(MIT OR Apache-2.0) AND ( BSD-3-Clause OR (ISC AND Zlib) )", ["mit", "apache-2.0", "bsd-3-clause", "isc", "zlib"]),
+        ("GPL-2.0-or-later WITH Classpath-exception-2.0 OR LicenseRef-MIT OR EPL-2.0", ["gpl-2.0", "epl-2.0"]),
+        ("MIT AND MIT\n// SPDX-License-Identifier: Unlicense", ["mit", "mit", "unlicense"]),
+        ("Apache-2.0", ["apache-2.0"]),
+    ],
+)
+def test_licenses_of_an_expression(spark, expression, names):
+    text = f"// SPDX-License-Identifier: {expression}\n"
+    spans = [s for s in licenses.Scanner().spans(lower(text)) if s.priority == 5]
+    assert [s.label for s in spans] == names and all(lower(text[s.start : s.stop]).startswith(s.label) for s in spans)
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert set(names) <= set(row.labels.split(",")) and row.score == 1
+
+
+def expansions(items) -> list[str]:
+    """Texts of a parsed pattern: every branch, every listed character, optional parts left out and
+    taken; one of each part at a time where all combinations would be too many."""
+    options = []
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [{"LITERAL": lambda: chr(arg), "RANGE": lambda: chr(arg[0])}.get(str(kind), lambda: " 1au"["SPACE DIGIT WORD NOT_SPACE".split().index(str(arg)[9:])])() for kind, arg in arg]
+        elif name == "BRANCH":
+            some = [t for b in arg[1] for t in expansions(b)]
+        elif name == "SUBPATTERN":
+            some = expansions(arg[3])
+        elif name == "MAX_REPEAT":
+            some = [""] * (not arg[0]) + [t * max(1, arg[0]) for t in expansions(arg[2])]
+        else:
+            some = ['"' if name == "ANY" else ""]
+        options.append(list(dict.fromkeys(some)))
+    if math.prod(map(len, options)) <= 4000:
+        return ["".join(x) for x in itertools.product(*options)]
+    return ["".join(options[j][0] if j != i else t for j in range(len(options))) for i, some in enumerate(options) for t in some]
+
+
+def test_licenses_prefilter_loses_no_alternative():
+    """All that a rule's pattern can take contains the rule's keyword."""
+    for rule, pattern in licenses.Scanner().rules:
+        if rule.priority == 5:
+            assert rule.keyword == "spdx-license-identifier"
+            continue
+        made = [t for t in expansions(re._parser.parse(rule.pattern)) if pattern.search(t)]
+        assert made and [t for t in made if rule.keyword not in re.sub(r"\s+", " ", t)] == []
+    found = licenses.Scanner().spans("elastic licence 2.0. eclipse distribution licence. open data commons database license.")
+    assert [s.label for s in found] == ["elastic-2.0", "epl-1.0", "odbl-1.0"]
+    assert [s.label for s in licenses.Scanner().spans("except as contained in this\nnotice, the names of the above copyright holders")] == ["x11"]
+
+
 def test_decontamination_brute_force(spark, docs, empty):
     texts = texts_of(docs)
     source = re.findall(ALNUM, lower(texts[6]))
