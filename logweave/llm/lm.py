@@ -20,7 +20,7 @@ numbers relative to it, in Elias-Fano code; discounted probabilities and the mas
 order, each quantised to a byte; all in memory maps. Queries search successors within a context.
 
 p(w|v) = a(v,w) + left(v) * p(w). a is absolute discounting of pairs met MIN_COUNT times or more in
-training, left what the context leaves. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all
+training, so of all, left what the context leaves. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all
 words sum to one.
 
 Tokens: A-Z in lower case, words between blanks, one end for each text. Null texts are empty, and have
@@ -44,7 +44,7 @@ from .eliasfano import EliasFano, mapped
 from .text import Shared, binary, joined, mix, release, slices, span_hashes, staged, word_spans
 
 FOLDS, HELD = 5, 1
-DISCOUNT, MIN_COUNT = 0.75, 2
+DISCOUNT, MIN_COUNT = 0.75, 1
 HOT, HOT_TOKENS = 64, 4_000_000
 #: Tokens of a shard, and bytes of text in a batch.
 SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20

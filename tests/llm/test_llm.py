@@ -516,7 +516,7 @@ def test_lm_one_rule_for_all_contexts(spark, docs, monkeypatch, hot, hot_tokens)
     assert n_hot == 0 if hot == 10**9 else n_hot > 3
     step = lambda p: round(-math.log10(p) / lm.STEP_SIZE) if p else None
     value = lambda p: 10 ** (-lm.STEP_SIZE * step(p)) if p else 0.0
-    a = {v: {w: value((n - lm.DISCOUNT) / sum(c.values()) if n >= lm.MIN_COUNT else 0.0) for w, n in c.items()} for v, c in behind.items()}
+    a = {v: {w: value((n - lm.DISCOUNT) / sum(c.values())) for w, n in c.items()} for v, c in behind.items()}
     left = {v: value(max(1 - sum(a[v].values()), lm.DISCOUNT / sum(c.values()))) for v, c in behind.items()}
     out = by_id(lm.score(docs))
     for i, chain in split.items():
