@@ -569,3 +569,100 @@ def test_pipeline_stages_follow_their_operators(spark):
     known = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
     rows = by_id(corpus_pipeline.run(spark, SF))
     assert {i: r.ids for i, r in rows.items()} == {i: known.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
+
+
+def pipeline_tables() -> tuple[list[tuple], dict[int, int], list[str]]:
+    """Documents, labels, and texts of a benchmark, with something to do for every stage."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "ba ce di fo gu ha".split() for b in "lar men tos rik vun sel".split()]
+    line = lambda n=14: " ".join(rng.choice(words) for _ in range(n)) + "."
+    texts: list[str | None] = ["\n".join(line() for _ in range(4)) for _ in range(330)]
+    common = line()
+    for i in (3, 50, 90, 141, 308):
+        texts[i] = f"{texts[i]}\n  {common.upper() if i == 90 else common}"
+    for i, like in ((20, 120), (121, 20), (315, 60)):  # near copies, two of them in one class
+        texts[like] = " ".join(texts[like].split())
+        texts[i] = re.sub(r"^\S+", "vunvun", texts[like])
+    bench = [" ".join(texts[i].split("\n")[1].split()[1:13]) for i in (33, 311)] + [" ".join(texts[40].split("\n")[0].split()[:9]) + " unheard"]
+    texts += [None, "", *("".join(chr(rng.randrange(33, 127)) for _ in range(300)) for _ in range(8)), "ba" * 150]
+    rows = [(i, t, ("en", "fr", None)[0 if i < 280 else 1 if i < 300 else 2] if i < 320 else "de", f"s{i % 3}", len(t) if t is not None else None) for i, t in enumerate(texts)]
+    labels = {i: 1 for i in range(300) if i % 11} | {i: 0 for i in range(332, 336)}
+    return rows, labels, bench
+
+
+def expected_quality(rows: list[tuple], labels: dict[int, int]) -> dict[int, tuple[float, float, float, bool]]:
+    """log10 p, both thresholds of the rate, and the verdict of each document."""
+    p = kneser_ney([t.encode() for i, t, *_ in rows if t is not None and labels.get(i) == 1])
+    rate, sums, sizes, by = {}, {}, {}, collections.defaultdict(list)
+    for i, t, lang, *_ in rows:
+        seq = quality.tokens(t.encode()).tolist() if t else []
+        sizes[i] = max(0, len(seq) - quality.ORDER + 1)
+        sums[i] = sum(math.log10(p(tuple(seq[k : k + quality.ORDER]))) for k in range(sizes[i]))
+        rate[i] = -sums[i] / max(1, sizes[i])
+        if sizes[i] and labels.get(i) == 1:
+            by[lang or ""].append(rate[i])
+            by[None].append(rate[i])
+    cuts = {k: [sorted(r)[math.ceil(q * len(r)) - 1] for q in (quality.TAIL, 1 - quality.TAIL)] for k, r in by.items()}
+    out = {}
+    for i, _, lang, *_ in rows:
+        low, high = cuts.get(lang or "", cuts[None])
+        room = quality.SLACK / math.sqrt(max(1, sizes[i]))
+        out[i] = sums[i], low - room, high + room, sizes[i] > 0 and low - room <= rate[i] <= high + room
+        assert not sizes[i] or min(abs(rate[i] - low + room), abs(rate[i] - high - room)) > 2e-3, "too close for half floats"
+    return out
+
+
+def expected_stages(rows: list[tuple], labels: dict[int, int], bench: list[str]) -> list[list[tuple]]:
+    """What each of the first four stages leaves, by plain Python."""
+    verdicts = expected_quality(rows, labels)
+    stages = [[r for r in rows if verdicts[r[0]][3]]]
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for i, t, *_ in stages[0]:
+        for x in t.split("\n"):
+            holders[key(x)].add(i)
+    gone = {k: max(h) for k, h in holders.items() if len(k) >= 20 and len(h) >= 3}
+    cut = {i: "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i) for i, t, *_ in stages[0]}
+    stages.append([(i, cut[i], lang, source, len(cut[i])) for i, _, lang, source, _ in stages[0]])
+    words = {i: re.findall(ALNUM, lower(t)) for i, t, *_ in stages[1]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    stages.append([r for r in stages[1] if find(r[0]) == r[0]])
+    windows = {tuple(w[a : a + 10]) for w in (re.findall(ALNUM, lower(t)) for t in bench) for a in range(max(1, len(w) - 9))}
+    stages.append([r for r in stages[2] if not any(tuple(words[r[0]][k : k + 10]) in windows for k in range(len(words[r[0]])))])
+    return stages
+
+
+def test_quality_verdicts_and_pipeline_rows_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels, bench = pipeline_tables()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    for name, frame in (("documents", docs), ("labels", marks), ("benchmark", spark.createDataFrame(list(enumerate(bench)), "item_id long, text string"))):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = by_id(quality.classify(docs, marks))
+    for i, (log10_prob, low, high, kept) in expected_quality(rows, labels).items():
+        r = found[i]
+        assert abs(r.log10_prob - log10_prob) <= 2e-3 * abs(log10_prob) and r.kept == kept
+        assert abs(math.log10(r.least) - low) < 2e-3 and abs(math.log10(r.most) - high) < 2e-3
+    stages = expected_stages(rows, labels, bench)
+    sizes = [len(rows), *map(len, stages)]
+    assert all(a > b for a, b in zip(sizes[:1] + sizes[2:], sizes[1:2] + sizes[3:])) and stages[0] != stages[1]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (_, stage), expected in zip(corpus_pipeline.STAGES, stages):
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert sorted(map(tuple, docs.collect())) == expected
+    known = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    whole = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    assert {i: r.ids for i, r in whole.items()} == {i: known.encode(t, add_special_tokens=False).ids for i, t, *_ in stages[-1]}
