@@ -7,7 +7,8 @@ highest window, through a logistic calibration.
 
 Training sees labels of documents only: of a toxic document the window that scores highest is taken as
 toxic, of another the highest windows as clean. It uses whole texts of at most SAMPLE labelled
-documents of each class, chosen by a hash of the id; the model's size is fixed by the constants below.
+documents of each class, chosen by a hash of the id, and of these, in the order of the hash, those
+that fit into SAMPLE_BYTES; the model's size is fixed by the constants below.
 
 Null and empty texts are one window that holds no word. Rows stand for themselves; columns other than
 the id and the text are not read, and labels only in training. Without labels of both classes nothing
@@ -26,6 +27,8 @@ from .text import WORD_BYTES, Shared, map_texts
 
 #: Most labelled documents of each class in training, the bound of the sample.
 SAMPLE = 1000
+#: Most bytes of their texts, for each class.
+SAMPLE_BYTES = 32 << 20
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
 WORDS, GRAMS = 4096, 1 << 14
@@ -295,12 +298,27 @@ def calibrated(best: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return slope, offset
 
 
+def too_long(rows: DataFrame, bound: int) -> list:
+    """Ids of chosen documents whose texts do not fit into the bound of their class any more."""
+    sizes = rows.groupBy("__labelled", "__toxic").agg(F.sum(F.octet_length("__text")).alias("n"))
+    used, out = {0: 0, 1: 0}, []
+    for r in sizes.orderBy(F.xxhash64("__labelled"), "__labelled").collect():
+        if used[r["__toxic"]] + r["n"] > bound:
+            out.append(r["__labelled"])
+        else:
+            used[r["__toxic"]] += r["n"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Network | None:
-    """Trains on whole texts of at most `sample` documents of each class of `labels` (doc_id, toxic)."""
+    """Trains on whole texts of at most `sample` documents, and SAMPLE_BYTES, of each class of `labels`
+    (doc_id, toxic)."""
     one = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("toxic").alias("__toxic"))
     chosen = [one.where(F.col("__toxic") == c).orderBy(F.xxhash64("__labelled"), "__labelled").limit(sample) for c in (0, 1)]
-    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen[0].unionAll(chosen[1])), F.col("__id") == F.col("__labelled")).select("__id", "__text", "__toxic")
-    table = sorted({(r[0], r[1], r[2]) for r in rows.toLocalIterator()})
+    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen[0].unionAll(chosen[1])), F.col("__id") == F.col("__labelled"))
+    left_out = too_long(rows, SAMPLE_BYTES)
+    rows = rows.where(~F.col("__labelled").isin(left_out)) if left_out else rows
+    table = sorted({(r[0], r[1], r[2]) for r in rows.select("__id", "__text", "__toxic").toLocalIterator()})
     return train([t.encode() for _, t, _ in table], [c for _, _, c in table])
 
 

@@ -163,6 +163,19 @@ def test_toxicity_learns_and_scores(spark, empty):
     assert toxicity.toxicity(empty, net).count() == 0
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000, raising=False)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: list(zip(texts, labels)))
+    rows = [(i, ("é" * 600 if i in (4, 7) else f"text {i} " * (1 + i % 5)), i % 2) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    taken = toxicity.fit(table, table)
+    for c in (0, 1):
+        own = [t for t, label in taken if label == c]
+        assert 850 < sum(map(len, own)) <= 1000 and set(own) < {t.encode() for _, t, label in rows if label == c}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 20, raising=False)
+    assert len(toxicity.fit(table, table)) == 100
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.new({b"the": 2, b"a": 3})
     for k in net.p:
