@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licenses, linededup, lm, quality, repetition, toxicity
+from . import bpe, chat, decontaminate, jaccard, licenses, linededup, lm, quality, repetition, resampling, sharding, toxicity, whitening
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -77,5 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_lm": op9_lm,
     "op10_repetition": op10_repetition,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_resampling": resampling.op13_resampling,
+}
+ORACLES: dict[str, str] = {
+    "op1_chat": chat.ORACLE,
+    "op2_line_dedup": linededup.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_chat": chat.ORACLE, "op2_line_dedup": linededup.ORACLE, "op6_decontamination": decontaminate.ORACLE}
