@@ -76,13 +76,9 @@ REGISTRY = T.StructType(
     ]
 )
 
-CHUNKS = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("chunk_start", T.LongType()),
-        T.StructField("chunk_end", T.LongType()),
-        T.StructField("log_count", T.LongType()),
-    ]
+# Files of chunks end with a mark: a record that has the range of the chunk and nothing else.
+CHUNK_JSON = T.StructType(
+    RAW_LOG_JSON.fields + [T.StructField("chunkStart", T.StringType()), T.StructField("chunkEnd", T.StringType())]
 )
 
 # The four columns every event table starts with, in order.

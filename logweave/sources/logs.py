@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import quantity
-from ..schema import RAW_LOG, RAW_LOG_JSON
+from ..schema import CHUNK_JSON, RAW_LOG, RAW_LOG_JSON
 
 DEFAULT_BLOCK_RANGE = 100
 DEFAULT_BUCKET_BLOCKS = 100_000
 
 
-def normalise_logs(records: DataFrame) -> DataFrame:
+def normalise_logs(records: DataFrame, *more: Column) -> DataFrame:
     """Records in JSON-RPC form -> RAW_LOG: 0x quantities become numbers, hex is lower-case."""
     return records.select(
         F.lower("address").alias("address"),
@@ -25,6 +25,7 @@ def normalise_logs(records: DataFrame) -> DataFrame:
         quantity(F.col("transactionIndex")).try_cast("int").alias("transaction_index"),
         quantity(F.col("logIndex")).try_cast("int").alias("log_index"),
         F.coalesce("removed", F.lit(False)).alias("removed"),
+        *more,
     )
 
 
@@ -55,6 +56,28 @@ def stream_logs(spark: SparkSession, path: str, fmt: str = "json", max_files: in
     return lower_hex(reader.schema(RAW_LOG).format(fmt).load(path))
 
 
+def stream_chunks(spark: SparkSession, path: str, max_files: int | None = 1000) -> DataFrame:
+    """A stream over a growing directory of chunk files (`write_chunks`): logs, and marks of the block
+    ranges that a file has in full, with `chunk_start` and `chunk_end` and no log."""
+    reader = spark.readStream.schema(CHUNK_JSON)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    records = reader.json(path)
+    return normalise_logs(records, quantity(F.col("chunkStart")).alias("chunk_start"), quantity(F.col("chunkEnd")).alias("chunk_end"))
+
+
+def write_chunks(logs: DataFrame, plan: DataFrame, path: str, start: int, size: int) -> None:
+    """Write the logs of planned chunks as JSON lines. All logs of a chunk and its mark stand in one
+    file, which a stream takes as a whole; a chunk without logs is its mark alone."""
+    chunk = (F.lit(start) + F.floor((F.col("block_number") - start) / size) * size).cast("long")
+    rows = to_json_records(logs.where(F.col("block_number") >= start)).withColumn("block", quantity(F.col("blockNumber")))
+    rows = rows.withColumn("block_number", F.col("block")).withColumn("chunk_start", chunk).join(plan, "chunk_start").drop("block", "block_number")
+    marks = plan.select("chunk_start", "chunk_end", *[F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_LOG_JSON.fields])
+    hexed = lambda c: F.when(F.col("blockNumber").isNull(), F.concat(F.lit("0x"), F.lower(F.hex(c))))
+    both = rows.select(*marks.columns).unionByName(marks).withColumns({"chunkStart": hexed("chunk_start"), "chunkEnd": hexed("chunk_end")})
+    both.repartition("chunk_start").select(*CHUNK_JSON.names).write.mode("append").json(path)
+
+
 def to_json_records(logs: DataFrame) -> DataFrame:
     """RAW_LOG -> records in JSON-RPC form, for writing log dumps."""
 

@@ -1,38 +1,49 @@
-"""Event tables as partitioned Parquet, with a commit marker per job and batch.
+"""Event tables as folders of Parquet, and commit records that say which folders count.
 
-Every table is partitioned by (block_bucket, job_id, batch_id) and written in dynamic
-overwrite mode, so a batch that runs again replaces what it left behind. The registry of
-the job is written last and is the commit marker: readers take only batches up to the last
-marker of each job, so a batch becomes visible as a whole or not at all.
+A batch writes each table's new rows to a folder of its own, sorted by block, and then one record
+(see `manifest`): a batch becomes visible as a whole or not at all. A batch that runs again after a lost
+driver writes new folders and a new record, in which those of the first attempt are left out.
 
-Jobs do not look at each other when they write: a job's new rows are compared with its own
-committed rows only. Where several jobs have committed, readers make the keys unique.
+Keys stay unique without reading the history. A job compares its new rows only with folders whose blocks
+lie in the buckets that the batch touches, by a 64-bit digest of the key first, a column of its own in
+the folders; key columns are read only if a digest is met again. Jobs do not look at each other when they
+write. Readers make keys unique only in block ranges that folders of different jobs share, and read all
+other ranges without a shuffle.
+
+`compact` brings folders together in place; `vacuum` removes what no kept record names.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 from operator import or_
+from urllib.parse import quote, unquote
 
-from pyspark.errors import AnalysisException
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedupe import block_span, blocks_from_logs, first_per_key, in_block_span, new_rows
-from ..operators.registry import empty_registry, event_schema, register, set_first_block, synchronize
-from ..operators.routing import decode, require_known, route, well_formed
+from ..operators.dedupe import blocks_from_logs, first_per_key, new_rows
+from ..operators.registry import empty_registry, event_schema
+from ..operators.routing import decode, require_known, well_formed
 from ..plans.dataset import IndexedData, LazyTables
 from ..plans.jobs import Job, validate_job
 from ..schema import BLOCKS, EVENT_KEY, RAW_LOG, REGISTRY
-from .catalog import Catalog
-from .logs import DEFAULT_BUCKET_BLOCKS, block_bucket
+from .catalog import MAX_BROADCAST_EVENTS, Catalog
+from .logs import DEFAULT_BUCKET_BLOCKS, block_bucket, topic0
+from .manifest import COMPACTION, Entry, Folders, Manifest, Record, Snapshot, fewer, folder_frame, frontier, merged, overlaps, touches, trimmed
 
-_LAYOUT = ("block_bucket", "job_id", "batch_id")
+#: Column of the folders: a digest of the row's key.
+DIGEST = "__digest"
+#: Tables that a batch writes at once.
+WRITERS = 4
+_DIGEST_FIELD = T.StructField(DIGEST, T.LongType())
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -45,9 +56,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
-def _add_fields(schema: T.StructType, *extra: str) -> T.StructType:
-    kinds = {"block_bucket": T.LongType(), "job_id": T.StringType(), "batch_id": T.LongType(), "slot": T.LongType(), "bucket_blocks": T.LongType(), "has_keys": T.BooleanType()}
-    return T.StructType(schema.fields + [T.StructField(n, kinds[n]) for n in extra])
+def in_ranges(ranges: Iterable[tuple[int, int]]) -> Column:
+    """Whether a row's block lies in one of the ranges; reaches the files as a filter."""
+    return reduce(or_, [F.col("block_number").between(lo, hi) for lo, hi in ranges], F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -57,207 +68,272 @@ class EventStore:
     bucket_blocks: int = DEFAULT_BUCKET_BLOCKS
     keys: bool = True
 
-    def _path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+    @cached_property
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, self.root.rstrip("/"), self.bucket_blocks, self.keys)
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        """A stored table, or an empty one if nothing was written yet."""
-        try:
-            return self.spark.read.schema(schema).parquet(self._path(name))
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def _path(self, path: str) -> str:
+        return f"{self.root.rstrip('/')}/{path}"
 
-    def _write(self, rows: DataFrame, name: str, partitions: Sequence[str]) -> None:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*partitions).parquet(self._path(name))
+    def _new_folder(self, name: str, chain: str, seq: int) -> str:
+        return f"tables/{name}/{quote(chain, safe='')}-{seq}-{uuid.uuid4().hex}"
 
     # -- commits ---------------------------------------------------------------------
 
-    def _commits(self) -> DataFrame:
-        return self._read("commits", _add_fields(REGISTRY, "batch_id", "bucket_blocks", "has_keys", "job_id", "slot"))
-
-    def last_commits(self, below: int | None = None, job_id: str | None = None) -> dict[str, int]:
+    def last_commits(self) -> dict[str, int]:
         """Last committed batch of each job (jobs are configuration, so this is small)."""
-        commits = self._commits()
-        if job_id is not None:
-            commits = commits.where(F.col("job_id") == job_id)
-        if below is not None:
-            commits = commits.where(F.col("batch_id") < below)
-        last: dict[str, int] = {}
-        for r in commits.select("job_id", "batch_id", "bucket_blocks", "has_keys").distinct().collect():
-            if (r.bucket_blocks, r.has_keys) != (self.bucket_blocks, self.keys):
-                raise ValueError(
-                    f"the store was written with bucket_blocks={r.bucket_blocks}, keys={r.has_keys}; open it so"
-                )
-            last[r.job_id] = max(r.batch_id, last.get(r.job_id, r.batch_id))
-        return last
-
-    def _visible(self) -> Column:
-        last = self.last_commits()
-        if not last:
-            return F.lit(False)
-        return reduce(
-            or_, [(F.col("job_id") == job) & (F.col("batch_id") <= batch) for job, batch in sorted(last.items())]
-        )
-
-    def registry(self) -> DataFrame:
+        return {job: r.batch_id for job, r in self.manifest.snapshot().jobs.items()}
+
+    def registry(self, snapshot: Snapshot | None = None) -> DataFrame:
         """Progress per event; where several jobs share an event, the widest range."""
-        rows = self._commits()
-        last = self.last_commits()
-        if not last:
-            return empty_registry(self.spark)
-        current = reduce(or_, [(F.col("job_id") == j) & (F.col("batch_id") == b) for j, b in sorted(last.items())])
-        return (
-            rows.where(current)
-            .groupBy("chain_id", "event_hash", "event_signature", "event_name")
-            .agg(F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"))
-            .select(*REGISTRY.names)
-        )
-
-    def job_registry(self, job: Job, below: int | None = None) -> DataFrame:
+        events: dict[tuple[int, str], tuple[str, str, int, int]] = {}
+        for record in (snapshot or self.manifest.snapshot()).jobs.values():
+            for key, (signature, name, first, last) in record.events.items():
+                known = events.get(key, (signature, name, first, last))
+                events[key] = (*known[:2], min(known[2], first), max(known[3], last))
+        return self._registry_frame(events)
+
+    def _registry_frame(self, events: dict) -> DataFrame:
+        return self.spark.createDataFrame([(*k, *v) for k, v in events.items()], REGISTRY) if events else empty_registry(self.spark)
+
+    def _job_events(self, record: Record, job: Job) -> dict[tuple[int, str], tuple[str, str, int, int]]:
+        """The job's events with their progress; those of its first commit begin at its start block."""
+        start = job.start_block if record.seq < 0 else 0
+        new = {(job.catalog.chain_id, e.hash): (e.signature, e.name, start, 0) for e in job.catalog.events}
+        return record.events | {k: v for k, v in new.items() if k not in record.events}
+
+    def job_registry(self, job: Job) -> DataFrame:
         """The job's own registry rows, new events registered at its start block."""
-        last = self.last_commits(below, job.job_id).get(job.job_id)
-        stored = (
-            empty_registry(self.spark)
-            if last is None
-            else self._commits()
-            .where((F.col("job_id") == job.job_id) & (F.col("batch_id") == last))
-            .select(*REGISTRY.names)
-        )
-        full = register(stored, job.catalog.frame(self.spark))
-        if last is None:
-            full = set_first_block(full, job.catalog.chain_id, job.catalog.hashes, job.start_block)
-        return full
+        return self._registry_frame(self._job_events(self.manifest.read(job.job_id), job))
+
+    def coverage(self, job_id: str) -> DataFrame:
+        """chunk_start, chunk_end of the block ranges that a job has read in full, merged."""
+        ranges = self.manifest.read(job_id).ranges
+        return self.spark.createDataFrame([(job_id, lo, hi) for lo, hi in ranges], "job_id string, chunk_start long, chunk_end long")
 
     # -- reading ---------------------------------------------------------------------
 
-    def table(self, catalog: Catalog, name: str) -> DataFrame:
+    def _rows(self, schema: T.StructType, entries: Sequence[Entry]) -> DataFrame:
+        return folder_frame(self.spark, schema, [self._path(e.path) for e in entries])
+
+    def _unique(self, schema: T.StructType, entries: Sequence[Entry], keys: Sequence[str], prefer: str | None = None) -> DataFrame:
+        """The rows of the folders, each key once. Only ranges that several jobs share are shuffled; of
+        their rows for a key, the one with most in `prefer` stays."""
+        shared = overlaps(entries)
+        if not shared:
+            return self._rows(schema, entries)
+        inside = [e for e in entries if touches(e, shared)]
+        outside = [e for e in entries if e not in inside]
+        twice = self._rows(schema, inside)
+        if prefer is None:
+            once = twice.where(in_ranges(shared)).dropDuplicates(list(keys))
+        else:
+            marked = [self._rows(schema, [e for e in inside if e.owners == o]).withColumn("__owner", F.lit(",".join(o))) for o in sorted({e.owners for e in inside})]
+            ranked = reduce(DataFrame.unionByName, marked).where(in_ranges(shared)).withColumn("__rank", F.struct(-F.col(prefer), F.col("__owner")))
+            once = first_per_key(ranked, keys, ["__rank"]).drop("__rank", "__owner")
+        rest = twice.where(~in_ranges(shared))
+        return (self._rows(schema, outside).unionByName(rest) if outside else rest).unionByName(once)
+
+    def _layout(self, name: str, catalog: Catalog | None = None, chain_id: int | None = None) -> tuple[T.StructType, Sequence[str], str | None]:
+        """Columns, key, and what decides between rows of one key."""
+        if chain_id is not None:
+            return BLOCKS, ["block_number"], "block_timestamp"
+        return event_schema(catalog.tables[name], self.keys), EVENT_KEY, None
+
+    def table(self, catalog: Catalog, name: str, snapshot: Snapshot | None = None) -> DataFrame:
         """Committed rows of one event table."""
-        schema = event_schema(catalog.tables[name], self.keys)
-        rows = self._read(f"tables/{name}", _add_fields(schema, *_LAYOUT))
-        return self._unique(rows, EVENT_KEY).select(*schema.names, "block_bucket")
-
-    def blocks(self, chain_id: int) -> DataFrame:
-        rows = self._read(f"blocks_{chain_id}", _add_fields(BLOCKS, *_LAYOUT))
-        return self._unique(rows, ["block_number"], ["block_timestamp"]).select(*BLOCKS.names, "block_bucket")
-
-    def _unique(self, rows: DataFrame, keys: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
-        """The committed rows; of rows that several jobs hold for a key, the one with most in `prefer`."""
-        seen = rows.where(self._visible())
-        if len(self.last_commits()) < 2:
-            return seen
-        if not prefer:
-            return seen.dropDuplicates(list(keys))
-        ranked = seen.withColumn("__rank", F.struct(*[-F.col(p) for p in prefer], "job_id"))
-        return first_per_key(ranked, keys, ["__rank"]).drop("__rank")
+        schema, keys, prefer = self._layout(name, catalog)
+        return self._unique(schema, (snapshot or self.manifest.snapshot()).entries(name), keys, prefer)
+
+    def blocks(self, chain_id: int, snapshot: Snapshot | None = None) -> DataFrame:
+        schema, keys, prefer = self._layout(f"blocks_{chain_id}", chain_id=chain_id)
+        return self._unique(schema, (snapshot or self.manifest.snapshot()).entries(f"blocks_{chain_id}"), keys, prefer)
 
     def data(self, catalog: Catalog) -> IndexedData:
-        """The committed state as queries see it; read anew on every call."""
-        tables = LazyTables(catalog.tables, lambda name: self.table(catalog, name).drop("block_bucket"))
-        return IndexedData(
-            self.spark,
-            catalog.chain_id,
-            catalog.tables,
-            tables,
-            self.blocks(catalog.chain_id).drop("block_bucket"),
-            self.registry(),
-        )
+        """The committed state as queries see it, read anew on every call. All its tables are of one
+        snapshot, also if batches are committed or folders compacted while it is in use."""
+        seen = self.manifest.snapshot()
+        tables = LazyTables(catalog.tables, lambda name: self.table(catalog, name, seen))
+        return IndexedData(self.spark, catalog.chain_id, catalog.tables, tables, self.blocks(catalog.chain_id, seen), self.registry(seen))
 
     # -- writing ---------------------------------------------------------------------
 
-    def _append(self, name: str, schema: T.StructType, rows: DataFrame, keys: Sequence[str], job: Job, batch_id: int, span: tuple[int, int]) -> None:
-        stored = self._read(name, _add_fields(schema, *_LAYOUT))
-        mine = (F.col("job_id") == job.job_id) & (F.col("batch_id") < batch_id)
-        before = in_block_span(stored.where(mine), span, self.bucket_blocks)
-        fresh = new_rows(before, rows, keys).withColumns(
-            {
-                "block_bucket": block_bucket(F.col("block_number"), self.bucket_blocks),
-                "job_id": F.lit(job.job_id),
-                "batch_id": F.lit(batch_id).cast("long"),
-            }
-        )
-        # Bring a bucket's rows together before writing; the adaptive plan splits a bucket that
-        # is too large for one task and merges small ones.
-        self._write(fresh.hint("rebalance", "block_bucket"), name, _LAYOUT)
-
-    def _held(self, job: Job, below: int | None = None) -> DataFrame:
-        """Logs that the job's last commit held back as they were above the head."""
-        rows = self._read("held", _add_fields(RAW_LOG, "job_id", "batch_id"))
-        last = self.last_commits(below, job.job_id).get(job.job_id, -1)
-        return rows.where((F.col("job_id") == job.job_id) & (F.col("batch_id") == last)).select(*RAW_LOG.names)
-
-    def release(self, job: Job, head: int) -> None:
-        """Commit what was held back and lies at or below the head by now."""
-        last = self.last_commits(job_id=job.job_id).get(job.job_id)
-        if last is not None and not self._held(job).where(F.col("block_number") <= head).isEmpty():
-            self.commit_batch(self.spark.createDataFrame([], RAW_LOG), job, last + 1, head=head)
-
-    def commit_batch(self, logs: DataFrame, job: Job, batch_id: int, processed_to: int | None = None, head: int | None = None) -> None:
-        """Store a batch of a job's logs: blocks, event tables, then the commit marker.
-
-        processed_to: the last block the batch covers, also when it holds no logs; without
-        it progress is the highest block seen. head: logs above it are held back for a later
-        batch, and those held back before join this one."""
+    def known_rows(self, schema: T.StructType, entries: Sequence[Entry], buckets: Sequence[int]) -> DataFrame | None:
+        """Stored rows in the buckets that a batch touches, from the folders that have such blocks."""
+        size = self.bucket_blocks
+        touched = fewer([(b * size, (b + 1) * size - 1) for b in buckets])
+        near = [e for e in entries if touches(e, touched)]
+        fields = T.StructType([*schema.fields, _DIGEST_FIELD])
+        return self._rows(fields, near).where(in_ranges(touched)) if near else None
+
+    def _fresh(self, rows: DataFrame, schema: T.StructType, keys: Sequence[str], stored: Sequence[Entry], buckets: Sequence[int]) -> DataFrame:
+        """The rows of a batch whose keys are not stored yet, once each."""
+        once = new_rows(None, rows, keys).withColumn(DIGEST, F.xxhash64(*keys))
+        before = self.known_rows(schema, stored, buckets)
+        if before is None:
+            return once
+        if before.select(DIGEST).join(once.select(DIGEST), DIGEST, "left_semi").isEmpty():
+            return once
+        return once.join(before.select(*keys, DIGEST), [*keys, DIGEST], "left_anti")
+
+    def _append(self, name: str, schema: T.StructType, rows: DataFrame, keys: Sequence[str], stored: Sequence[Entry], buckets: Sequence[int], path: str) -> None:
+        fresh = self._fresh(rows, schema, keys, stored, buckets).select(*schema.names, DIGEST)
+        # Blocks of one bucket come together; the adaptive plan splits a bucket that is too large for
+        # one task and merges small ones.
+        spread = fresh.withColumn("__bucket", block_bucket(F.col("block_number"), self.bucket_blocks)).hint("rebalance", "__bucket")
+        spread.sortWithinPartitions("block_number").drop("__bucket").write.parquet(self._path(path))
+
+    def _summary(self, logs: DataFrame, catalog: Catalog, head: int | None) -> dict[str | None, tuple[int, int, list[int]]]:
+        """For each event table of a batch's logs, None for all logs, "held" for those above the head:
+        lowest and highest block, and the buckets between."""
+        known = catalog.frame(self.spark).select("event_hash", "table_name")
+        known = F.broadcast(known) if len(catalog.events) <= MAX_BROADCAST_EVENTS else known
+        placed = well_formed(logs).withColumn("event_hash", topic0(logs)).join(known, "event_hash", "left")
+        later = F.lit(False) if head is None else F.col("block_number") > head
+        bucket = block_bucket(F.col("block_number"), self.bucket_blocks)
+        counted = placed.groupBy(later.alias("later"), "table_name", bucket.alias("bucket")).agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
+        rows = counted.groupBy("later", "table_name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("bucket").alias("buckets")).collect()
+        out: dict[str | None, tuple[int, int, list[int]]] = {}
+        for r in rows:
+            for name in {"held"} if r.later else {None, r.table_name}:
+                lo, hi, buckets = out.get(name, (r.lo, r.hi, []))
+                out[name] = (min(lo, r.lo), max(hi, r.hi), sorted({*buckets, *r.buckets}))
+        return out
+
+    def _released(self, held: Sequence[Entry], head: int) -> DataFrame | None:
+        """Logs that were held back and lie at or below the head by now."""
+        parts = [self._rows(RAW_LOG, [e]).where(F.col("block_number").between(e.lo, min(e.hi, head))) for e in held if e.lo <= head]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def commit_batch(
+        self,
+        logs: DataFrame,
+        job: Job,
+        batch_id: int,
+        processed_to: int | None = None,
+        head: int | None = None,
+        covered: Sequence[tuple[int, int]] | None = None,
+    ) -> None:
+        """Store a batch of a job's logs: blocks, event tables, then the commit record.
+
+        covered: block ranges that the batch has in full, also those without logs. Progress is then
+        what is covered from the job's start on without a gap, as far as the head lets. processed_to:
+        the same as one number, if the caller knows it. Without either, progress is the highest block
+        seen. head: logs above it are held back for a later batch, and those held back before join
+        this one. A batch that has run before replaces what it left."""
         validate_job(job)
-        last = self.last_commits(job_id=job.job_id).get(job.job_id)
-        if last is not None and batch_id < last:
+        snapshot = self.manifest.snapshot()
+        last = snapshot.jobs.get(job.job_id, Record())
+        if batch_id < last.batch_id:
             raise RuntimeError(
-                f"job {job.job_id} has committed batch {last}, but its stream is at {batch_id}: "
+                f"job {job.job_id} has committed batch {last.batch_id}, but its stream is at {batch_id}: "
                 "the checkpoint does not belong to this store"
             )
-        if head is not None:
-            logs = logs.select(*RAW_LOG.names).unionByName(self._held(job, below=batch_id))
-            later = logs.where(F.col("block_number") > head)
-            self._write(later.withColumns({"job_id": F.lit(job.job_id), "batch_id": F.lit(batch_id).cast("long")}), "held", ["job_id", "batch_id"])
-            logs = logs.where(F.col("block_number") <= head)
+        before = last.held_before if batch_id == last.batch_id else last.held
+        logs = logs.select(*RAW_LOG.names)
+        if head is not None and (ready := self._released(before, head)) is not None:
+            logs = logs.unionByName(ready)
         if job.strict:
-            require_known(logs, job.catalog)
-        span = block_span(well_formed(logs))
-        if span is not None:
-            routed = route(logs, job.catalog)
-            present = {r.table_name for r in routed.select("table_name").distinct().collect()}
+            require_known(logs if head is None else logs.where(F.col("block_number") <= head), job.catalog)
+        found = self._summary(logs, job.catalog, head)
+        seq = self.manifest.next_seq(job.job_id)
+        held = before if head is None else trimmed(before, head)
+        writes: list[Callable[[], None]] = []
+        if later := found.pop("held", None):
+            folder = self._new_folder("held", job.job_id, seq)
+            writes.append(lambda: logs.where(F.col("block_number") > head).write.parquet(self._path(folder)))
+            # Folders that were held before are not written anew: of those, only a higher part counts.
+            held = (*held, Entry("held", folder, (job.job_id,), later[0], later[1], seq, batch_id))
+        files = [e for e in snapshot.own(job.job_id) if e.batch_id < batch_id]
+        whole = found.pop(None, None)
+        if whole is None and not writes and held == before and processed_to is None and not covered and last.seq >= 0:
+            return
+        if whole is not None:
+            mine = logs if head is None else logs.where(F.col("block_number") <= head)
             chain = job.catalog.chain_id
-            self._append(f"blocks_{chain}", BLOCKS, blocks_from_logs(well_formed(logs)), ["block_number"], job, batch_id, span)
+            tables: list[tuple[str, DataFrame, tuple]] = [(f"blocks_{chain}", blocks_from_logs(well_formed(mine)), (BLOCKS, ["block_number"]))]
             for name, event in job.catalog.tables.items():
-                if name in present:
-                    rows = decode(logs, event, keys=self.keys)
-                    self._append(f"tables/{name}", event_schema(event, self.keys), rows, EVENT_KEY, job, batch_id, span)
-        if processed_to is None and span is not None:
-            processed_to = span[1]
-        self._commit(job, batch_id, processed_to)
-
-    def _commit(self, job: Job, batch_id: int, reached: int | None) -> None:
-        registry = self.job_registry(job, below=batch_id)
+                if name in found:
+                    tables.append((name, decode(mine, event, keys=self.keys), (event_schema(event, self.keys), EVENT_KEY)))
+            for name, rows, (schema, keys) in tables:
+                lo, hi, buckets = found.get(name, whole)
+                stored = [*(e for e in files if e.name == name), *snapshot.compacted(name)]
+                path = self._new_folder(name, job.job_id, seq)
+                files.append(Entry(name, path, (job.job_id,), lo, hi, seq, batch_id))
+                writes.append(lambda a=(name, schema, rows, keys, stored, buckets, path): self._append(*a))
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(w)) for w in writes]:
+                done.result()
+        ranges = merged([*last.ranges, *(covered or ())])
+        if processed_to is None and covered is not None:
+            # Logs above the head wait, so what is covered does not count beyond it yet.
+            processed_to = min([frontier(ranges, job.start_block), *([head] if head is not None else []), *(e.lo - 1 for e in held)])
+        elif processed_to is None and whole is not None:
+            processed_to = whole[1]
+        self._commit(job, batch_id, processed_to, Record(seq, batch_id, tuple(files), held, before, ranges, self._job_events(last, job)))
+
+    def _commit(self, job: Job, batch_id: int, reached: int | None, record: Record) -> None:
+        events = dict(record.events)
         if reached is not None:
-            registry = synchronize(registry, job.catalog.chain_id, job.catalog.hashes, reached)
-        # Two slots: the marker goes to the one that the newest other marker does not use, so that
-        # one stays readable while this is written, and markers do not pile up.
-        used = {r.batch_id: r.slot for r in self._commits().where(F.col("job_id") == job.job_id).select("batch_id", "slot").distinct().collect()}
-        earlier = [b for b in used if b < batch_id]
-        slot = used[batch_id] if batch_id in used else 1 - used[max(earlier)] if earlier else 0
-        marker = registry.withColumns(
-            {
-                "batch_id": F.lit(batch_id).cast("long"),
-                "bucket_blocks": F.lit(self.bucket_blocks).cast("long"),
-                "has_keys": F.lit(self.keys),
-                "job_id": F.lit(job.job_id),
-                "slot": F.lit(slot).cast("long"),
-            }
-        )
-        self._write(marker.coalesce(1), "commits", ["job_id", "slot"])
-
-    def compact(self, catalog: Catalog, name: str, path: str) -> None:
-        """Write the committed rows of a table as few large files in block order, elsewhere."""
-        rows = self.table(catalog, name)
-        (
-            rows.repartitionByRange("block_number", "transaction_hash", "log_index")
-            .sortWithinPartitions("block_bucket", "block_number", "log_index")
-            .write.mode("overwrite")
-            .partitionBy("block_bucket")
-            .parquet(path)
-        )
+            for h in job.catalog.hashes:
+                signature, name, first, last = events[job.catalog.chain_id, h]
+                events[job.catalog.chain_id, h] = (signature, name, first, max(last, reached))
+        self.manifest.write(job.job_id, replace(record, events=events))
+
+    # -- upkeep ----------------------------------------------------------------------
+
+    def compact(self, catalog: Catalog, name: str | None = None, path: str | None = None, full: bool = False) -> None:
+        """Bring the folders of a table (all tables and blocks without a name) together as few large
+        files in block order. Readers and jobs may go on; one compaction runs at a time.
+
+        Folders that came since the last compaction become one; `full` takes all anew. With a path
+        the rows are written there, and the store stays as it is."""
+        if path is not None:
+            self._in_block_order(self.table(catalog, name), EVENT_KEY).write.mode("overwrite").parquet(path)
+            return
+        snapshot = self.manifest.snapshot()
+        blocks = f"blocks_{catalog.chain_id}"
+        seq = self.manifest.next_seq(COMPACTION)
+        files, through = list(snapshot.compaction.files), dict(snapshot.compaction.through)
+        changed = False
+        for table in [name] if name else [blocks, *catalog.tables]:
+            schema, keys, prefer = self._layout(table, catalog, catalog.chain_id if table == blocks else None)
+            own = [e for job in snapshot.jobs for e in snapshot.own(job, table)]
+            # Blocks that several jobs hold are weighed against each other, so these are taken as a whole.
+            old = snapshot.compacted(table) if full or prefer else ()
+            if not own and len(old) < 2:
+                continue
+            rows = self._unique(schema, [*old, *own], keys, prefer)
+            folder = self._new_folder(table, COMPACTION, seq)
+            self._in_block_order(rows.withColumn(DIGEST, F.xxhash64(*keys)), keys).write.parquet(self._path(folder))
+            owners = tuple(sorted({o for e in (*old, *own) for o in e.owners}))
+            files = [e for e in files if e not in old]
+            files.append(Entry(table, folder, owners, min(e.lo for e in (*old, *own)), max(e.hi for e in (*old, *own)), seq))
+            through |= {(table, job): max(e.seq for e in snapshot.own(job, table)) for job in snapshot.jobs if snapshot.own(job, table)}
+            changed = True
+        if changed:
+            self.manifest.write(COMPACTION, Record(seq, files=tuple(files), through=through))
+
+    @staticmethod
+    def _in_block_order(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove records but the last `keep` of each chain, and folders that only those, or lost
+        commits, have named. Readers that began before the kept records must have ended. Returns the
+        number of folders removed."""
+        if keep < 1:
+            raise ValueError("keep at least one record")
+        named, last = self.manifest.forget(keep)
+        folders, removed = Folders(self.spark), 0
+        for table in folders.names(self._path("tables")):
+            for folder in folders.names(self._path(f"tables/{table}")):
+                chain, seq, _ = folder.rsplit("-", 2)
+                # A later number than the last record's may be of a commit that is under way.
+                if f"tables/{table}/{folder}" not in named and int(seq) <= last.get(unquote(chain), -1):
+                    folders.remove(self._path(f"tables/{table}/{folder}"))
+                    removed += 1
+        return removed
 
 
 def export(rows: DataFrame, path: str, fmt: str = "parquet") -> None:

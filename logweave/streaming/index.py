@@ -8,13 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.frontier import islands
 from ..operators.registry import require_aligned, resume_block
 from ..plans.jobs import Job, job_logs, validate_job
 from ..sources.store import EventStore
 
 PROGRESS = "indexing"
-#: Store batches for each batch of a stream: the first is the stream's own, the others commit what it held back.
-RELEASES = 1 << 20
+
+
+def _heartbeat(like: DataFrame) -> DataFrame:
+    """A stream without rows of the same columns that has something new at each trigger, so that a
+    batch runs, and the head is asked for, also while no file comes."""
+    beat = like.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.lit(False))
+    return beat.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def _covered(batch: DataFrame, job: Job) -> list[tuple[int, int]]:
+    """The block ranges that a batch's chunk marks cover, merged before they come to the driver."""
+    marks = batch.where(F.col("chunk_start").isNotNull() & F.col("chunk_end").isNotNull())
+    chunks = islands(marks.select(F.lit(job.job_id).alias("job_id"), "chunk_start", "chunk_end"))
+    return [(r.chunk_start, r.chunk_end) for r in chunks.collect()]
 
 
 def index_stream(
@@ -27,9 +40,12 @@ def index_stream(
 ) -> StreamingQuery:
     """Start indexing a stream of raw logs for one job.
 
+    A stream of chunks (`stream_chunks`) also says which block ranges its files cover. Progress is then
+    what the store has without a gap, empty ranges included; else it is the highest block seen.
+
     head: the highest final block, as a number or a function that is asked for each batch.
-    Logs above it are held back in the store and committed by a later batch, or at the next
-    start, once the head has reached them.
+    Logs above it are held back in the store, and committed by the first batch that finds the
+    head beyond them. A heartbeat makes sure that such a batch comes.
 
     Without `follow` the query works off what is there and stops; with it (a trigger
     interval such as "1 second") it keeps polling. The checkpoint makes a restart go on
@@ -37,21 +53,24 @@ def index_stream(
     and logs that were delivered before are not stored twice."""
     validate_job(job)
     require_aligned(store.job_registry(job), job.catalog.chain_id, job.catalog.hashes)
+    chunked = "chunk_end" in logs.columns
 
     def final() -> int | None:
         return head() if callable(head) else head
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        mine = batch.persist()
+        held = batch.persist()
         try:
-            store.commit_batch(mine, job, batch_id * RELEASES, head=final())
+            mine = job_logs(held, job).drop("job_id", "chain_id") if chunked else held
+            store.commit_batch(mine, job, batch_id, head=final(), covered=_covered(held, job) if chunked else None)
         finally:
-            mine.unpersist()
+            held.unpersist()
 
+    # Marks of chunks must reach the batch, so the job's filters wait until then.
+    wanted = logs if chunked else job_logs(logs, job).drop("job_id", "chain_id")
+    wanted = wanted.observe(PROGRESS, F.max("block_number").alias("indexed_block"), F.count("block_number").alias("logs"))
     if head is not None:
-        store.release(job, final())
-    wanted = job_logs(logs, job).drop("job_id", "chain_id")
-    wanted = wanted.observe(PROGRESS, F.max("block_number").alias("indexed_block"), F.count("*").alias("logs"))
+        wanted = wanted.unionByName(_heartbeat(wanted))
     writer = wanted.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     writer = writer.queryName(f"index-{job.job_id}")
     writer = writer.trigger(processingTime=follow) if follow else writer.trigger(availableNow=True)

@@ -103,7 +103,7 @@ def index_in_order(
                 source = logs[job.job_id]
                 rows = read_logs(store.spark, source, "parquet") if isinstance(source, str) else source
                 mine = block_range(job_logs(rows, job), lo, hi, staged_bucket_blocks)
-                store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi)
+                store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi, covered=[(lo, hi)])
 
     released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})
     writer = released.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from logweave.operators.registry import resume_block
 from logweave.operators.routing import decode
 from logweave.plans.jobs import Job
 from logweave.sources import logs as L
+from logweave.sources.manifest import Record
 from logweave.sources.store import EventStore, export, scratch_dir
-from logweave.streaming.index import backfill, next_block
+from logweave.streaming.index import backfill, index_stream, next_block
 from logweave.streaming.release import index_in_order
 
 from . import adapters as Z
@@ -181,7 +185,7 @@ def export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 class _Crash(EventStore):
     """A store whose commits end before the marker."""
 
-    def _commit(self, job: Job, batch_id: int, reached: int | None) -> None:
+    def _commit(self, job: Job, batch_id: int, reached: int | None, record: Record) -> None:
         raise RuntimeError("the driver is lost")
 
 
@@ -234,6 +238,134 @@ def store_sparse_commits(spark: SparkSession, sf: str) -> DataFrame:
     return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].agg(F.count("*").alias("transfers"))
 
 
+@query("store_compacted", f"WITH {T_CTE} SELECT * FROM t")
+def store_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight commits, compaction, two more commits and compaction again, then a vacuum: the rows that a
+    reader began with before, and those that one finds after, are the same but for the later commits."""
+    root = scratch_dir(spark, "store-compacted")
+    L.stage_logs(Z.token_logs(spark, sf), f"{root}/staged", BUCKET)
+    logs = spark.read.parquet(f"{root}/staged")
+    job = Job("tokens", Z.TOKEN_CATALOG, start_block=1, from_abi=True)
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    part = F.pmod("block_number", F.lit(10))
+    for batch in range(8):
+        store.commit_batch(logs.where(part == batch), job, batch)
+    before = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
+    store.compact(Z.TOKEN_CATALOG)
+    for batch in (8, 9):
+        store.commit_batch(logs.where((part == batch) | (part == 0)), job, batch)
+    store.compact(Z.TOKEN_CATALOG)
+    old = before.where(part < 8)
+    old.write.parquet(f"{root}/old")
+    store.vacuum(keep=1)
+    now = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
+    return spark.read.parquet(f"{root}/old").unionByName(now.where(part >= 8)).intersectAll(now)
+
+
+@query(
+    "store_disjoint_jobs",
+    f"""WITH {E_CTE}, m AS (SELECT max(bn) // 2 AS middle, max(bn) // 4 AS quarter FROM e)
+    SELECT 'transfers' AS what, count(*) FILTER (event_type = 'purchase') AS n FROM e
+    UNION ALL SELECT 'blocks', count(DISTINCT bn) FROM e
+    UNION ALL SELECT 'twice', count(*) FILTER (event_type = 'purchase' AND bn BETWEEN quarter AND middle) FROM e, m""",
+)
+def store_disjoint_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs meet at the middle, a third has a quarter of the blocks again: only that is made unique."""
+    root = scratch_dir(spark, "store-disjoint")
+    L.stage_logs(Z.token_logs(spark, sf), f"{root}/staged", BUCKET)
+    logs = spark.read.parquet(f"{root}/staged")
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    middle, quarter = top // 2, top // 4
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    again = Job("again", Z.TOKEN_CATALOG, start_block=1, from_abi=True)
+    spans = {"low": (1, middle), "high": (middle + 1, top), "again": (quarter, middle)}
+    for name, (lo, hi) in spans.items():
+        store.commit_batch(L.block_range(logs, lo, hi, BUCKET), Job(name, Z.TOKEN_CATALOG, start_block=1, from_abi=True), 0)
+    data = store.data(Z.TOKEN_CATALOG)
+    mine = [e.path for e in store.manifest.snapshot().own(again.job_id, TRANSFER_TABLE)]
+    parts = {
+        "transfers": data.tables[TRANSFER_TABLE],
+        "blocks": data.blocks,
+        "twice": spark.read.parquet(*[f"{root}/store/{p}" for p in mine]),
+    }
+    return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, rows in parts.items()])
+
+
+@query(
+    "stream_empty_ranges",
+    f"""WITH {E_CTE}, h AS (SELECT max(bn) AS h, max(bn) // 40 + 1 AS size FROM e)
+    SELECT step, last_block, transfers FROM (
+      SELECT 1 AS step, 0 AS last_block UNION ALL SELECT 2, 21 * (SELECT size FROM h) UNION ALL SELECT 3, 50 * (SELECT size FROM h)) s,
+      (SELECT count(*) FILTER (event_type = 'purchase' AND bn > (SELECT 20 * size FROM h)) AS high, count(*) FILTER (event_type = 'purchase') AS whole,
+        count(*) FILTER (event_type = 'purchase' AND (bn <= (SELECT 21 * size FROM h) OR bn > (SELECT 30 * size FROM h))) AS both_ends FROM e) c,
+      LATERAL (SELECT CASE step WHEN 1 THEN (SELECT count(*) FROM e WHERE event_type = 'purchase' AND bn > (SELECT 30 * size FROM h)) WHEN 2 THEN both_ends ELSE whole END AS transfers)""",
+)
+def stream_empty_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk files beyond the last log, then the lower half, then what was left out: progress is the
+    covered range, that of `contiguous_frontier`, with ranges that hold no log."""
+    root = scratch_dir(spark, "stream-ranges")
+    L.stage_logs(Z.token_logs(spark, sf), f"{root}/staged", BUCKET)
+    logs = spark.read.parquet(f"{root}/staged")
+    size = logs.agg(F.max("block_number").alias("m")).first().m // 40 + 1
+    plan = L.chunk_plan(spark, 1, 50 * size, size)
+    number = F.floor((F.col("chunk_start") - 1) / size)
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    starts = spark.createDataFrame([("tokens", 1)], "job_id string, start_block long")
+    steps = []
+    for step, chosen in enumerate((number >= 30, number <= 20, (number > 20) & (number < 30)), 1):
+        L.write_chunks(logs, plan.where(chosen), f"{root}/in", 1, size)
+        backfill(L.stream_chunks(spark, f"{root}/in", max_files=5), JOB, store, f"{root}/checkpoint")
+        last = next_block(store, JOB) - 1
+        assert contiguous_frontier(store.coverage("tokens"), starts).first().frontier == last
+        transfers = store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].count()
+        steps.append((step, last, transfers))
+    return spark.createDataFrame(steps, "step int, last_block long, transfers long")
+
+
+@query("stream_follow_head", f"WITH {T_CTE} SELECT 'held' AS state, count(*) FILTER (block_number <= (SELECT max(bn) // 2 FROM e)) AS transfers FROM t UNION ALL SELECT 'released', count(*) FROM t")
+def stream_follow_head(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream in follow mode whose head moves from the middle to the top while no file comes."""
+    root = scratch_dir(spark, "stream-follow")
+    logs = Z.token_logs(spark, sf)
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    write_dump(logs, f"{root}/in")
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    head = {"at": top // 2}
+    seen = lambda: store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE].count()
+    running = index_stream(L.stream_logs(spark, f"{root}/in"), JOB, store, f"{root}/checkpoint", follow="1 second", head=lambda: head["at"])
+    counts = []
+    try:
+        for state, stand in (("held", top // 2), ("released", top)):
+            head["at"] = stand
+            end = time.monotonic() + 120
+            while next_block(store, JOB) <= stand and time.monotonic() < end:
+                time.sleep(0.2)
+            counts.append((state, seen()))
+    finally:
+        running.stop()
+    return spark.createDataFrame(counts, "state string, transfers long")
+
+
+@query("stream_replay_after_release", f"WITH {T_CTE} SELECT * FROM t")
+def stream_replay_after_release(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch held logs back; with the head moved, the same batch runs again before and after another
+    one released them, as it does if the driver was lost before the stream's own checkpoint."""
+    root = scratch_dir(spark, "stream-replay")
+    L.stage_logs(Z.token_logs(spark, sf), f"{root}/staged", BUCKET)
+    logs = L.read_logs(spark, f"{root}/staged", "parquet")
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    low, high = logs.where(F.col("block_number") % 2 == 0), logs.where(F.col("block_number") % 2 == 1)
+    store.commit_batch(low, JOB, 0, head=top // 3)
+    store.commit_batch(high, JOB, 1, head=top // 2)
+    store.commit_batch(high, JOB, 1, head=top // 2 + 5)
+    store.commit_batch(high, JOB, 1, head=top)
+    store.commit_batch(high, JOB, 1, head=top // 2)
+    store.commit_batch(logs.limit(0), JOB, 2, head=top)
+    store.commit_batch(logs.limit(0), JOB, 2, head=top)
+    return store.data(Z.TOKEN_CATALOG).tables[TRANSFER_TABLE]
+
+
 @query("decode_mixed_case_parquet", f"WITH {T_CTE} SELECT * FROM t")
 def decode_mixed_case_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """Logs that another program wrote as Parquet, with hex in upper case."""
