@@ -203,9 +203,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def head_of(docs: DataFrame, text: str = "text", words: int = HEAD_WORDS, buckets: int = BUCKETS) -> Head:
-    """The most frequent words of all documents, at most `words` of them, on the driver."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    return Head([bytes(r.word) for r in top], buckets)
+    """At most `words` of the most frequent words of all documents, on the driver. Counts fall into
+    classes, 16 for each doubling; the head is of as many whole classes as it has room for, so no
+    more words than that leave the tasks."""
+    counts = staged(word_counts(docs, text).withColumn("class", F.floor(16 * F.log2("n")).cast("int")), "words")
+    least, held = None, 0
+    for r in sorted(counts.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        held += r.n
+        if held > words:
+            break
+        least = r["class"]
+    top = counts.where(F.col("class") >= least).select("word", "n").collect() if least is not None else []
+    return Head([bytes(r.word) for r in sorted(top, key=lambda r: (-r.n, bytes(r.word)))], buckets)
 
 
 def bucket_totals(docs: DataFrame, head: Shared, buckets: int = BUCKETS, text: str = "text") -> np.ndarray:
