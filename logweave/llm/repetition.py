@@ -1,7 +1,8 @@
 """Quality rules on repetition: how much of a text stands in n-grams and lines that it repeats.
 
-All n-grams of a batch of whole texts are hashed by rolling sums over their words' hashes, in numpy.
-An n-gram is duplicated if the same n words stand at two places of the text or more. The measures
+Words of a batch of whole texts are numbered, and all n-grams hashed by rolling sums over their words,
+in numpy. An n-gram is duplicated if the same n words stand at two places of the text or more: where
+hashes are equal, the words are compared. The measures
 are characters inside duplicated n-grams, for several n, of the most frequent short n-gram, and
 inside repeated lines. Null and empty texts have no words: they fail the base rule. Rows stand for
 themselves, so repeated rows give repeated results; columns other than the id and the text are not
@@ -13,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .text import map_texts, mix, span_hashes, word_spans
+from .text import map_texts, mix, word_spans
 
 #: Most characters, as a share of all word characters, inside duplicated n-grams of n words.
 COVERED_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -50,6 +51,32 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places > 1, places, later
 
 
+def numbered(items: list[bytes]) -> np.ndarray:
+    """The same number for equal items."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(items))}
+    return np.fromiter(map(number.__getitem__, items), np.int64, len(items))
+
+
+def same_windows(keys: np.ndarray, at: np.ndarray, length: int, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Keys that are equal for windows of equal words of one text only. `keys` are the hashes of the
+    windows that begin at `at`; where windows of one key differ, all get exact keys."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    heads = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    more = ~new
+    a, b = at[order[more]], at[heads[more]]
+    same = owner[a] == owner[b]
+    for k in range(length):
+        same &= words[a + k] == words[b + k]
+    if same.all():
+        return keys
+    exact = owner[at]
+    for k in range(length):
+        exact = np.unique(exact * (int(words.max()) + 1) + words[at + k], return_inverse=True)[1]
+    return exact
+
+
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     """Which of `size` words stand inside a window of `length` words from one of the starts."""
     edge = np.zeros(size + length + 1, np.int64)
@@ -80,15 +107,15 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     line_owner = np.searchsorted(ends, line_starts, side="right")
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     with np.errstate(over="ignore"):
-        line_keys = mix(span_hashes(data, line_starts, line_ends) + line_owner.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-        _, _, later = repeated(line_keys)
+        _, _, later = repeated(numbered(raw.split(b"\n")[:-1]) * n + line_owner)
         dup_line = later & has_word
         line_size = points[line_ends] - points[line_starts]
         n_dup_lines = np.bincount(line_owner, dup_line, n).astype(np.int64)
         dup_line_chars = np.bincount(line_owner, dup_line * line_size, n)
         all_chars = np.maximum(np.bincount(line_owner, line_size, n), 1)
 
-        words = span_hashes(data, starts, stops, 2)
+        number = numbered(raw.split())
+        words = mix(number.astype(np.uint64) + np.uint64(1))
         total = np.maximum(word_chars, 1)
         rolling = np.zeros(len(words), np.uint64)
         covered_share, top_share = {}, {}
@@ -103,7 +130,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
             if length not in COVERED_LIMITS and length not in TOP_LIMITS:
                 continue
             at = np.flatnonzero(owner[:size] == owner[length - 1 :])
-            again, places, _ = repeated(mix(rolling[at] + owner[at].astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)))
+            keys = mix(rolling[at] + owner[at].astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+            again, places, _ = repeated(same_windows(keys, at, length, number, owner))
             if length in COVERED_LIMITS:
                 hit = covered(at[again], length, len(words))
                 covered_share[length] = np.bincount(owner, hit * word_size, n) / total

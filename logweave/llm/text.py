@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Folders
+
 #: Words of the contracts on ASCII letters and digits: every other ASCII byte becomes a space, A-Z
 #: become a-z, and bytes of other characters stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -44,12 +47,23 @@ class Shared:
         return self.held.opened
 
 
-def staged(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
+class Scratch:
+    """A frame written to the shared folder and read again, until it is removed."""
+
+    def __init__(self, frame: DataFrame, name: str):
+        self.spark = frame.sparkSession
+        self.path = scratch(self.spark, name)
+        frame.write.parquet(self.path)
+        self.frame = self.spark.read.schema(frame.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        """For a table whose successor is written. No frame that is still in use may read it."""
+        Folders(self.spark).remove(self.path)
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: later steps start from files."""
-    spark = frame.sparkSession
-    path = scratch(spark, name)
-    frame.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return Scratch(frame, name).frame
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -102,40 +116,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def byte_table(seed: int) -> np.ndarray:
-    """A pseudo-random odd 64-bit number for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed * 1000003)) | np.uint64(1)
-
-
-#: Bytes whose prefix sums are held at once.
-_REACH = 1 << 17
-_BASE = 0x5851F42D4C957F2D
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+#: Spans of more bytes are hashed one by one.
+_SHORT = 128
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of byte values times powers of an odd
-    base: equal bytes give equal hashes wherever they stand. Spans stand in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    values = byte_table(seed)
-    reach = min(max(_REACH, int((ends - starts).max(initial=0))), len(data)) + 1
+    """A 64-bit hash of each span of bytes: its pieces of eight bytes, mixed one after the other, so
+    that no structure of the text cancels out. Equal bytes give equal hashes wherever they stand."""
+    sizes = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        powers, inverse = _powers(_BASE, reach), _powers(pow(_BASE, -1, 1 << 64), reach)
-        a = 0
-        while a < len(starts):
-            begin = starts[a]
-            z = max(a + 1, int(np.searchsorted(ends, begin + reach - 1, side="right")))
-            part = data[begin : ends[z - 1]]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(values[part] * powers[: len(part)], dtype=np.uint64, out=sums[1:])
-            first, last = starts[a:z] - begin, ends[a:z] - begin
-            out[a:z] = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            a = z
+        out = mix(sizes.astype(np.uint64) + np.uint64(seed * 0xA0761D6478BD642F % (1 << 64)))
+        rows = np.flatnonzero((sizes > 0) & (sizes <= _SHORT))
+        at = 0
+        while len(rows):
+            piece = eight[starts[rows] + at] & _MASKS[np.minimum(sizes[rows] - at, 8)]
+            out[rows] = mix(out[rows] * np.uint64(0x9FB21C651E98DF25) + mix(piece + np.uint64(0xE7037ED1A0B428DB)))
+            at += 8
+            rows = rows[sizes[rows] > at]
+        for i in np.flatnonzero(sizes > _SHORT).tolist():
+            digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
     return out
 
 

@@ -290,12 +290,18 @@ def test_licenses_prefilter_loses_no_alternative():
     assert [s.label for s in licenses.Scanner().spans("except as contained in this\nnotice, the names of the above copyright holders")] == ["x11"]
 
 
-def test_decontamination_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 100])
+def test_decontamination_brute_force(spark, docs, empty, monkeypatch, block_bytes):
+    """In one block, and in several passes over blocks of the benchmark."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
     texts = texts_of(docs)
     source = re.findall(ALNUM, lower(texts[6]))
     items = [(1, " ".join(source[50:75]).upper()), (2, "one"), (3, None), (4, "--"), (5, "gnu general public"), (5, "by the"), (6, "not to be found anywhere in these texts at all, never"), (None, "a b c d")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    assert (decontaminate._Blocks(bench, "item_id", "text").n > 2) == (block_bytes == 100)
+    twice = docs.unionByName(docs.where("doc_id in (6, 20)"))
     out = by_id(decontaminate.decontaminate(docs, bench))
+    assert sorted(map(str, decontaminate.decontaminate(twice, bench).collect())) == sorted(map(str, [*out.values(), out[6], out[20]]))
     clean = set(texts_of(decontaminate.clean_documents(docs, bench)))
     for i, t in texts.items():
         words, hit, met = re.findall(ALNUM, lower(t)), set(), set()
@@ -423,6 +429,24 @@ def test_jaccard_brute_force(spark, docs, empty):
     assert [(r.class_id, r.n_links, r.n_copies) for r in none] == [(None, 0, 1)]
 
 
+def test_ids_that_repeat(spark):
+    """Copies under one id are one document in the pipeline; of an id's different texts one is compared,
+    always the same one, and the other is in the class of its set."""
+    base = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(base), " ".join(["x", *base[1:]]), " ".join(f"q{i}" for i in range(30))
+    rows = [(5, one, "b"), (5, one, "a"), (5, other, "c"), (7, near, "d"), (8, other, "e"), (9, "alone here", "f"), (9, "alone here", "f"), (None, one, "g"), (None, one, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = [sorted(map(str, jaccard.jaccard_classes(table.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
+    kept = jaccard.one_of_each_class(table)
+    assert kept.columns == table.columns
+    out = sorted(map(tuple, kept.collect()), key=str)
+    assert [r for r in out if r[0] in (9, None)] == [(9, "alone here", "f"), (None, one, "g"), (None, one, "g")]
+    fives = [r for r in out if r[0] == 5]
+    assert (5, one, "a") in fives and (5, one, "b") not in fives and (5, other, "c") in fives
+    assert {r[0] for r in out} & {7, 8} in ({7}, {8})
+
+
 def test_cells_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)
     base = [f"w{i}" for i in range(200)]
@@ -432,10 +456,7 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 69)}
 
 
-@pytest.mark.parametrize("hub", [components.HUB, 3])
-def test_components(spark, monkeypatch, hub):
-    """Also with so low a bound that hubs are dealt to several tasks."""
-    monkeypatch.setattr(components, "HUB", hub)
+def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
     links += [(500, 500 + i) for i in range(1, 40)]
@@ -449,8 +470,12 @@ def test_components(spark, monkeypatch, hub):
     for a, b in links:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    out = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    frame = spark.createDataFrame(links, "a long, b long")
+    out = {r.node: r.root for r in components.components(frame).collect()}
     assert out == {n: find(n) for e in links for n in e if e[0] != e[1]}
+    led = components.leads(frame).collect()
+    assert {r.node: r.root for r in led} == {n: r for n, r in out.items() if n != r} and len(led) == len({r.node for r in led})
+    assert components.components(frame.limit(0)).count() == 0
 
 
 def test_elias_fano():
@@ -473,12 +498,12 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch, hot_tokens):
     monkeypatch.setattr(lm, "HOT_TOKENS", hot_tokens)
     if hot_tokens == 20:
         monkeypatch.setattr(lm, "HOT", 8)
-    texts = texts_of(docs)
-    split = {i: re.findall(BLANK, lower(t)) for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    docs = docs.unionByName(docs.where("doc_id in (9, 12)")).unionByName(docs.where("doc_id in (14, 1)").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(r.doc_id, re.findall(BLANK, lower(r.text or ""))) for r in docs.select("doc_id", "text").collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     counts, pairs, behind = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, words in split.items():
-        if not held[i]:
+    for i, words in rows:
+        if not held(i):
             chain = ["<", *words, ">"]
             counts.update(chain[1:])
             pairs.update(zip(chain, chain[1:]))
@@ -487,33 +512,51 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch, hot_tokens):
     hot = {w for w in behind if behind[w] >= lm.hot_from(total)}
     hot_pairs = [x for x, n in pairs.items() if n >= lm.hot_from(total)]
     assert all(v in hot for v, _ in hot_pairs) and (len(hot_pairs) > 20 or hot_tokens != 20)
-    out = by_id(lm.score(docs))
-    assert set(out) == set(texts)
-    for i, words in split.items():
-        r, base, score = out[i], 0.0, 0.0
+    left = {v: max(1 - sum(n - lm.DISCOUNT for (u, _), n in pairs.items() if u == v) / behind[v], lm.DISCOUNT / behind[v]) for v in behind}
+    want = []
+    for i, words in rows:
+        base, score = 0.0, 0.0
         chain = ["<", *words, ">"]
         for v, w in zip(chain, chain[1:]):
             p = (counts[w] + 0.5) / z
             base += math.log10(p)
-            if v in hot:
-                a, left = (1 - lm.HOT_LEFT) * pairs[v, w] / behind[v], lm.HOT_LEFT
-            elif not behind[v]:
-                a, left = 0.0, 1.0
-            else:
-                found = {x: n for (u, x), n in pairs.items() if u == v and n >= lm.MIN_COUNT}
-                a = (found[w] - lm.DISCOUNT) / behind[v] if w in found else 0.0
-                left = 1 - sum(n - lm.DISCOUNT for n in found.values()) / behind[v]
-            score += math.log10(a + left * p)
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[i], len(words) + 1, total)
-        assert r.n_known == sum(counts[w] > 0 for w in chain[1:])
-        assert abs(r.base_score - base) < 1e-9 * max(1, abs(base))
-        assert abs(r.score - score) < 0.06 * r.n_tokens + 0.01
+            a = (pairs[v, w] - lm.DISCOUNT) / behind[v] if pairs[v, w] else 0.0
+            score += math.log10(a + left.get(v, 1.0) * p)
+        want.append((i, held(i), len(words) + 1, sum(counts[w] > 0 for w in chain[1:]), total, base, score))
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    out = sorted((tuple(r) for r in lm.score(docs).collect()), key=order)
+    assert [r[:5] for r in out] == [r[:5] for r in sorted(want, key=order)]
+    for r, e in zip(out, sorted(want, key=order)):
+        assert abs(r[5] - e[5]) < 1e-9 * max(1, abs(e[5]))
+        # Two values of half a step of quantisation at most.
+        assert abs(r[6] - e[6]) < lm.STEP_SIZE * r[2] + 0.01
     assert lm.score(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot, hot_tokens", [(64, 4_000_000), (8, 20), (10**9, 10**9)])
-def test_lm_one_rule_for_all_contexts(spark, docs, monkeypatch, hot, hot_tokens):
-    """Against the quantised values, with some, many and no hot words."""
+def test_trie_finds_within_a_context():
+    """Every pair against a dictionary, contexts and words at the edges among them."""
+    rng = np.random.default_rng(9)
+    keys = sorted({(int(v), int(w)) for v, w in zip(rng.integers(0, 40, 3000) ** 2, rng.integers(0, 4000, 3000))} | {(0, 0), (1600, 5000)})
+    counts = {k: int(n) for k, n in zip(keys, rng.integers(1, 50, len(keys)))}
+    v, w = (np.array(c, np.uint64) for c in zip(*keys))
+    trie = lm.Trie(v, w, np.array(list(counts.values())), lm.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    asked = sorted({*keys[::3], *((a, b) for a in (0, 1, 4, 9, 1600, 1700) for b in range(0, 5001, 7))})
+    n, code, left = trie.find(*(np.array(c, np.uint64) for c in zip(*asked)))
+    behind = collections.Counter()
+    for (a, _), c in counts.items():
+        behind[a] += c
+    for (a, b), total, found, rest in zip(asked, n, code, left):
+        assert total == behind[a] and (rest > 0) == (a in behind)
+        assert (found < 255) == ((a, b) in counts)
+        if found < 255:
+            assert found == lm.discounted(np.array([counts[a, b]]), np.array([behind[a]]))[0]
+    assert trie.nbytes > 0
+
+
+@pytest.mark.parametrize("hot, hot_tokens, common", [(64, 4_000_000, 65_536), (8, 20, 12), (10**9, 10**9, 0)])
+def test_lm_one_rule_for_all_contexts(spark, docs, monkeypatch, hot, hot_tokens, common):
+    """Against the quantised values, with some, many and no hot words, and with all, some and no common ones."""
+    monkeypatch.setattr(lm, "COMMON", common)
     monkeypatch.setattr(lm, "BATCH_BYTES", 4000)
     monkeypatch.setattr(lm, "HOT", hot)
     monkeypatch.setattr(lm, "HOT_TOKENS", hot_tokens)
@@ -555,9 +598,46 @@ def test_repetition_brute_force(docs, empty):
             inside = {k + j for k in range(len(words) - n + 1) if c[tuple(words[k : k + n])] > 1 for j in range(n)}
             share = sum(len(words[k]) for k in inside) / max(1, r.word_chars)
             assert (f"covered{n}" in r.reasons.split(",")) == (share > repetition.COVERED_LIMITS[n])
+        for n in repetition.TOP_LIMITS:
+            c = collections.Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+            top = max((m * sum(map(len, g)) for g, m in c.items() if m > 1), default=0) / max(1, r.word_chars)
+            assert (f"top{n}" in r.reasons.split(",")) == (top > repetition.TOP_LIMITS[n] and r.n_words >= repetition.TOP_MIN_WORDS)
+        chars = sum(len(line) for k, line in enumerate(lines) if re.search(BLANK, line) and line in lines[:k])
+        assert abs(r.dup_line_share - chars / max(1, sum(map(len, lines)))) < 1e-12
     assert repetition.repetition_rules(empty).count() == 0
 
 
+def thue_morse(size: int) -> tuple[str, str]:
+    """Two texts whose polynomial hashes modulo a power of two are equal."""
+    ones = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[i] for i in ones), "".join("ba"[i] for i in ones)
+
+
+def test_texts_that_cancel_out_are_told_apart(spark):
+    a, b = thue_morse(4096)
+    four = "the same four words"
+    texts = [f"{a}\n{b}", f"{four} {a} {four} {b} and then some more words", f"{four} {a} {four} {a}"]
+    rows = by_id(repetition.repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(rows[i].n_dup_lines, rows[i].n_repeat_words) for i in range(3)] == [(0, 0), (0, 0), (0, 10)]
+    known = {r.doc_id: r.n_known for r in lm.score(spark.createDataFrame([(1, f"x {a}"), (5, f"{b} x")], "doc_id long, text string")).collect()}
+    assert zlib.crc32(b"5") % 5 == 1 and known == {1: 3, 5: 2}
+    _, words, _ = lm.tokens([a.encode(), b.encode()])
+    assert len(set(words.tolist())) == 3
+
+
+def test_windows_of_one_hash_are_compared():
+    """Keys that are equal for windows of other words are replaced by exact ones."""
+    rng = np.random.default_rng(3)
+    words, owner = rng.integers(0, 3, 200), np.repeat([0, 1], 100)
+    at = np.flatnonzero(owner[:198] == owner[2:])
+    keys = repetition.same_windows(np.zeros(len(at), np.uint64), at, 3, words, owner)
+    exact = {}
+    for i, key in zip(at.tolist(), keys.tolist()):
+        assert exact.setdefault((int(owner[i]), *words[i : i + 3].tolist()), key) == key
+    assert len(set(exact.values())) == len(exact)
+    assert repetition.same_windows(keys, at, 3, words, owner) is keys
+
+
 def test_pipeline_stages_follow_their_operators(spark):
     import corpus_pipeline
 
