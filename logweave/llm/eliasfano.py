@@ -75,6 +75,15 @@ class EliasFano:
     def all(self) -> np.ndarray:
         return np.concatenate([self.block(b) for b in range(len(self.begins))]) if self.n else np.zeros(0, np.uint64)
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The entries at places in rising order. Only blocks with such places are decoded, each once."""
+        out = np.empty(len(places), np.int64)
+        home = places // BLOCK
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(home)) + 1, [len(places)])) if len(places) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            out[a:z] = self.block(int(home[a]))[places[a:z] - int(home[a]) * BLOCK].astype(np.int64)
+        return out
+
     def successors(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For numbers in rising order: the place of the first entry that is not smaller, and whether
         it is equal. Only blocks that numbers fall into are decoded, each once."""

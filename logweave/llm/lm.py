@@ -5,7 +5,7 @@ Every token, of training and of other documents, is dealt to a shard by its cont
 it. A shard has all that follows its contexts, so it counts them, builds its part of the trie, scores
 its tokens, and sends on what the shard of the following word must add: the probability of that word
 by itself. Nothing of the model goes through the driver but the number of tokens, the number of
-words, and the counts of hot words and hot pairs.
+words, and the counts of common words, hot words and hot pairs.
 
 Hot is what training has HOT_TOKENS times or more, or with a share of 1/HOT or more. So there are at
 most max(HOT, N / HOT_TOKENS) hot words and as many hot pairs, two millionths of the input's bytes.
@@ -15,9 +15,14 @@ gets how many pairs have which quantised probability, 255 numbers at most. Token
 where the text is read, and not dealt at all. So no key brings a shard more than about HOT_TOKENS
 tokens. Hot or not decides on the place alone; no score depends on it.
 
-Trie: the contexts' hashes, pointers to their successors, and for each context its successors as
-numbers relative to it, in Elias-Fano code; discounted probabilities and the mass left to the lower
-order, each quantised to a byte; all in memory maps. Queries search successors within a context.
+Common words, at most COMMON of the most frequent, have their counts broadcast: what is found and ends
+in one is finished in its shard, and only the rest goes on to the shards of the words. It is the same
+sum either way.
+
+Trie: the contexts' hashes, pointers to where each context's successors begin, and the successors as
+numbers of words, relative to where the context before ends, all in Elias-Fano code; discounted
+probabilities and the mass left to the lower order, each quantised to a byte; all in memory maps. A
+query takes its context's range from the pointers and searches the successor within it.
 
 p(w|v) = a(v,w) + left(v) * p(w). a is absolute discounting of pairs met MIN_COUNT times or more in
 training, so of all, left what the context leaves. p(w) = (c + 0.5) / (N + 0.5 (V + 1)). The probabilities of all
@@ -46,6 +51,8 @@ from .text import Shared, binary, joined, mix, release, slices, span_hashes, sta
 FOLDS, HELD = 5, 1
 DISCOUNT, MIN_COUNT = 0.75, 1
 HOT, HOT_TOKENS = 64, 4_000_000
+#: Words whose counts are broadcast: 1 MB.
+COMMON = 65_536
 #: Tokens of a shard, and bytes of text in a batch.
 SHARD_TOKENS, BATCH_BYTES = 1_000_000, 4 << 20
 #: Least number of shards; shards that one task works on, in turn; bytes of sums that a task adds up
@@ -61,9 +68,9 @@ _BLOB = "part int, kind int, batch long, data binary"
 #: Kinds of rows: a batch's documents, counts of single words, tokens of a batch in a shard, tokens
 #: that were found and wait for the single word, sums for a batch's documents.
 _HEAD, _WORDS, _TOKENS, _FOUND, _SUMS = 0, 1, 2, 3, 4
-#: Types of the sums of the first pass (base, known words, quantisation steps of what contexts leave)
-#: and of the second (gain of the words found).
-_FIRST_SUMS, _GAINS = ("f8", "i8", "i8"), ("f4",)
+#: Types of the sums of the first pass (base, known words, quantisation steps of what contexts leave,
+#: gain of the common words found) and of the second (gain of the others).
+_FIRST_SUMS, _GAINS = ("f8", "i8", "i8", "f4"), ("f4",)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -189,12 +196,18 @@ def left_over(taken: np.ndarray, total: np.ndarray) -> np.ndarray:
     return quantised(np.maximum(1 - taken, DISCOUNT / np.maximum(total, 1)))
 
 
+def gains(a: np.ndarray, left: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What pairs gain over the single word, in log10, from the codes of both and the word's probability."""
+    return np.log10(_VALUES[a] + _VALUES[left] * p) - np.log10(p)
+
+
 class Hot:
     """Hot words and, as numbers of two of them, hot pairs, with their counts in training; and the codes
-    of what hot words leave."""
+    of what hot words leave. Also the counts of common words."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.words, self.counts = words, counts
+        self.common, self.common_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pairs = self.pair_counts = np.zeros(0, np.int64)
         self.left = np.zeros(len(words), np.uint8)
 
@@ -243,15 +256,26 @@ class Trie:
         self.n_words = len(words)
         rank = np.repeat(np.arange(len(v)), size)[has]
         number = np.searchsorted(words, follows[has])
-        # Successors relative to their context: the pointers are the contexts' own multiples.
-        self.pointers = EliasFano(np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(v))))))
-        self.successors = EliasFano(rank.astype(np.uint64) * np.uint64(max(1, self.n_words)) + number.astype(np.uint64))
+        pointers = np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(v)))))
+        # A context's successors count on from the last one before it.
+        last = np.where(pointers[1:] > pointers[:-1], number[np.maximum(pointers[1:] - 1, 0)] + 1, 0) if len(number) else np.zeros(len(v), np.int64)
+        bases = np.concatenate(([0], np.cumsum(last)))
+        self.pointers = EliasFano(pointers)
+        self.successors = EliasFano(bases[rank] + number)
         self.codes = mapped(a_code[has])
 
     @property
     def nbytes(self) -> int:
         return sum(level.nbytes for level in (self.contexts, self.counts, self.left, self.words, self.pointers, self.successors, self.codes))
 
+    def ranges(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of contexts, in rising order, begin and end."""
+        return self.pointers.at(rank), self.pointers.at(rank + 1)
+
+    def entries_before(self, place: np.ndarray) -> np.ndarray:
+        """What the successors that begin at `place` count from."""
+        return np.where(place > 0, self.successors.at(np.maximum(place - 1, 0)) + 1, 0) if self.successors.n else np.zeros(len(place), np.int64)
+
     def find(self, context: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For pairs in rising order: counts of their contexts, codes of a, codes of what is left."""
         head = _runs(context)
@@ -265,7 +289,12 @@ class Trie:
         number[by_word], met[by_word] = self.words.successors(follows[by_word])
         code = np.full(len(context), 255, np.uint8)
         asked = np.flatnonzero(known & met)
-        place, equal = self.successors.successors(rank[asked].astype(np.uint64) * np.uint64(max(1, self.n_words)) + number[asked].astype(np.uint64))
+        if not len(asked):
+            return count, code, left
+        begin, end = self.ranges(rank[asked])
+        base = self.entries_before(begin)
+        place, equal = self.successors.successors((base + number[asked]).astype(np.uint64))
+        equal &= (begin <= place) & (place < end)
         code[asked[equal]] = self.codes[place[equal]]
         return count, code, left
 
@@ -336,7 +365,7 @@ def _blob_batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.Re
         yield batch()
 
 
-def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: Hot) -> Iterator[tuple]:
+def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: Hot, z: float) -> Iterator[tuple]:
     """First pass over a shard: the trie is built from its training tokens, and all are scored."""
     numbers, begins, parts = [], [0], []
     for _, number, data in rows:
@@ -362,12 +391,16 @@ def _shard_rows(rows: list[tuple[int, int, bytes]], shards: int, hot: Hot) -> It
     found = code < 255
     # What is left is a sum of steps, so a whole number.
     base = np.where(word, np.log10(count + 0.5)[entry], 0.0) * n
-    places, *sums = _sparse(doc, base, (word & (count > 0)[entry]) * n, np.where(found, 0, left.astype(np.int64))[entry] * n)
+    common = found & is_in(w[pair], hot.common)
+    gain = np.zeros(len(pair))
+    own = np.flatnonzero(common)
+    gain[own] = gains(code[own], left[own], (hot.common_counts[np.searchsorted(hot.common, w[pair][own])] + 0.5) / z)
+    places, *sums = _sparse(doc, base, (word & (count > 0)[entry]) * n, np.where(found, 0, left.astype(np.int64))[entry] * n, gain[entry] * n)
     cuts = np.searchsorted(places, begins)
     for number, begin, a, z in zip(numbers, begins, cuts[:-1], cuts[1:]):
         yield 0, _SUMS, number, (places[a:z] - begin, *(s[a:z] for s in sums))
     # To the shards of the words: words, pairs with their codes, documents.
-    chosen = np.flatnonzero(found[entry])
+    chosen = np.flatnonzero((found & ~common)[entry])
     if not len(chosen):
         return
     e = entry[chosen]
@@ -404,7 +437,7 @@ def _word_rows(rows: list[tuple[int, int, bytes]], z: float, hot: np.ndarray, ho
         w, a, left, sizes, batch, at, inner, n = unpack(data)
         c = np.where(is_in(w, words), counts[np.minimum(np.searchsorted(words, w), len(words) - 1)], 0) if len(words) else np.zeros(len(w))
         p = (c + 0.5) / z
-        gain = np.repeat(np.log10(_VALUES[a] + _VALUES[left] * p) - np.log10(p), sizes) * n
+        gain = np.repeat(gains(a, left, p), sizes) * n
         found.append((batch[at], inner.astype(np.uint32), gain.astype(np.float32)))
     if not found:
         return
@@ -428,12 +461,11 @@ def _document_rows(rows: list[tuple[int, bytes]], n_docs: int, total: int, z: fl
         if kind == _SUMS:
             steps, *sums = unpack(data)
             at = np.cumsum(steps.astype(np.int64))
-            if len(sums) == 3:
+            if len(sums) > 1:
                 base[at] += sums[0]
                 known[at] += sums[1]
                 left[at] -= STEP_SIZE * sums[2]
-            else:
-                gain[at] += sums[0]
+            gain[at] += sums[-1]
     base = base + np.log10(n_docs + 0.5) - n * np.log10(z)
     return {
         "doc_id": pa.array(ids.astype(np.int64), pa.int64(), mask=empty.astype(bool)),
@@ -500,6 +532,24 @@ def pair_codes(counted: DataFrame, hot: Hot, least: int) -> DataFrame:
     return counted.mapInArrow(run, "context int, code int, word long, n long").groupBy("context", "code", "word").agg(F.sum("n").alias("n"))
 
 
+def _common(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON of the most frequent words and their counts. Counts fall into classes, 16 for each
+    doubling, and the words of whole classes are taken."""
+    classed = words.withColumn("class", F.floor(16 * F.log2("c")).cast("int"))
+    least, held = None, 0
+    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        held += r.n
+        if held > COMMON:
+            break
+        least = r["class"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = classed.where(F.col("class") >= least).select("word", "c").toArrow()
+    w, c = found.column("word").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(w)
+    return w[order], c[order]
+
+
 def _hot(docs: DataFrame, words: DataFrame, total: int, n_docs: int, folds: int, held: int) -> Hot:
     """At most max(HOT, total / HOT_TOKENS) words, the marks among them, as many pairs, and 256 numbers
     of each word come to the driver."""
@@ -527,7 +577,9 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
     total, distinct, n_docs = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("c")))).first()
     total, distinct, n_docs = total or 0, distinct or 0, n_docs or 0
     z = total + 0.5 * (distinct + 1)
-    shared = Shared(docs.sparkSession, _hot(docs, words, total, n_docs, folds, held))
+    hot = _hot(docs, words, total, n_docs, folds, held)
+    hot.common, hot.common_counts = _common(words)
+    shared = Shared(docs.sparkSession, hot)
     shards = max(LEAST_SHARDS, -(-int(total * folds / max(1, folds - 1)) // SHARD_TOKENS))
     tasks = -(-shards // SHARDS_A_TASK)
 
@@ -547,8 +599,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 if known.any():
                     base, word, gain = hot.scored(number_of[known], z)
                     places, base, word, gain = _sparse(doc[known], base, word, gain)
-                    yield _part_of(name), _SUMS, name, _pack_sums(_FIRST_SUMS, places, base, word, np.zeros(len(places)))
-                    yield _part_of(name), _SUMS, name, _pack_sums(_GAINS, places, gain)
+                    yield _part_of(name), _SUMS, name, _pack_sums(_FIRST_SUMS, places, base, word, np.zeros(len(places)), gain)
                 doc = 2 * doc + np.repeat(fold, counts)
                 for shard, blob in batch_blobs(context[~known], follows[~known], doc[~known], shards, hot.words):
                     yield shard, _TOKENS, name, blob
@@ -562,7 +613,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str = "
                 yield from ((part, k, b, bytes(d)) for k, b, d in group if k in (_HEAD, _SUMS))
                 own = [r for r in group if r[0] == _TOKENS]
                 if own:
-                    yield from _shard_rows(own, shards, shared.value)
+                    yield from _shard_rows(own, shards, shared.value, z)
 
         yield from _blob_batches(_added_up(rows(), _FIRST_SUMS))
 
