@@ -5,7 +5,10 @@ class share a table that says, for each hashed block of eight bytes, how far the
 block ends where a window of the least length would end. Places that allow no skip are looked up by
 the hash of the last bytes of that least length, and the bytes are then compared directly.
 
-The benchmark is read in blocks of bounded size (BLOCK_BYTES); every document is searched for each.
+The benchmark is read in blocks of bounded size (BLOCK_BYTES). A benchmark of one block is searched for
+as documents are read. Of a larger one, each block has a pass of its own: its broadcast is released before
+the next is made, so neither driver nor workers hold more than one, and what it finds is written by the
+digest of the text. All findings of a text are then added up, and rows take those of their text.
 Null texts have no words. An item without words has no window, one of fewer than ten is a window of
 its own. Repeated rows give repeated results, repeated item ids count once. Columns other than ids
 and texts are not read.
@@ -17,13 +20,14 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD_BYTES, binary, map_texts, slices
+from .text import WORD_BYTES, binary, map_texts, slices, staged
 
 WINDOW = 10
 #: Bytes of benchmark text that are searched for at once, and so the size of a broadcast.
@@ -159,47 +163,115 @@ def search(texts: list[bytes], blocks: list) -> list[tuple[int, np.ndarray, set[
     return [(len(w), hit[doc_spaces[d] : doc_spaces[d] + len(w)], items.get(d, set())) for d, w in enumerate(split)]
 
 
-def _rows(texts: list[bytes], blocks: list) -> dict[str, list]:
+def _row(n: int, hit: np.ndarray, items: set[str]) -> tuple:
+    """What SCHEMA says of a text of n words, but for its id."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    names = sorted(items)
+    return n, int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit.any()), names, edge[0::2].tolist(), edge[1::2].tolist()
+
+
+def _rows(found: list) -> dict[str, list]:
     out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")[1:]}
-    for n, hit, items in search(texts, blocks):
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-        names = sorted(items)
-        for column, value in zip(out, (n, int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit.any()), names, edge[0::2].tolist(), edge[1::2].tolist())):
+    for n, hit, items in found:
+        for column, value in zip(out, _row(n, hit, items)):
             out[column].append(value)
     return out
 
 
-def _shared_blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, item_text: str) -> list:
-    """The benchmark's items in broadcasts of about BLOCK_BYTES, each collected by itself."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
-    parts = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b) for b in range(n_blocks))
-    return [spark.sparkContext.broadcast(sorted({(r.i, r.t.encode()) for r in part.collect()})) for part in parts]
+class _Blocks:
+    """The benchmark's items in blocks of about BLOCK_BYTES, one of which is broadcast at a time."""
 
+    def __init__(self, benchmark: DataFrame, item_id: str, item_text: str):
+        self.items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+        total = self.items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+        self.n = max(1, -(-total // BLOCK_BYTES))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: words, hit words with their ranges, and the items that occur in it."""
-    shared = _shared_blocks(docs.sparkSession, benchmark, item_id, item_text)
+    def shared(self, b: int):
+        own = self.items.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.n)) == b)
+        return self.items.sparkSession.sparkContext.broadcast(sorted({(r.i, r.t.encode()) for r in own.collect()}))
+
+
+_FOUND = "digest string, block int, items array<string>, hit_starts array<int>, hit_ends array<int>"
+
+
+def _searcher(shared, size: int):
+    """Search for one broadcast block, whose tables a task builds once."""
     built: list = []
 
-    def step(ids, texts):
+    def find(texts: list[bytes]) -> list:
         if not built:
-            built.extend(tables(b.value, size) for b in shared)
-        return {"doc_id": ids, **_rows(texts, built)}
+            built.append(tables(shared.value, size))
+        return search(texts, built)
+
+    return find
+
+
+def _found_by_block(docs: DataFrame, blocks: _Blocks, size: int, text: str) -> DataFrame:
+    """digest, block, items, hit ranges: of each text that a block's windows occur in, one row a block."""
+    parts = []
+    texts_alone = docs.select(F.lit(0).alias("__none"), F.col(text).alias("text"))
+    for b in range(blocks.n):
+        shared = blocks.shared(b)
+        find = _searcher(shared, size)
 
-    return map_texts(docs, step, SCHEMA, doc_id, text)
+        def step(_, texts, find=find, b=b):
+            hits = [(t, hit, sorted(names)) for t, (_, hit, names) in zip(texts, find(texts)) if hit.any()]
+            edges = [np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))) for _, hit, _ in hits]
+            return {"digest": [hashlib.sha256(t).hexdigest() for t, _, _ in hits], "block": [b] * len(hits), "items": [n for _, _, n in hits], "hit_starts": [e[0::2].tolist() for e in edges], "hit_ends": [e[1::2].tolist() for e in edges]}
+
+        parts.append(staged(map_texts(texts_alone, step, _FOUND, "__none").dropDuplicates(["digest"]), "found"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_passes(docs: DataFrame, blocks: _Blocks, size: int, doc_id: str, text: str) -> DataFrame:
+    found = _found_by_block(docs, blocks, size, text).groupBy("digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hit_starts")).alias("hit_starts"), F.flatten(F.collect_list("hit_ends")).alias("hit_ends"))
+    counts = map_texts(docs, lambda ids, texts: {"doc_id": ids, "n_words": [len(words_of(t)) for t in texts], "digest": [hashlib.sha256(t).hexdigest() for t in texts]}, "doc_id long, n_words long, digest string", doc_id, text)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")[1:]}
+            for n, items, begins, ends in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                hit = np.zeros(n, bool)
+                for x, y in zip(begins or (), ends or ()):
+                    hit[x:y] = True
+                for column, value in zip(out, _row(n, hit, set(items or ()))):
+                    out[column].append(value)
+            arrays = [batch.column(0), *(pa.array(out[f.name], f.type) for f in _arrow_schema()[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *out])
+
+    return counts.join(found, "digest", "left").select("doc_id", "n_words", "items", "hit_starts", "hit_ends").mapInArrow(add, SCHEMA)
+
+
+def _arrow_schema() -> list[pa.Field]:
+    strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), strings, ints, ints)
+    return [pa.field(c.split()[0], kind) for c, kind in zip(SCHEMA.split(", "), kinds)]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: words, hit words with their ranges, and the items that occur in it."""
+    blocks = _Blocks(benchmark, item_id, item_text)
+    if blocks.n > 1:
+        return _in_passes(docs, blocks, size, doc_id, text)
+    find = _searcher(blocks.shared(0), size)
+    return map_texts(docs, lambda ids, texts: {"doc_id": ids, **_rows(find(texts))}, SCHEMA, doc_id, text)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that no window occurs in, all columns as they are, judged where they are read."""
-    shared = _shared_blocks(docs.sparkSession, benchmark, item_id, item_text)
+    blocks = _Blocks(benchmark, item_id, item_text)
+    if blocks.n > 1:
+        found = _found_by_block(docs, blocks, size, text).select(F.col("digest").alias("__digest")).distinct()
+        digest = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+        return docs.withColumn("__digest", digest).join(found, "__digest", "left_anti").drop("__digest")
+    shared = blocks.shared(0)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [tables(b.value, size) for b in shared]
+        find = _searcher(shared, size)
         for part in slices(batches, at):
-            yield part.filter(pa.array([not hit.any() for _, hit, _ in search(binary(part.column(at)).to_pylist(), built)], pa.bool_()))
+            yield part.filter(pa.array([not hit.any() for _, hit, _ in find(binary(part.column(at)).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
