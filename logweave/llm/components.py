@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import staged
-
-
-#: Links of a node that one task takes; a node with more is dealt to several tasks.
-HUB = 100_000
+from .text import Scratch
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Each node links its larger neighbours (or, if `small`, its smaller ones and itself) to the
-    smallest node among its neighbours and itself. There is at most one hub for HUB links, which bounds
-    the broadcast."""
+    smallest node among its neighbours and itself. A node with very many links is one row behind its
+    task, and its links meet it in a join whose large partitions the adaptive plan splits."""
     if small:
         near = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / HUB).alias("parts")).select("u", F.least("u", "m").alias("m"), "parts")
-    hubs = F.broadcast(least.where(F.col("parts") > 1).select("u", "parts"))
-    dealt = near.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).alias("part"))
-    spread = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    moved = dealt.join(spread, ["u", "part"])
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    moved = near.join(least, "u")
     if small:
         made = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -32,15 +25,25 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return made.where(F.col("a") != F.col("b")).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node that links to another has one link, and none links to it."""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(links.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    met = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return met.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
+
+
+def leads(links: DataFrame) -> DataFrame:
+    """node, root: for each node of a link (a, b) but the smallest of its component that smallest one.
+    Rounds go on until the links are stars; each ends in a written table, and that of the round before
+    is removed. Links to itself or to null are none."""
+    at = Scratch(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _are_stars(at.frame):
+        before, at = at, Scratch(_star(_star(at.frame, small=False), small=True), "links")
+        before.remove()
+    return at.frame.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root: for each node of a link (a, b) the smallest node of its component. Rounds go on
-    until the links are stars; each ends in a written table. Links to itself or to null are none."""
-    links = staged(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
-    before = None
-    while True:
-        links = staged(_star(_star(links, small=False), small=True), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    """node, root: as `leads`, and the smallest nodes themselves."""
+    found = leads(links)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

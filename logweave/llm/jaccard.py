@@ -8,9 +8,9 @@
    uniform prior, tells how likely the threshold is; below TOLERANCE the pair is dropped.
 4. What is left of a cell goes on as a spanning forest, not as pairs. Components of these links keep
    together all documents that can be similar.
-5. In each component, again dealt into cells, pairs are verified exactly on the sets of n-grams, by
-   Bayesian pruning and counting of common n-grams; links are counted, and a forest of them gives the
-   final components.
+5. In each component, again dealt into cells, pairs go through the same pruning, and what is left is
+   verified exactly on the sets of n-grams; links are counted, and a forest of them gives the final
+   components. The rule is one for groups of all sizes.
 
 A pair at the threshold escapes all 32 bands with probability (1 - 0.8**4)**32 < 1e-7, if no other
 link brings it into one component, and pruning loses it with a probability near TOLERANCE.
@@ -18,7 +18,8 @@ link brings it into one component, and pruning loses it with a probability near
 Words are runs of letters, digits and other characters beyond ASCII, in lower case. A text of fewer
 than five words has one n-gram, of all its words. Texts without words, and null texts, have none and
 are linked to nothing; rows without an id neither. Rows that repeat an id and its text are copies;
-of different texts with one id, one stands for it. Other columns are not read.
+of different sets of n-grams with one id, that of the least digest is compared, and a row of another
+set is in the class of its set, or else in one of its own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import leads
 from .text import WORD_BYTES, binary, joined, map_texts, mix, slices, span_hashes, staged, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -40,6 +41,8 @@ HASHES, ROWS, STEP = 128, 4, 32
 TOLERANCE = 1e-6
 #: Documents of a block; a cell holds two blocks.
 CELL = 256
+#: Pairs of a group from which on their common n-grams are counted together.
+PRODUCT = 256
 
 _SIGNED = "doc_id long, n_shingles long, hi long, lo long, sig binary"
 
@@ -94,13 +97,18 @@ def signatures(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(ids, texts: list[bytes], size: int) -> dict:
-    grams, counts = shingles(texts, size)
-    sigs = signatures(grams, counts)
+def digests(grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two numbers for each set of n-grams."""
     ends = np.cumsum(counts)
     with np.errstate(over="ignore"):
         sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(seed)), dtype=np.uint64))) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-        hi, lo = ((s[ends] - s[ends - counts] + counts.astype(np.uint64)).view(np.int64) for s in sums)
+        return [(s[ends] - s[ends - counts] + counts.astype(np.uint64)).view(np.int64) for s in sums]
+
+
+def _signed(ids, texts: list[bytes], size: int) -> dict:
+    grams, counts = shingles(texts, size)
+    sigs = signatures(grams, counts)
+    hi, lo = digests(grams, counts)
     return {"doc_id": ids, "n_shingles": counts, "hi": hi, "lo": lo, "sig": [s.tobytes() for s in sigs]}
 
 
@@ -234,6 +242,21 @@ def _common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return total
 
 
+def _common_of_pairs(sets: list[np.ndarray], group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact number of common n-grams of each pair: set by set, or by one product for a group that
+    has many pairs left."""
+    out = np.zeros(len(a))
+    pairs = np.bincount(group[a], minlength=int(group[-1]) + 1 if len(group) else 0)
+    many = pairs[group[a]] > PRODUCT
+    for k in np.flatnonzero(~many).tolist():
+        out[k] = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
+    for g in np.flatnonzero(pairs > PRODUCT).tolist():
+        rows = np.flatnonzero(group == g)
+        own = np.flatnonzero(many & (group[a] == g))
+        out[own] = _common(sets, rows)[a[own] - rows[0], b[own] - rows[0]]
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Cells of components (root, i, j, block, rep, copies, sig, grams) to (rep, links, root)."""
     for table in _groups(batches, 3, 2_000):
@@ -242,27 +265,15 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         sets = [np.frombuffer(g, np.uint64) for g in table.column(7).to_pylist()]
         sizes = np.array([len(s) for s in sets])
         group = _group_numbers(table, 3)
-        counts = np.bincount(group)
-        big = counts[group] > 24
         left, right = [], []
-
-        def keep(a, b, common):
-            on = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
+        for a, b in _pairs(group, i, j, block):
+            on = survivors(sig[a], sig[b], threshold)
             left.append(a[on])
             right.append(b[on])
-
-        small = np.flatnonzero(~big)
-        for a, b in _pairs(group[small], i[small], j[small], block[small]):
-            a, b = small[a], small[b]
-            on = survivors(sig[a], sig[b], threshold)
-            a, b = a[on], b[on]
-            keep(a, b, np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.float64))
-        for g in np.flatnonzero(counts > 24):
-            rows = np.flatnonzero(group == g)
-            a, b = np.triu_indices(len(rows), 1)
-            common = _common(sets, rows)[a, b].astype(np.float64)
-            across = (i[rows[a]] == j[rows[a]]) | (block[rows[a]] != block[rows[b]])
-            keep(rows[a[across]], rows[b[across]], common[across])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        common = _common_of_pairs(sets, group, a, b)
+        on = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
+        left, right = [a[on]], [b[on]]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
         root = forest(len(rep), a, b, rep)
@@ -281,6 +292,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text:
     """Signed documents, and classes of equal n-gram sets: hi, lo, rep, copies, sig."""
     signed = staged(map_texts(docs, lambda ids, texts: _signed(ids, texts, size), _SIGNED, doc_id, text), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Of an id with several sets the one with the least digest stands for it.
+    digest = F.struct("hi", "lo")
+    several = some.groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most").select("doc_id", "least")
+    some = some.join(several, "doc_id", "left").where(F.col("least").isNull() | (F.col("least") == digest)).drop("least")
     same = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     return signed, staged(same, "classes")
 
@@ -304,18 +319,23 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def verified(docs: DataFrame, reps: DataFrame, together: DataFrame, size: int, threshold: float, doc_id: str, text: str) -> DataFrame:
     """rep, links, root: exact links of each class in a cell, and where they lead."""
-    sizes = together.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = together.join(sizes, "root").join(reps, F.col("node") == F.col("rep")).select("root", "n", "rep", "copies", "sig")
+    sizes = together.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    members = together.join(sizes, "root").select("node", "root", "n").unionByName(sizes.select(F.col("root").alias("node"), "root", "n"))
+    wanted = members.join(reps, F.col("node") == F.col("rep")).select("root", "n", "rep", "copies", "sig", "hi", "lo")
     texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))
-    found = texts.join(wanted, "rep").dropDuplicates(["rep"]).select("rep", "text", "root", "n", "copies", "sig")
+    found = texts.join(wanted, "rep").select("rep", "text", "root", "n", "copies", "sig", "hi", "lo")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             grams, counts = shingles(binary(part.column(1)).to_pylist(), size)
             packed = [g.tobytes() for g in np.split(grams, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(0), part.column(4), part.column(5), pa.array(packed, pa.binary())], names=["root", "n", "rep", "copies", "sig", "grams"])
+            made = pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(0), part.column(4), part.column(5), pa.array(packed, pa.binary())], names=["root", "n", "rep", "copies", "sig", "grams"])
+            # Of several texts of an id, those with the set that stands for it.
+            hi, lo = digests(grams, counts)
+            yield made.filter(pa.array((hi == part.column(6).to_numpy()) & (lo == part.column(7).to_numpy())))
 
-    rows = _cells(found.mapInArrow(sets, "root long, n long, rep long, copies long, sig binary, grams binary"), "root")
+    kept = found.mapInArrow(sets, "root long, n long, rep long, copies long, sig binary, grams binary").dropDuplicates(["rep"])
+    rows = _cells(kept, "root")
     ordered = rows.select("root", "i", "j", "block", "rep", "copies", "sig", "grams").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return ordered.mapInArrow(lambda it: _verify(it, threshold), "rep long, links long, root long")
 
@@ -324,10 +344,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     """One row per document: doc_id, class_id (the smallest id that links lead to), n_links (documents
     at or above the threshold, copies included), n_copies (documents with the same set, itself
     included), n_shingles."""
-    signed, reps = classes(docs, size, doc_id, text)
-    together = components(candidates(reps, threshold))
+    return _classified(*classes(docs, size, doc_id, text), docs, threshold, size, doc_id, text)
+
+
+def _classified(signed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, size: int, doc_id: str, text: str) -> DataFrame:
+    together = leads(candidates(reps, threshold))
     exact = staged(verified(docs, reps, together, size, threshold, doc_id, text), "verified")
-    roots = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    roots = leads(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("hi", "lo", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
@@ -342,6 +365,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that have a class of a smaller id; columns as they are."""
-    dropped = jaccard_classes(docs, threshold, size, doc_id, text).where("class_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col("__dropped"), "left_anti")
+    """The documents without those that have a class of a smaller id; columns as they are. Of rows that
+    repeat an id and its text one stays, the least in the other columns; rows without an id all stay."""
+    signed, reps = classes(docs, size, doc_id, text)
+    classed = _classified(signed, reps, docs, threshold, size, doc_id, text)
+    dropped = classed.where("class_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    kept = docs.join(dropped, F.col(doc_id) == F.col("__dropped"), "left_anti")
+    again = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in (doc_id, text)]
+    once = kept.join(again, F.col(doc_id) == F.col("__again"), "left_semi").groupBy(doc_id, text).agg(F.min(F.struct(*rest) if rest else F.lit(1)).alias("__rest"))
+    once = once.select(*[F.col(f"__rest.{c}").alias(c) if c in rest else F.col(c) for c in docs.columns])
+    return kept.join(again, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(once)
