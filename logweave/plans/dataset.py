@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.abi_types import EventDef
 from ..operators.dedupe import blocks_from_logs
 from ..operators.registry import (
+    max_block,
     describe_tables,
     empty_registry,
     event_status,
@@ -25,30 +27,13 @@ from ..operators.registry import (
     unnamed_contract,
     with_summary,
 )
-from ..operators.routing import contracts_of, decode, event_summary, require_known
+from ..operators.packed import PACKED, decode_packed, packed_tables, write_packed
+from ..operators.routing import contracts_of, decode, event_summary, require_known, route
 from ..schema import KEY_SUFFIX
 from ..sources.catalog import Catalog
+from ..sources.logs import stage_logs
 from .event_query import event_api
-
-
-class LazyTables(Mapping):
-    """Event tables whose plans are built when they are first asked for."""
-
-    def __init__(self, names: Iterable[str], build: Callable[[str], DataFrame]):
-        self._names, self._build, self._built = list(names), build, {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._built:
-            if name not in self._names:
-                raise KeyError(name)
-            self._built[name] = self._build(name)
-        return self._built[name]
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._names)
-
-    def __len__(self) -> int:
-        return len(self._names)
+from .lazy import LazyTables
 
 
 @dataclass(frozen=True)
@@ -131,3 +116,42 @@ def index_batch(
         listing,
         contracts_of(logs, catalog),
     )
+
+
+def stage_batch(
+    logs: DataFrame,
+    catalog: Catalog,
+    root: str,
+    start_block: int = 0,
+    processed_to: int | None = None,
+    strict: bool = False,
+    keys: bool = False,
+) -> IndexedData:
+    """The same as `index_batch`, written below `root`: raw logs are read once, whatever is asked for.
+
+    Logs are staged first. From them come, in a pass each, the packed rows of all event tables and the
+    blocks. Tables then read their own folder, and counts and contracts the packed rows."""
+    spark = logs.sparkSession
+    if strict:
+        require_known(logs, catalog)
+    stage_logs(logs, f"{root}/logs")
+    staged = spark.read.parquet(f"{root}/logs")
+    write_packed(decode_packed(staged, catalog, keys), f"{root}/packed")
+    blocks_from_logs(staged).write.parquet(f"{root}/blocks")
+    packed = spark.read.schema(PACKED).parquet(f"{root}/packed")
+    registry = set_first_block(register(empty_registry(spark), catalog.frame(spark)), catalog.chain_id, catalog.hashes, start_block)
+    if processed_to is not None:
+        registry = synchronize(registry, catalog.chain_id, catalog.hashes, processed_to)
+    counts = packed.groupBy("event_hash").agg(F.count("*").alias("event_count"))
+    seen = max_block(route(staged, catalog))
+    listing = with_summary(registry, seen.join(counts, "event_hash", "left"), progress=processed_to is None)
+    return IndexedData(
+        spark,
+        catalog.chain_id,
+        catalog.tables,
+        packed_tables(spark, catalog, f"{root}/packed", keys),
+        spark.read.schema(blocks_from_logs(staged).schema).parquet(f"{root}/blocks"),
+        registry if processed_to is not None else listing.drop("event_count"),
+        listing,
+        packed.select("contract_address").distinct(),
+    )

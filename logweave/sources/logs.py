@@ -139,8 +139,7 @@ def block_range(logs: DataFrame, lo: int, hi: int, bucket_blocks: int | None = N
 def until_head(logs: DataFrame, head: int | DataFrame) -> DataFrame:
     """Logs up to the finalised head: a number, or a one-row frame with column `head`."""
     if isinstance(head, DataFrame):
-        one_row = head.agg(F.max("head").alias("head"))
-        return logs.join(F.broadcast(one_row), F.col("block_number") <= F.col("head")).drop("head")
+        return logs.where(F.col("block_number") <= head.agg(F.max("head")).scalar())
     return logs.where(F.col("block_number") <= head)
 
 

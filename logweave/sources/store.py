@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from ..operators.dedupe import blocks_from_logs, first_per_key, new_rows
 from ..operators.registry import empty_registry, event_schema
 from ..operators.routing import decode, require_known, well_formed
-from ..plans.dataset import IndexedData, LazyTables
+from ..plans.dataset import IndexedData
 from ..plans.jobs import Job, validate_job
+from ..plans.lazy import LazyTables
 from ..schema import BLOCKS, EVENT_KEY, RAW_LOG, REGISTRY
 from .catalog import MAX_BROADCAST_EVENTS, Catalog
 from .logs import DEFAULT_BUCKET_BLOCKS, block_bucket, topic0

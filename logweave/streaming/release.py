@@ -1,7 +1,11 @@
 """In-order release of chunks that arrive in any order.
 
-The state of a job is the next expected block and the chunks that wait for it: a few
-numbers each. Logs are not held; a released block range is read from the staged logs.
+`index_in_order` keeps what is announced as merged block ranges in the job's commit records; chunks are
+merged by Spark, within block spans first, so no task has all of a job's. Logs are not held: the blocks
+that a batch brings within reach are read from the staged logs.
+
+`ordered_release` is the same as a stream of its own, for other consumers. Its state of a job is the next
+expected block and the chunks that wait for it, a few numbers each, in one task.
 """
 
 from __future__ import annotations
@@ -14,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.frontier import islands
 from ..plans.jobs import Job, job_logs, validate_job
 from ..sources.logs import block_range, read_logs
+from ..sources.manifest import frontier
 from ..sources.store import EventStore
 
 RELEASED = "job_id string, chunk_start long, chunk_end long"
@@ -95,18 +101,22 @@ def index_in_order(
         validate_job(job)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        released = batch.groupBy("job_id").agg(F.min("chunk_start").alias("lo"), F.max("chunk_end").alias("hi"))
-        spans = {r.job_id: (r.lo, r.hi) for r in released.collect()}
+        named = batch.where(F.col("job_id").isin([job.job_id for job in jobs]))
+        announced: dict[str, list[tuple[int, int]]] = {}
+        for r in islands(named.select("job_id", "chunk_start", "chunk_end")).collect():
+            announced.setdefault(r.job_id, []).append((r.chunk_start, r.chunk_end))
         for job in jobs:
-            if job.job_id in spans:
-                lo, hi = spans[job.job_id]
-                source = logs[job.job_id]
-                rows = read_logs(store.spark, source, "parquet") if isinstance(source, str) else source
-                mine = block_range(job_logs(rows, job), lo, hi, staged_bucket_blocks)
-                store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=hi, covered=[(lo, hi)])
-
-    released = ordered_release(chunks, {job.job_id: job.start_block for job in jobs})
-    writer = released.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+            last = store.manifest.read(job.job_id)
+            # A batch that has been committed holds the same announcements when it runs again.
+            if job.job_id not in announced or last.batch_id >= batch_id:
+                continue
+            before = frontier(last.ranges, job.start_block)
+            reached = frontier([*last.ranges, *announced[job.job_id]], job.start_block)
+            source = logs[job.job_id]
+            rows = read_logs(store.spark, source, "parquet") if isinstance(source, str) else source
+            mine = block_range(job_logs(rows, job), before + 1, reached, staged_bucket_blocks)
+            store.commit_batch(mine.drop("job_id", "chain_id"), job, batch_id, processed_to=reached, covered=announced[job.job_id])
+
+    writer = chunks.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=follow) if follow else writer.trigger(availableNow=True)
-    with rocksdb_state(chunks.sparkSession):
-        return writer.start()
+    return writer.start()

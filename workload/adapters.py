@@ -103,6 +103,20 @@ def token_logs(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.inline(F.when(burns, F.array(main, burn)).otherwise(F.array(main))))
 
 
+def part_logs(spark: SparkSession, sf: str, catalog: DataFrame) -> DataFrame:
+    """lineitem -> logs of an event for each part, Part<key>(address indexed, uintN, (address,bytes4)[]);
+    the event hashes come from a catalogue frame."""
+    lines = table(spark, sf, "lineitem").withColumn("event_name", F.concat(F.lit("Part"), F.col("l_partkey").cast("string")))
+    hashed = lines.join(catalog.select("event_name", "event_hash"), "event_name")
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    n = (line % 3).cast("int")
+    items = F.transform(F.slice(F.sequence(F.lit(0), F.lit(2)), F.lit(1), n), lambda i: F.concat(X.uint_word(order + i), X.left_word(F.lpad(F.lower(F.hex(line + i)), 8, "0"))))
+    body = F.concat(X.uint_word(F.col("l_quantity").cast("long")), X.uint_word(F.lit(64)), X.uint_word(n), F.array_join(items, ""))
+    topics = F.array(F.col("event_hash"), F.concat(F.lit("0x"), X.uint_word(F.col("l_suppkey"))))
+    log = _log(X.address(order), topics, F.concat(F.lit("0x"), body), order, F.lit(0), word_hash(order), line)
+    return hashed.select(F.inline(F.array(log)))
+
+
 def governance_block(order: Column, stage: int) -> Column:
     return F.lit(17_000_000 + stage) + order * 10
 
