@@ -456,7 +456,10 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in out} == {(0, 69)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.LEAST_HUB, 3])
+def test_components(spark, monkeypatch, hub):
+    """Also with so low a bound that there are hubs."""
+    monkeypatch.setattr(components, "LEAST_HUB", hub)
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
     links += [(500, 500 + i) for i in range(1, 40)]
