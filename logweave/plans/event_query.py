@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.abi_types import EventDef
 from ..schema import EVENT_KEY, FIXED_COLUMNS, KEY_SUFFIX
+from . import paging
 
 DEFAULT_FIRST = 100
 MAX_FIRST = 10_000
@@ -60,6 +61,8 @@ class EventQuery:
     order_dir: str = "ASC"
     first: int | None = None
     skip: int | None = None
+    #: Columns to return, in this order; all of them by default.
+    columns: Sequence[str] | None = None
 
 
 def from_api_name(name: str) -> str:
@@ -161,7 +164,8 @@ def _page(query: EventQuery) -> tuple[int | None, int]:
 def event_query(table: DataFrame, event: EventDef, query: EventQuery = EventQuery()) -> DataFrame:
     """Rows of an event table: fixed columns, then parameters in signature order.
 
-    Without `first` all rows come; without `order_by` the choice of a page is left to Spark."""
+    Without `first` all rows come. Rows with equal `order_by` come in the order of their keys. Without
+    `order_by` the choice of an early page is left to Spark; one that begins deep goes by the keys."""
     columns = table.columns
     clauses = [WhereClause(from_api_name(w.column), w.op, w.value) for w in query.where]
     clauses += [WhereClause(from_api_name(c), "eq", v) for c, v in query.condition.items()]
@@ -172,29 +176,36 @@ def event_query(table: DataFrame, event: EventDef, query: EventQuery = EventQuer
     rows = table
     if clauses:
         rows = rows.where(reduce(and_, [predicate(c, event, columns) for c in clauses]))
-    if query.order_by is not None:
-        key = order_key(from_api_name(query.order_by), event, columns)
-        rows = rows.orderBy(key.asc() if direction == "ASC" else key.desc())
-    if skip:
-        rows = rows.offset(skip)
     names = list(FIXED_COLUMNS) + [p.column for p in event.params]
-    page = rows if first is None else rows.limit(first)
-    return page.select(*[F.col(f"`{n}`") for n in names])
+    if query.columns is not None:
+        wanted = [from_api_name(c) for c in query.columns]
+        if unknown := [c for c in wanted if c not in names]:
+            raise ValueError(f"unknown columns {unknown}")
+        names = wanted
+    key = None if query.order_by is None else order_key(from_api_name(query.order_by), event, columns)
+    order = paging.Order(key, direction == "DESC")
+    if first is not None and (key is not None or skip + first > paging.ENOUGH):
+        rows = paging.page(rows, order, first, skip)
+    else:
+        rows = rows if key is None else rows.orderBy(*order.columns())
+        rows = rows.offset(skip) if skip else rows
+        rows = rows if first is None else rows.limit(first)
+    return rows.select(*[F.col(f"`{n}`") for n in names])
 
 
 def event_api(tables: Mapping[str, DataFrame], events: Mapping[str, EventDef]) -> dict[str, Callable[..., DataFrame]]:
     """One query function per event table, under the table's name.
 
     Arguments: where={column: {op: value}}, condition={column: value}, orderBy, orderDir,
-    first, skip, in outward names; so are the result columns. A page has DEFAULT_FIRST rows
+    first, skip, columns, in outward names; so are the result columns. A page has DEFAULT_FIRST rows
     unless `first` says otherwise, and more than MAX_FIRST are refused."""
 
     def build(name: str, event: EventDef) -> Callable[..., DataFrame]:
-        def run(where=None, condition=None, orderBy=None, orderDir="ASC", first=None, skip=None) -> DataFrame:
+        def run(where=None, condition=None, orderBy=None, orderDir="ASC", first=None, skip=None, columns=None) -> DataFrame:
             if first is not None and first > MAX_FIRST:
                 raise ValueError(f"first must not exceed {MAX_FIRST}; use skip for later pages")
             size = DEFAULT_FIRST if first is None else first
-            query = EventQuery(where_from_map(where or {}), condition or {}, orderBy, orderDir, size, skip)
+            query = EventQuery(where_from_map(where or {}), condition or {}, orderBy, orderDir, size, skip, columns)
             return to_api_names(event_query(tables[name], event, query))
 
         return run

@@ -126,6 +126,14 @@ def stage_logs(logs: DataFrame, path: str, bucket_blocks: int = DEFAULT_BUCKET_B
     )
 
 
+def hold_logs(logs: DataFrame, path: str) -> DataFrame:
+    """Logs written once as they come, without a shuffle, and read again: for a batch that is costly to
+    produce and that several plans read. Readers skip columns, and files by event where they can."""
+    held = lower_hex(logs).withColumn("topic0", F.get("topics", F.lit(0)))
+    held.write.parquet(path)
+    return logs.sparkSession.read.schema(held.schema).parquet(path)
+
+
 def block_range(logs: DataFrame, lo: int, hi: int, bucket_blocks: int | None = None) -> DataFrame:
     """Logs of blocks lo..hi, both included.
 

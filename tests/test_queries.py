@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from logweave.functions.abi_types import EventDef
 from logweave.operators import aggregates as A
 from logweave.operators import routing as R
+from logweave.plans import paging
 from logweave.plans import entity, rows, sql
 from logweave.plans.dataset import index_batch
 from logweave.plans.event_query import EventQuery, WhereClause, classify, event_query, latest, literal, where_from_map
@@ -203,3 +205,19 @@ def test_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().y == "a"
     with pytest.raises(ValueError):
         export(df, str(tmp_path / "x"), "xml")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages_against_a_sort(spark, descending):
+    """Pages of every depth, with a sort key that most rows share, and rows with equal keys in all."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), f"0x{rng.randrange(40):02x}", rng.randrange(3), rng.choice([1, 1, 1, 2, 3])) for _ in range(600)]
+    table = spark.createDataFrame(rows, "block_number long, transaction_hash string, log_index int, v int").repartition(4)
+    want = sorted(sorted(rows, key=lambda r: r[:3]), key=lambda r: r[3], reverse=descending)
+    for enough, key in ((10_000, F.col("v")), (40, F.col("v"))):
+        for skip in (0, 7, 290, 595, 600, 700):
+            got = [tuple(r) for r in paging.page(table, paging.Order(key, descending), 9, skip, enough).collect()]
+            assert got == want[skip : skip + 9]
+    by_key = [tuple(r)[:3] for r in paging.page(table, paging.Order(), 9, 300, 40).collect()]
+    assert by_key == sorted(r[:3] for r in rows)[300:309]
+    assert paging.page(table.limit(0), paging.Order(), 9, 300, 40).count() == 0

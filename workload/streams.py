@@ -16,6 +16,7 @@ from logweave.sources import logs as L
 from logweave.sources.manifest import Record
 from logweave.sources.store import EventStore, export, scratch_dir
 from logweave.streaming.index import backfill, index_stream, next_block
+from logweave.streaming.lag import LagListener
 from logweave.streaming.release import index_in_order
 
 from . import adapters as Z
@@ -346,6 +347,35 @@ def stream_follow_head(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(counts, "state string, transfers long")
 
 
+@query(
+    "stream_lag",
+    f"""WITH {E_CTE} SELECT 'tokens' AS job_id, sum(CASE WHEN event_type IN ('purchase', 'click', 'signup', 'view') THEN 1 ELSE 0 END + CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS logs,
+      (SELECT max(bn) FROM e) + 12 AS chain_head_block, max(bn) AS indexed_block, (SELECT max(bn) FROM e) + 12 - max(bn) AS lag FROM e WHERE event_type IN ('purchase', 'click', 'signup', 'view')""",
+)
+def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """What a listener noted of a stream of several batches, written and read again: all logs, and the
+    distance from the head after the last batch."""
+    root = scratch_dir(spark, "stream-lag")
+    L.stage_logs(Z.token_logs(spark, sf), f"{root}/staged", BUCKET)
+    logs = spark.read.parquet(f"{root}/staged")
+    top = logs.agg(F.max("block_number").alias("m")).first().m
+    write_dump(logs, f"{root}/in")
+    store = EventStore(spark, f"{root}/store", BUCKET, keys=False)
+    listener = LagListener(store, {"tokens": JOB}, {Z.CHAIN: lambda: top + 12})
+    spark.streams.addListener(listener)
+    try:
+        running = index_stream(L.stream_logs(spark, f"{root}/in", max_files=4), JOB, store, f"{root}/checkpoint")
+        running.awaitTermination()
+        batches = store.last_commits()["tokens"] + 1
+        listener.wait(batches)
+        listener.write(spark, f"{root}/lag")
+    finally:
+        spark.streams.removeListener(listener)
+    notes = spark.read.parquet(f"{root}/lag")
+    last = notes.agg(*[F.max_by(c, "batch_id").alias(c) for c in ("chain_head_block", "indexed_block", "lag")])
+    return notes.groupBy("job_id").agg(F.sum("logs").alias("logs")).crossJoin(last)
+
+
 @query("stream_replay_after_release", f"WITH {T_CTE} SELECT * FROM t")
 def stream_replay_after_release(spark: SparkSession, sf: str) -> DataFrame:
     """A batch held logs back; with the head moved, the same batch runs again before and after another
