@@ -163,6 +163,63 @@ def test_toxicity_learns_and_scores(spark, empty):
     assert toxicity.toxicity(empty, net).count() == 0
 
 
+def plain_score(net, text: str) -> float:
+    """A document's score by plain Python: each word of each window goes through both recurrences."""
+    p = {k: v.tolist() for k, v in net.p.items()}
+    h, words = toxicity.HIDDEN, [w.encode() for w in re.findall(ALNUM, lower(text))]
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    times = lambda x, m: [sum(a * row[j] for a, row in zip(x, m)) for j in range(len(m[0]))]
+
+    def entered(word: bytes | None) -> list[float]:
+        if word is None:
+            return p["word"][0] + [0.0] * toxicity.GRAM_DIM
+        marked, found = b"<" + word + b">", []
+        for n in (3, 4):
+            for i in range(len(marked) - n + 1):
+                key = n
+                for b in marked[i : i + n]:
+                    key = (key * 0x100000001B3 + b) % 2**64
+                found.append(p["gram"][key * 0x9E3779B97F4A7C15 % 2**64 >> 50])
+        return p["word"][net.vocabulary.get(word, 1)] + [sum(c) / len(found) for c in zip(*found)]
+
+    def window(own: list[bytes | None]) -> float:
+        states = [[] for _ in own]
+        for way, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+            state = [0.0] * h
+            for t in order:
+                g = [a + b for a, b in zip(times(entered(own[t]), p[f"x{way}"]), p[f"c{way}"])]
+                m = times(state, p[f"h{way}"])
+                z, r = ([logistic(g[k + j] + m[k + j]) for j in range(h)] for k in (0, h))
+                c = [math.tanh(g[2 * h + j] + r[j] * m[2 * h + j]) for j in range(h)]
+                state = [z[j] * state[j] + (1 - z[j]) * c[j] for j in range(h)]
+                states[t] = states[t] + state
+        energy = [sum(math.tanh(x + y) * v for x, y, v in zip(times(s, p["a"]), p["ac"], p["av"])) for s in states]
+        weight = [math.exp(e - max(energy)) for e in energy]
+        return sum(w * sum(a * b for a, b in zip(s, p["o"])) for w, s in zip(weight, states)) / sum(weight) + p["oc"][0]
+
+    size, step = toxicity.WINDOW, toxicity.STRIDE
+    starts = [0]
+    while starts[-1] + size < len(words):
+        starts.append(starts[-1] + step)
+    best = max(window(words[a : a + size] or [None]) for a in starts)
+    return logistic(net.scale[0] * best + net.scale[1])
+
+
+def test_toxicity_scores_by_plain_python(spark):
+    """All windows of a long text, texts that end at a window's edge, ties between windows, repeated rows."""
+    rng = random.Random(3)
+    names = "balar bamen citos cirik divun dusel grobal naïve 日本 x1".split()
+    texts = [" ".join(rng.choice(names) for _ in range(n)) for n in (300, 64, 65, 112, 113, 1)] + ["the same words " * 100, "", "-- ++"]
+    net = toxicity.train([t.encode() for t in texts[:6]] + [b"grobal grobal"] * 6, [0] * 6 + [1] * 6, epochs=2)
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[3])], "doc_id long, text string")
+    out = toxicity.toxicity(rows.repartition(2), net).collect()
+    assert len(out) == len(texts) + 2
+    want = {i: plain_score(net, t) for i, t in enumerate(texts)} | {None: plain_score(net, texts[3])}
+    for r in out:
+        assert abs(r.score - want[r.doc_id]) < 1e-4 and r.predicted == (r.score >= toxicity.THRESHOLD)
+    assert {r.doc_id: r.n_windows for r in out} == {0: 6, 1: 1, 2: 2, 3: 2, 4: 3, 5: 1, 6: 6, 7: 1, 8: 1, None: 2}
+
+
 def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000, raising=False)
     monkeypatch.setattr(toxicity, "train", lambda texts, labels: list(zip(texts, labels)))
@@ -667,6 +724,30 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert {i: r.ids for i, r in rows.items()} == {i: known.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents at all; null ids and texts, an id that repeats with equal and with other texts."""
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, line, "en", "s", 9), (1, line, "en", "s", 9), (1, f"{line} and more", "en", "r", 9), (2, None, "en", None, None), (3, "", None, "s", 0), (None, line, "en", "s", 9), (None, "other words here", "en", "s", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own in (("empty", []), ("odd", rows)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            docs = stage(spark, docs, at)
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        left = sorted(map(tuple, docs.collect()), key=lambda r: (str(r[0]), -len(r[1] or ""), str(r)))
+        assert [r[:2] for r in left if r[0] is None] == ([(None, line), (None, "other words here")] if own else [])
+        assert [r[1] for r in left if r[0] == 1] == ([f"{line} and more", line] if own else [])
+        assert {r[0] for r in left} == ({1, 2, 3, None} if own else set())
+        out = corpus_pipeline.run(spark, at)
+        assert "ids" in out.columns and out.count() == 0 if not own else {r.doc_id for r in out.collect()} <= {1, None}
+
+
 def pipeline_tables() -> tuple[list[tuple], dict[int, int], list[str]]:
     """Documents, labels, and texts of a benchmark, with something to do for every stage."""
     rng = random.Random(12)
