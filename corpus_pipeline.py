@@ -1,7 +1,13 @@
 """From documents to token ids: five stages, each written as Parquet and read again by the next.
 
 Every stage works on all rows that its predecessor kept. The first four return the columns of
-documents; the last returns the ids of each document that is left, with digests. No SQL expresses the
+documents; the last returns the ids of each document that is left, with digests.
+
+Null and empty texts have nothing that could be judged, so the first stage lets them go; without trusted
+documents it keeps all others. Where later stages are given such texts, they keep them.
+Of rows with equal ids and texts the third stage keeps one, the least in the other columns; rows without
+an id are linked to nothing and stay, as do different texts of one id that are not alike. An empty table
+goes through as one. Columns beside those of documents are kept up to the last stage. No SQL expresses the
 first, third and last stage, so there is none for the whole; the tests hold it against brute force."""
 
 from __future__ import annotations
