@@ -39,42 +39,39 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[bounds])
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each key: whether it occurs again, its number of places, and whether an equal one precedes it."""
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    first = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])) if len(keys) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    counts = np.bincount(group)[group] if len(keys) else np.zeros(0, np.int64)
-    places, later = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-    places[order], later[order] = counts, ~first
-    return places > 1, places, later
-
-
 def numbered(items: list[bytes]) -> np.ndarray:
     """The same number for equal items."""
     number = {x: i for i, x in enumerate(dict.fromkeys(items))}
     return np.fromiter(map(number.__getitem__, items), np.int64, len(items))
 
 
-def same_windows(keys: np.ndarray, at: np.ndarray, length: int, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Keys that are equal for windows of equal words of one text only. `keys` are the hashes of the
-    windows that begin at `at`; where windows of one key differ, all get exact keys."""
-    order = np.argsort(keys, kind="stable")
+def _runs(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in sorted order, and where a new key begins in it."""
+    order = np.argsort(keys, kind=kind)
     new = np.ones(len(keys), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, new
+
+
+def repeated(keys: np.ndarray, at: np.ndarray, length: int, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `length` words that begins at one of the places `at`: whether the same words
+    stand at another place of the text, and at how many. `keys` are hashes of the windows; where windows
+    of one key differ, exact keys take their place."""
+    order, new = _runs(keys)
     heads = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    more = ~new
-    a, b = at[order[more]], at[heads[more]]
+    a, b = at[order[~new]], at[heads[~new]]
     same = owner[a] == owner[b]
     for k in range(length):
         same &= words[a + k] == words[b + k]
-    if same.all():
-        return keys
-    exact = owner[at]
-    for k in range(length):
-        exact = np.unique(exact * (int(words.max()) + 1) + words[at + k], return_inverse=True)[1]
-    return exact
+    if not same.all():
+        exact = owner[at]
+        for k in range(length):
+            exact = np.unique(exact * (int(words.max()) + 1) + words[at + k], return_inverse=True)[1]
+        order, new = _runs(exact)
+    group = np.cumsum(new) - 1
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.bincount(group)[group]
+    return places > 1, places
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
@@ -107,7 +104,9 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     line_owner = np.searchsorted(ends, line_starts, side="right")
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     with np.errstate(over="ignore"):
-        _, _, later = repeated(numbered(raw.split(b"\n")[:-1]) * n + line_owner)
+        order, new = _runs(numbered(raw.split(b"\n")[:-1]) * n + line_owner, "stable")
+        later = np.empty(len(order), bool)
+        later[order] = ~new
         dup_line = later & has_word
         line_size = points[line_ends] - points[line_starts]
         n_dup_lines = np.bincount(line_owner, dup_line, n).astype(np.int64)
@@ -131,7 +130,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
                 continue
             at = np.flatnonzero(owner[:size] == owner[length - 1 :])
             keys = mix(rolling[at] + owner[at].astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-            again, places, _ = repeated(same_windows(keys, at, length, number, owner))
+            again, places = repeated(keys, at, length, number, owner)
             if length in COVERED_LIMITS:
                 hit = covered(at[again], length, len(words))
                 covered_share[length] = np.bincount(owner, hit * word_size, n) / total

@@ -686,16 +686,16 @@ def test_texts_that_cancel_out_are_told_apart(spark):
 
 
 def test_windows_of_one_hash_are_compared():
-    """Keys that are equal for windows of other words are replaced by exact ones."""
+    """The same counts from one key for all windows, which exact keys replace, as from keys that differ."""
     rng = np.random.default_rng(3)
     words, owner = rng.integers(0, 3, 200), np.repeat([0, 1], 100)
     at = np.flatnonzero(owner[:198] == owner[2:])
-    keys = repetition.same_windows(np.zeros(len(at), np.uint64), at, 3, words, owner)
-    exact = {}
-    for i, key in zip(at.tolist(), keys.tolist()):
-        assert exact.setdefault((int(owner[i]), *words[i : i + 3].tolist()), key) == key
-    assert len(set(exact.values())) == len(exact)
-    assert repetition.same_windows(keys, at, 3, words, owner) is keys
+    met = collections.Counter((int(owner[i]), *words[i : i + 3].tolist()) for i in at)
+    want = [met[(int(owner[i]), *words[i : i + 3].tolist())] for i in at]
+    exact = np.unique(np.stack([owner[at], *(words[at + k] for k in range(3))]), axis=1, return_inverse=True)[1].ravel()
+    for keys in (np.zeros(len(at), np.uint64), exact, exact // 2):
+        again, places = repetition.repeated(keys, at, 3, words, owner)
+        assert places.tolist() == want and again.tolist() == [n > 1 for n in want]
 
 
 def test_pipeline_stages_follow_their_operators(spark):
