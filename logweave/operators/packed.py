@@ -136,17 +136,54 @@ def _fits() -> Column:
     return (F.size("topics") == F.col("n_topics")) & topics & body
 
 
-def decode_packed(logs: DataFrame, catalog: DataFrame | Catalog, keys: bool = False) -> DataFrame:
-    """Packed rows (PACKED) of all logs that fit their event, from one pass over the logs.
-
-    catalog: events as plan-time objects, or an EVENT_CATALOG frame of any size."""
+def _with_programs(logs: DataFrame, catalog: DataFrame | Catalog) -> tuple[DataFrame, list[AbiType]]:
+    """Well-formed logs of registered events with their event's program and their body as bytes, and the
+    types of all programs."""
     spark = logs.sparkSession
     steps = _catalog_programs(spark, catalog) if isinstance(catalog, Catalog) else programs(catalog)
     kinds = _types(catalog, steps)
     small = isinstance(catalog, Catalog) and len(catalog.events) <= MAX_BROADCAST_EVENTS
     steps = steps.drop("event_name")
     routed = well_formed(logs).withColumn("event_hash", topic0(logs)).join(F.broadcast(steps) if small else steps, "event_hash")
-    ready = routed.withColumn("__body", W.hex_to_bytes(F.col("data"))).where(_fits())
+    return routed.withColumn("__body", W.hex_to_bytes(F.col("data"))), kinds
+
+
+def mark_decodable(logs: DataFrame, catalog: DataFrame | Catalog) -> DataFrame:
+    """Routed logs of all events, read once, with `decodable`: whether the log has a row in its event's
+    table. Only values that may not fit their body, those of dynamic types, are decoded to see."""
+    routed, kinds = _with_programs(logs, catalog)
+    loose = [k for k in kinds if k.is_dynamic]
+    fits = _fits()
+    if loose:
+        names = ", ".join(f"'{k.canonical}'" for k in loose)
+        fits = fits & F.expr(f"forall(filter(program, s -> s.topic IS NULL AND s.type IN ({names})), s -> ({_branches(loose, 's', 'NULL')}) IS NOT NULL)")
+    return routed.withColumn("decodable", F.coalesce(fits, F.lit(False))).drop("__body", "program", "head_bytes")
+
+
+def event_summary(logs: DataFrame, catalog: DataFrame | Catalog) -> DataFrame:
+    """event_hash, last_event_block, event_count in one pass over the logs.
+
+    last_event_block is the highest block that holds a log of the event, event_count the number of
+    rows in its table."""
+    return (
+        mark_decodable(logs, catalog)
+        .groupBy("event_hash")
+        .agg(F.max("block_number").alias("last_event_block"), F.count_if("decodable").alias("event_count"))
+    )
+
+
+def contracts_of(logs: DataFrame, catalog: DataFrame | Catalog) -> DataFrame:
+    """Distinct contract addresses over all event tables, in one pass over the logs."""
+    rows = mark_decodable(logs, catalog).where("decodable")
+    return rows.select(F.lower("address").alias("contract_address")).distinct()
+
+
+def decode_packed(logs: DataFrame, catalog: DataFrame | Catalog, keys: bool = False) -> DataFrame:
+    """Packed rows (PACKED) of all logs that fit their event, from one pass over the logs.
+
+    catalog: events as plan-time objects, or an EVENT_CATALOG frame of any size."""
+    routed, kinds = _with_programs(logs, catalog)
+    ready = routed.where(_fits())
     values = f"transform(program, s -> {let(_word('s'), lambda w: _branches(kinds, 's', w))})"
     order = f"transform(filter(program, s -> {_integer('s')}), s -> {_key('s')})" if keys else "CAST(array() AS array<string>)"
     packed = ready.select(

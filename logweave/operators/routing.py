@@ -220,45 +220,6 @@ def quarantine(logs: DataFrame, event: EventDef) -> DataFrame:
     return short.unionByName(deep.select(f"{_RAW}.*", F.lit("dynamic body").alias("reason")))
 
 
-def _has_row(event: EventDef) -> Column:
-    """Whether `decode` gives a row for a log of the event; reads its data as bytes from `__body`."""
-    whole = F.lit(True)
-    at = 0
-    for p in event.body:
-        if p.type.is_composite or p.type.is_dynamic:
-            whole = whole & F.expr(value_at(p.type, "__body", str(at), "0", as_text=True)).isNotNull()
-        at += p.type.head_bytes
-    fits = (F.size("topics") == event.n_topics) & _head_valid(event)
-    return F.when(fits, whole).otherwise(F.lit(False))
-
-
-def mark_decodable(logs: DataFrame, catalog: Catalog) -> DataFrame:
-    """Routed logs of all events, read once, with `decodable`: whether the log has a row in its event's table."""
-    routed = route(logs, catalog).withColumn("__body", W.hex_to_bytes(F.col("data")))
-    decodable = F.lit(False)
-    for event in catalog.events:
-        decodable = F.when(F.col("event_hash") == event.hash, _has_row(event)).otherwise(decodable)
-    return routed.withColumn("decodable", F.coalesce(decodable, F.lit(False))).drop("__body")
-
-
-def event_summary(logs: DataFrame, catalog: Catalog) -> DataFrame:
-    """event_hash, last_event_block, event_count in one pass over the logs.
-
-    last_event_block is the highest block that holds a log of the event, event_count the number of
-    rows in its table."""
-    return (
-        mark_decodable(logs, catalog)
-        .groupBy("event_hash")
-        .agg(F.max("block_number").alias("last_event_block"), F.count_if("decodable").alias("event_count"))
-    )
-
-
-def contracts_of(logs: DataFrame, catalog: Catalog) -> DataFrame:
-    """Distinct contract addresses over all event tables, in one pass over the logs."""
-    rows = mark_decodable(logs, catalog).where("decodable")
-    return rows.select(F.lower("address").alias("contract_address")).distinct()
-
-
 def wrong_arity(logs: DataFrame, event: EventDef) -> DataFrame:
     """Logs with the event's hash but another number of topics."""
     return well_formed(logs).where((topic0(logs) == event.hash) & (F.size("topics") != event.n_topics))

@@ -27,8 +27,8 @@ from ..operators.registry import (
     unnamed_contract,
     with_summary,
 )
-from ..operators.packed import PACKED, decode_packed, packed_tables, write_packed
-from ..operators.routing import contracts_of, decode, event_summary, require_known, route
+from ..operators.packed import PACKED, contracts_of, decode_packed, event_summary, packed_tables, write_packed
+from ..operators.routing import decode, require_known, route
 from ..schema import KEY_SUFFIX
 from ..sources.catalog import Catalog
 from ..sources.logs import stage_logs
