@@ -427,6 +427,20 @@ def test_quality_model_by_definition(spark):
     assert abs((10.0 ** model.dense()[start : start + 64].astype(np.float64)).sum() - 1) < 1e-2
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    """24,000 of them, whose trigrams are mostly met once or twice, so that a part gives other counts."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(24_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    p = kneser_ney([t.encode() for t in texts])
+    out = by_id(quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"))))
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        seq = quality.tokens(t.encode()).tolist()
+        want = sum(math.log10(p(tuple(seq[k : k + quality.ORDER]))) for k in range(len(seq) - quality.ORDER + 1))
+        assert abs(out[i].log10_prob - want) < 2e-3 * abs(want)
+
+
 def test_quality_keeps_good_and_rejects_noise(spark, docs, empty):
     rng = random.Random(4)
     names = [f"{a}{b}" for a in "ba ce di fo gu".split() for b in "lar men tos rik vun".split()]
