@@ -88,3 +88,24 @@ def test_a_staged_batch_is_the_batch(spark, tmp_path):
             same(one.tables[name], two.tables[name])
         for name in two.tables:
             assert plan(two.tables[name]).count("FileScan") == 1
+
+
+def test_a_staged_batch_takes_less_room_than_its_logs(spark, tmp_path):
+    """Raw logs are not kept beside their rows; logs without a row still count for blocks and progress."""
+    mint, burn = (Z.TOKEN_CATALOG.event(n) for n in ("Mint", "Burn"))
+    odd = [log(mint, [account(1), 5], block=2_000_000 + i) for i in range(8)] + [log(burn, [account(2), 6], block=2_000_010)]
+    odd[1] |= {"block_number": None}
+    odd[2] |= {"removed": True}
+    odd[3] |= {"data": "0x12"}
+    odd[4] |= {"topics": odd[4]["topics"] * 2}
+    odd[5] |= {"topics": ["0x" + "77" * 32]}
+    odd[6] |= {"topics": []}
+    odd[7] |= {"transaction_hash": None}
+    catalog = Catalog.of(1, [mint, burn, Z.VOTE, Z.PAYLOAD])
+    logs = frame(spark, odd).unionByName(Z.vote_logs(spark, SF)).coalesce(1)
+    one, two = index_batch(logs, catalog, start_block=1), stage_batch(logs, catalog, str(tmp_path / "batch"), start_block=1)
+    for a, b in ((one.registry, two.registry), (one.list_events(), two.list_events()), (one.list_contracts(), two.list_contracts()), (one.blocks, two.blocks), *((one.tables[n], two.tables[n]) for n in one.tables)):
+        same(a, b)
+    L.stage_logs(logs, str(tmp_path / "logs"), partitions=1)
+    size = lambda at: sum(p.stat().st_size for p in (tmp_path / at).rglob("*.parquet"))
+    assert size("batch") < size("logs")
