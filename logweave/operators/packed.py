@@ -96,15 +96,17 @@ def _catalog_programs(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame(rows, PROGRAMS)
 
 
-def _types(catalog: DataFrame | Catalog, steps: DataFrame) -> list[AbiType]:
-    """The distinct types of all programs."""
+def _types(catalog: DataFrame | Catalog, steps: DataFrame) -> tuple[list[AbiType], int]:
+    """The distinct types of all programs, and the number of events."""
     if isinstance(catalog, Catalog):
-        found = {s[0] for e in catalog.events for s in program_of(e)}
+        found, events = {s[0] for e in catalog.events for s in program_of(e)}, len(catalog.events)
     else:
-        found = {r.t for r in steps.select(F.explode("program.type").alias("t")).distinct().limit(MAX_TYPES + 1).collect()}
+        own = steps.select(F.posexplode_outer("program.type").alias("at", "t"))
+        rows = own.groupBy("t").agg(F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("n")).limit(MAX_TYPES + 2).collect()
+        found, events = {r.t for r in rows if r.t is not None}, sum(r.n for r in rows)
     if len(found) > MAX_TYPES:
         raise ValueError(f"the catalogue has more than {MAX_TYPES} parameter types")
-    return [parse_type(t) for t in sorted(found)]
+    return [parse_type(t) for t in sorted(found)], events
 
 
 def _branches(kinds: list[AbiType], step: str, word: str) -> str:
@@ -149,11 +151,11 @@ def _with_programs(logs: DataFrame, catalog: DataFrame | Catalog, how: str = "in
     types of all programs. With how="left" all logs, of which the others have no event_hash and no program."""
     spark = logs.sparkSession
     steps = _catalog_programs(spark, catalog) if isinstance(catalog, Catalog) else programs(catalog)
-    kinds = _types(catalog, steps)
-    small = isinstance(catalog, Catalog) and len(catalog.events) <= MAX_BROADCAST_EVENTS
-    steps = steps.drop("event_name")
+    kinds, events = _types(catalog, steps)
+    # Said in both cases: Spark guesses a frame's size from that of the files it comes from.
+    steps = steps.drop("event_name").hint("broadcast" if events <= MAX_BROADCAST_EVENTS else "shuffle_hash")
     hashed = (well_formed(logs) if how == "inner" else logs).withColumn("event_hash", F.when(is_well_formed(logs), topic0(logs)) if how == "left" else topic0(logs))
-    routed = hashed.join(F.broadcast(steps) if small else steps, "event_hash", how)
+    routed = hashed.join(steps, "event_hash", how)
     return routed.withColumn("__body", W.hex_to_bytes(F.col("data"))), kinds
 
 

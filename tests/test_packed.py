@@ -109,3 +109,20 @@ def test_a_staged_batch_takes_less_room_than_its_logs(spark, tmp_path):
     L.stage_logs(logs, str(tmp_path / "logs"), partitions=1)
     size = lambda at: sum(p.stat().st_size for p in (tmp_path / at).rglob("*.parquet"))
     assert size("batch") < size("logs")
+
+
+def test_a_large_catalogue_frame_is_not_broadcast(spark, monkeypatch):
+    """Its events are counted; the size that Spark guesses from files says nothing."""
+    from logweave.sources.catalog import parse_abi_entries
+    from workload.queries import part_abi_entries
+
+    catalog = parse_abi_entries(part_abi_entries(spark, SF))
+    logs = Z.part_logs(spark, SF, catalog)
+    assert "BroadcastExchange" not in plan(logs)
+    bare = catalog.limit(0)
+    few, none = P.decode_packed(logs, catalog), P.decode_packed(logs, bare)
+    assert "BroadcastExchange" in plan(few) and none.count() == 0
+    monkeypatch.setattr(P, "MAX_BROADCAST_EVENTS", 5)
+    many = P.decode_packed(logs, catalog)
+    assert "BroadcastExchange" not in plan(many)
+    same(few, many)
