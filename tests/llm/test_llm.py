@@ -441,6 +441,21 @@ def test_quality_counts_all_trusted_documents(spark):
         assert abs(out[i].log10_prob - want) < 2e-3 * abs(want)
 
 
+def test_quality_tells_all_characters_apart(spark):
+    """Capitals, digits, signs and letters beyond ASCII are not taken for others of their kind."""
+    assert len({tuple(quality.tokens(bytes([b]))) for b in range(255)}) == 255
+    texts = [f"BCD {i * 12 % 13 + 120} éè <{i % 7}> ж ." for i in range(40)]
+    model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    known = "BCD 121 éè <1> ж ."
+    p = kneser_ney([t.encode() for t in texts])
+    for other in ("BDC 121 éè <1> ж .", "BCD 989 éè <1> ж .", "BCD 121 èé <1> ж .", "BCD 121 éè $1> ж .", "BCD 121 éè <1> д ."):
+        _, (a, b) = quality.log_probs(model, [known.encode(), other.encode()])
+        seq = list(other.encode())
+        seq = [255] * 3 + seq + [255]
+        want = sum(math.log10(p(tuple(seq[i : i + 4]))) for i in range(len(seq) - 3))
+        assert a > b + 0.5 and abs(b - want) < 1e-4 * abs(want)
+
+
 def test_quality_keeps_good_and_rejects_noise(spark, docs, empty):
     rng = random.Random(4)
     names = [f"{a}{b}" for a in "ba ce di fo gu".split() for b in "lar men tos rik vun".split()]
